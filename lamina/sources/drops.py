@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from lamina.contract import DAILY_FEEDS, DIAGNOSTICS_JSON, LAKE_COLUMNS, NESTED_COLUMNS
 from lamina.functions.privacy import generalise_year, pseudonymise
 
-_DROP = r"([^/]+)/([0-9]{4}-[0-9]{2}-[0-9]{2})/([^/]+)$"
+# feed, day and file at the end of a path; the day folder may be `name=<day>`.
+_DROP = r"([^/]+)/(?:[^/=]+=)?([0-9]{4}-[0-9]{2}-[0-9]{2})/([^/]+)$"
 
 
 def day_from_path(path: Column) -> Column:
@@ -19,7 +20,7 @@ def day_from_path(path: Column) -> Column:
 
 def provenance(path: Column) -> Column:
     """`lake/<feed>/<day>/<file>`, whatever the storage the file was read from."""
-    return F.concat(F.lit("lake/"), F.regexp_extract(path, _DROP, 0))
+    return F.concat_ws("/", F.lit("lake"), *[F.regexp_extract(path, _DROP, part) for part in (1, 2, 3)])
 
 
 def inventory(spark: SparkSession, root: str) -> DataFrame:
@@ -112,9 +113,12 @@ def read_csv(spark: SparkSession, paths: list[str], headers: dict | None = None)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def read_json(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
-    """Pretty-printed JSON arrays under a declared schema."""
-    return _with_origin(spark.read.schema(schema).option("multiLine", True).json(paths))
+def read_json(spark: SparkSession, paths: list[str], schema: str, array_files: bool = True) -> DataFrame:
+    """JSON under a declared schema: one pretty-printed array per file, or one object per line.
+
+    A file that is one array is read by one task; line files split like text.
+    """
+    return _with_origin(spark.read.schema(schema).option("multiLine", array_files).json(paths))
 
 
 def read_parquet(spark: SparkSession, paths: list[str]) -> DataFrame:
