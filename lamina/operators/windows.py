@@ -116,3 +116,77 @@ def presence_by_day(df: DataFrame, group: str, start_day: str, end_day: str) ->
         F.when(on_change, F.col("arrives")).otherwise(zero).alias("arrives"),
         F.when(on_change, F.col("partis")).otherwise(zero).alias("partis"),
     )
+
+
+def pairs_within(df: DataFrame, entity: str, start: str, end: str, days: int, marked: Column) -> DataFrame:
+    """Count pairs (interval, later start of the same entity at most `days` calendar days after its end).
+
+    One row: pairs, pairs whose first interval is `marked`, shortest and
+    longest delay in days. No pair is emitted. Starts and the bounds asked
+    about are laid on one time line per (entity, slot of days + 1), where a
+    running count answers each bound; an interval meets one or two slots.
+    """
+    width = (days + 1) * _MICROS_PER_DAY
+
+    def micros(moment):
+        return F.unix_micros(moment.cast("timestamp"))
+
+    def slot(value):
+        return F.floor(value / width)
+
+    none = F.lit(None).cast("bigint")
+    starts = (
+        df.where(F.col(start).isNotNull() & F.col(entity).isNotNull())
+        .groupBy(F.col(entity).alias("_entity"), micros(F.col(start)).alias("_at"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .select(
+            "_entity", slot(F.col("_at")).alias("_slot"), "_at", F.lit(0).alias("_asks"), "_n",
+            none.alias("_from"), none.alias("_to"), F.lit(0).alias("_sign"), F.lit(False).alias("_marked"),
+        )
+    )
+    last_moment = (
+        F.unix_micros(F.date_add(F.to_date(F.col(end)), days + 1).cast("timestamp")) - 1
+    )
+    bounds = df.where(F.col(end).isNotNull() & F.col(entity).isNotNull()).select(
+        F.col(entity).alias("_entity"),
+        micros(F.col(end)).alias("_from"),
+        last_moment.alias("_to"),
+        F.coalesce(marked, F.lit(False)).alias("_marked"),
+    )
+    here, there = slot(F.col("_from")), slot(F.col("_to"))
+
+    def ask(where, at, sign):
+        return F.struct(where.alias("_slot"), at.alias("_at"), F.lit(sign).alias("_sign"))
+
+    asked = F.array(ask(here, F.col("_from"), -1), ask(there, F.col("_to"), 1))
+    crossing = F.array(ask(here, (here + 1) * width - 1, 1))
+    questions = bounds.select(
+        "*", F.inline(F.when(here != there, F.concat(asked, crossing)).otherwise(asked))
+    ).select(
+        "_entity", "_slot", "_at", F.lit(1).alias("_asks"), F.lit(0).cast("bigint").alias("_n"),
+        "_from", "_to", "_sign", "_marked",
+    )
+    line = Window.partitionBy("_entity", "_slot").orderBy("_at", "_asks")
+    so_far = line.rowsBetween(Window.unboundedPreceding, 0)
+    ahead = line.rowsBetween(1, Window.unboundedFollowing)
+    begun = F.when(F.col("_asks") == 0, F.col("_at"))
+    answered = (
+        starts.unionByName(questions)
+        .withColumn("_count", F.sum("_n").over(so_far) * F.col("_sign"))
+        .withColumn("_first", F.when(F.col("_sign") == -1, F.min(begun).over(ahead)).otherwise(F.min(begun).over(so_far)))
+        .withColumn("_last", F.when(F.col("_sign") == 1, F.max(begun).over(so_far)))
+        .where(F.col("_asks") == 1)
+    )
+
+    def delay(moment):
+        inside = (moment > F.col("_from")) & (moment <= F.col("_to"))
+        return F.when(
+            inside, F.datediff(F.timestamp_micros(moment).cast("date"), F.timestamp_micros(F.col("_from")).cast("date"))
+        )
+
+    return answered.agg(
+        F.coalesce(F.sum("_count"), F.lit(0)).alias("paires"),
+        F.coalesce(F.sum(F.when(F.col("_marked"), F.col("_count"))), F.lit(0)).alias("paires_marquees"),
+        F.min(delay(F.col("_first"))).alias("delai_min_j"),
+        F.max(delay(F.col("_last"))).alias("delai_max_j"),
+    )

@@ -25,9 +25,12 @@ class Feeds:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = prepare(spark), folder
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._tables[name]
 
     # ---- nomenclatures
 
