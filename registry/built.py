@@ -6,6 +6,8 @@ production; the first entry that asks pays for the run.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 
 from lamina.contract import DIMENSIONS, KPI_TABLES
@@ -36,16 +38,39 @@ def warehouse(f: Feeds) -> Warehouse:
     return _built[key]
 
 
-def gold(f: Feeds) -> dict[str, DataFrame]:
-    return {name: warehouse(f).read("gold_pilotage", name) for name in (*DIMENSIONS, *FACTS)}
+class Published(Mapping):
+    """Tables of one warehouse by name, each opened when first asked for."""
+
+    def __init__(self, home: Warehouse, layers: dict[str, str]):
+        self.home, self.layers, self.frames = home, layers, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.frames:
+            self.frames[name] = self.home.read(self.layers[name], name)
+        return self.frames[name]
+
+    def __iter__(self):
+        return iter(self.layers)
+
+    def __len__(self):
+        return len(self.layers)
+
+
+def gold(f: Feeds) -> Published:
+    return Published(warehouse(f), dict.fromkeys((*DIMENSIONS, *FACTS), "gold_pilotage"))
+
+
+def kpis(f: Feeds) -> Published:
+    return Published(warehouse(f), dict.fromkeys(KPI_TABLES, "gold_pilotage"))
 
 
-def kpis(f: Feeds) -> dict[str, DataFrame]:
-    return {name: warehouse(f).read("gold_pilotage", name) for name in KPI_TABLES}
+def cohorts(f: Feeds) -> Published:
+    return Published(warehouse(f), dict.fromkeys(COHORTS, "gold_recherche"))
 
 
-def cohorts(f: Feeds) -> dict[str, DataFrame]:
-    return {name: warehouse(f).read("gold_recherche", name) for name in COHORTS}
+def published(f: Feeds) -> Published:
+    layers = dict.fromkeys(KPI_TABLES, "gold_pilotage") | dict.fromkeys(COHORTS, "gold_recherche")
+    return Published(warehouse(f), layers)
 
 
 def silver(f: Feeds) -> dict[str, DataFrame]:

@@ -357,19 +357,6 @@ entry(
 )(lambda f: quality.cohort_min(built.cohorts(f)))
 
 
-@entry("column_audit", """SELECT 'fuite.' || lower(n_name) AS "table", 'nir' AS colonne, 'identifiant direct' AS regle FROM nation""")
-def column_audit(f):
-    """The built schemas are clean; one leaking schema per nation shows what an offence looks like."""
-    w = built.warehouse(f)
-    schemas = {f"silver.{t}": df.columns for t, df in built.silver(f).items()}
-    schemas |= {f"gold_pilotage.{t}": df.columns for t, df in {**built.gold(f), **built.kpis(f)}.items()}
-    schemas |= {f"gold_recherche.{t}": df.columns for t, df in built.cohorts(f).items()}
-    schemas |= {"quarantaine.rejets": built.register(f).columns, "ops.executions": w.read("ops", "executions").columns}
-    clean = quality.column_audit(f.spark, schemas)
-    leaks = f.table("nation").select(F.concat(F.lit("fuite."), F.lower("n_name")).alias("table"))
-    return clean.unionByName(leaks.select("table", F.lit("nir").alias("colonne"), F.lit("identifiant direct").alias("regle")))
-
-
 @entry(
     "provenance_audit",
     " UNION ALL ".join(
