@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Timestamps are wall-clock values; UTC keeps casts to and from them exact.
 # Skew handling splits a hot join key over many tasks at run time.
@@ -16,6 +16,11 @@ RUNTIME = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
 }
 
+# Settings a session must be started with. Composing a plan crosses to the JVM
+# for every expression; without the call-site capture, which only error
+# messages use, it does so far less.
+STATIC = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 _local_roots: dict[str, str] = {}
 
 
@@ -27,6 +32,29 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def start(master: str, name: str = "lamina", **settings: str) -> SparkSession:
+    """A session with all of the above; keyword names use `_` for `.`."""
+    builder = SparkSession.builder.master(master).appName(name)
+    for key, value in {**RUNTIME, **STATIC, **{k.replace("_", "."): v for k, v in settings.items()}}.items():
+        builder = builder.config(key, value)
+    return builder.getOrCreate()
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """Size of a frame as the optimizer estimates it; exact for a plain file scan."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def spread(df: DataFrame, low: int = 1 << 20, high: int = 128 << 20) -> DataFrame:
+    """Deal a small scan out to all cores.
+
+    A file of one row group is read by one task, and so is everything up to
+    the next shuffle. Between 1 MB and the size of one ordinary split the
+    extra shuffle costs less than that; larger scans have splits enough.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if low <= plan_bytes(df) < high else df
+
+
 def work_root(spark: SparkSession) -> str:
     """Folder for written tables: the one the cluster shares, else one of our own.
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import logging
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
@@ -17,12 +17,16 @@ LOG = logging.getLogger(__name__)
 class Warehouse:
     spark: SparkSession
     root: str
+    # Schemas of the tables this object wrote: read back without opening a footer.
+    written: dict = field(default_factory=dict, compare=False)
 
     def path(self, layer: str, table: str) -> str:
         return f"{self.root}/{layer}/{table}"
 
     def read(self, layer: str, table: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(layer, table))
+        known = self.written.get((layer, table))
+        reader = self.spark.read if known is None else self.spark.read.schema(known)
+        return reader.parquet(self.path(layer, table))
 
     def has(self, layer: str, table: str) -> bool:
         try:
@@ -41,6 +45,7 @@ class Warehouse:
         counted = df.observe(seen, F.count(F.lit(1)).alias("n"))
         writer = counted.write.mode("overwrite")
         (writer.partitionBy(partition) if partition else writer).parquet(self.path(layer, table))
+        self.written[(layer, table)] = df.schema
         return seen.get["n"]
 
     def replace_judged(self, table: str, judged: DataFrame) -> int:
@@ -52,6 +57,7 @@ class Warehouse:
         seen = Observation()
         counted = judged.observe(seen, F.count_if(F.col("_motif") == KEPT).alias("n"))
         counted.write.mode("overwrite").partitionBy("_motif").parquet(self.path("silver", table))
+        self.written[("silver", table)] = judged.schema
         return seen.get["n"]
 
     def judged(self, table: str) -> DataFrame:

@@ -32,26 +32,26 @@ entry("quarantine_stay", register_of("sejours"))(
 @entry("quarantine_orphan", shown("rejets", dates=DAYS, where="WHERE motif = 'sejour_inconnu'"))
 def quarantine_orphan(f):
     feeds = ("diagnostics", "monitoring", "actes")
-    parts = [motif(silver.feed_rejects(feed, f.judged[feed]), "sejour_inconnu") for feed in feeds]
+    parts = [motif(silver.feed_rejects(feed, f.judged(feed)), "sejour_inconnu") for feed in feeds]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @entry("quarantine_no_patient", shown("rejets", dates=DAYS, where="WHERE motif = 'sejour_ecarte'"))
 def quarantine_no_patient(f):
     feeds = ("diagnostics", "monitoring", "actes")
-    parts = [motif(silver.feed_rejects(feed, f.judged[feed]), "sejour_ecarte") for feed in feeds]
+    parts = [motif(silver.feed_rejects(feed, f.judged(feed)), "sejour_ecarte") for feed in feeds]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 entry("quarantine_out_of_range", register_of("monitoring", "capteur_hors_plage"))(
-    lambda f: motif(silver.feed_rejects("monitoring", f.judged["monitoring"]), "capteur_hors_plage")
+    lambda f: motif(silver.feed_rejects("monitoring", f.judged("monitoring")), "capteur_hors_plage")
 )
 
 
 @entry("quarantine_out_of_window", shown("rejets", dates=DAYS, where="WHERE motif LIKE '%hors_sejour'"))
 def quarantine_out_of_window(f):
-    readings = motif(silver.feed_rejects("monitoring", f.judged["monitoring"]), "releve_hors_sejour")
-    return readings.unionByName(motif(silver.feed_rejects("actes", f.judged["actes"]), "acte_hors_sejour"))
+    readings = motif(silver.feed_rejects("monitoring", f.judged("monitoring")), "releve_hors_sejour")
+    return readings.unionByName(motif(silver.feed_rejects("actes", f.judged("actes")), "acte_hors_sejour"))
 
 
 STAMPS = ("admission_ts",)

@@ -15,10 +15,32 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lamina.operators.rules import kept
 from lamina.plans import silver, star
-from lamina.session import prepare
+from lamina.session import prepare, spread
 
 BRANDS_WITHOUT_LABEL = "Brand#13"
 
+# Declared, so that no footer is read before a query runs.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+        "l_shipdate timestamp_ntz"
+    ),
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "benchmark": "item_id bigint, text string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
 
 class Feeds:
     """Lazily composed frames of one data folder. Nothing runs until an action does."""
@@ -29,7 +51,10 @@ class Feeds:
 
     def table(self, name: str) -> DataFrame:
         if name not in self._tables:
-            self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            reader = self.spark.read
+            if name in SCHEMAS:
+                reader = reader.schema(SCHEMAS[name])
+            self._tables[name] = spread(reader.parquet(f"{self.folder}/{name}.parquet"))
         return self._tables[name]
 
     # ---- nomenclatures
@@ -213,16 +238,22 @@ class Feeds:
         return silver.stay_lookup(self.judged_stays)
 
     @cached_property
-    def judged(self) -> dict[str, DataFrame]:
-        return {
-            "sejours": self.judged_stays,
-            "diagnostics": silver.judge_diagnostics(self.bronze_diagnostics, self.lookup, self.ref_cim10),
-            "monitoring": silver.judge_readings(self.bronze_monitoring, self.lookup),
-            "actes": silver.judge_acts(self.bronze_actes, self.lookup, self.ref_ccam),
-        }
+    def judged_diagnostics(self) -> DataFrame:
+        return silver.judge_diagnostics(self.bronze_diagnostics, self.lookup, self.ref_cim10)
+
+    @cached_property
+    def judged_monitoring(self) -> DataFrame:
+        return silver.judge_readings(self.bronze_monitoring, self.lookup)
+
+    @cached_property
+    def judged_actes(self) -> DataFrame:
+        return silver.judge_acts(self.bronze_actes, self.lookup, self.ref_ccam)
+
+    def judged(self, feed: str) -> DataFrame:
+        return self.judged_stays if feed == "sejours" else getattr(self, f"judged_{feed}")
 
     def silver(self, feed: str) -> DataFrame:
-        return silver.silver_patients(self.retained_patients) if feed == "patients" else kept(self.judged[feed])
+        return silver.silver_patients(self.retained_patients) if feed == "patients" else kept(self.judged(feed))
 
     # ---- star, in the parts an indicator needs
 
@@ -266,12 +297,3 @@ class Feeds:
     @cached_property
     def fact_acte(self) -> DataFrame:
         return star.fact_acte(self.silver("actes"))
-
-    @cached_property
-    def gold(self) -> dict[str, DataFrame]:
-        names = (
-            "dim_patient", "dim_service", "dim_cim10", "dim_ccam",
-            "fact_sejour", "fact_diagnostic", "fact_releve", "fact_acte",
-        )
-        return {name: getattr(self, name) for name in names}
-
