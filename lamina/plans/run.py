@@ -59,7 +59,7 @@ def stage(warehouse: Warehouse, run_id: str, name: str, day: date | None = None)
     record("succes", "")
 
 
-def at_once(tasks: dict, workers: int = 4) -> dict:
+def at_once(tasks: dict, workers: int = 8) -> dict:
     """Run independent writes side by side, so that small ones share the cluster."""
     with ThreadPoolExecutor(workers) as pool:
         futures = {name: pool.submit(task) for name, task in tasks.items()}
