@@ -125,6 +125,8 @@ def pairs_within(df: DataFrame, entity: str, start: str, end: str, days: int, ma
     longest delay in days. No pair is emitted. Starts and the bounds asked
     about are laid on one time line per (entity, slot of days + 1), where a
     running count answers each bound; an interval meets one or two slots.
+    Equal starts and equal ends collapse into a weight before the shuffle, so a
+    time line is no longer than the distinct moments of its slot.
     """
     width = (days + 1) * _MICROS_PER_DAY
 
@@ -142,16 +144,19 @@ def pairs_within(df: DataFrame, entity: str, start: str, end: str, days: int, ma
         .select(
             "_entity", slot(F.col("_at")).alias("_slot"), "_at", F.lit(0).alias("_asks"), "_n",
             none.alias("_from"), none.alias("_to"), F.lit(0).alias("_sign"), F.lit(False).alias("_marked"),
+            none.alias("_weight"),
         )
     )
-    last_moment = (
-        F.unix_micros(F.date_add(F.to_date(F.col(end)), days + 1).cast("timestamp")) - 1
-    )
-    bounds = df.where(F.col(end).isNotNull() & F.col(entity).isNotNull()).select(
-        F.col(entity).alias("_entity"),
-        micros(F.col(end)).alias("_from"),
-        last_moment.alias("_to"),
-        F.coalesce(marked, F.lit(False)).alias("_marked"),
+    last_moment = F.unix_micros(F.date_add(F.to_date(F.col(end)), days + 1).cast("timestamp")) - 1
+    bounds = (
+        df.where(F.col(end).isNotNull() & F.col(entity).isNotNull())
+        .groupBy(
+            F.col(entity).alias("_entity"),
+            micros(F.col(end)).alias("_from"),
+            last_moment.alias("_to"),
+            F.coalesce(marked, F.lit(False)).alias("_marked"),
+        )
+        .agg(F.count(F.lit(1)).alias("_weight"))
     )
     here, there = slot(F.col("_from")), slot(F.col("_to"))
 
@@ -164,7 +169,7 @@ def pairs_within(df: DataFrame, entity: str, start: str, end: str, days: int, ma
         "*", F.inline(F.when(here != there, F.concat(asked, crossing)).otherwise(asked))
     ).select(
         "_entity", "_slot", "_at", F.lit(1).alias("_asks"), F.lit(0).cast("bigint").alias("_n"),
-        "_from", "_to", "_sign", "_marked",
+        "_from", "_to", "_sign", "_marked", "_weight",
     )
     line = Window.partitionBy("_entity", "_slot").orderBy("_at", "_asks")
     so_far = line.rowsBetween(Window.unboundedPreceding, 0)
@@ -172,7 +177,7 @@ def pairs_within(df: DataFrame, entity: str, start: str, end: str, days: int, ma
     begun = F.when(F.col("_asks") == 0, F.col("_at"))
     answered = (
         starts.unionByName(questions)
-        .withColumn("_count", F.sum("_n").over(so_far) * F.col("_sign"))
+        .withColumn("_count", F.sum("_n").over(so_far) * F.col("_sign") * F.col("_weight"))
         .withColumn("_first", F.when(F.col("_sign") == -1, F.min(begun).over(ahead)).otherwise(F.min(begun).over(so_far)))
         .withColumn("_last", F.when(F.col("_sign") == 1, F.max(begun).over(so_far)))
         .where(F.col("_asks") == 1)

@@ -218,13 +218,16 @@ def kpi_actes_service(acts: DataFrame, stays: DataFrame, dim_service: DataFrame)
 
 
 def kpi_actes_type(acts: DataFrame, dim_ccam: DataFrame) -> DataFrame:
-    """By code, resolved or not, with its share of all acts."""
-    total = acts.agg(rows()).scalar()
+    """By code, resolved or not, with its share of all acts.
+
+    The grand total is summed over the codes, whose shuffle it can share.
+    """
     by_code = (
         distinct_members(acts, ["code_ccam"], "stay_id")
         .groupBy("code_ccam")
         .agg(F.sum("nb_lignes").alias("nb_actes"), rows().alias("nb_sejours_concernes"))
     )
+    total = by_code.agg(F.sum("nb_actes")).scalar()
     return by_code.join(dim_ccam, "code_ccam", "left").select(
         "code_ccam",
         F.coalesce("acte", F.lit(UNKNOWN)).alias("acte"),

@@ -129,11 +129,14 @@ def stay_rules() -> list[Rule]:
     ]
 
 
+def ruled_stays(retained: DataFrame) -> DataFrame:
+    return judge(retained, stay_rules())
+
+
 def judge_stays(retained: DataFrame, ref_services: DataFrame) -> DataFrame:
     labels = ref_services.select("service_code", "service_label")
-    judged = judge(retained, stay_rules())
     ongoing = F.col("discharge_ts").isNull()
-    return judged.join(labels, "service_code", "left").select(
+    return ruled_stays(retained).join(labels, "service_code", "left").select(
         "stay_id",
         "patient_pseudo",
         "service_code",
@@ -213,14 +216,19 @@ CARRIED = [
 ]
 
 
+def labelled(df: DataFrame, reference: DataFrame, code: str) -> DataFrame:
+    """Label of a code; a code the reference lacks keeps its row."""
+    named = df.join(reference.select(code, "libelle"), code, "left")
+    return named.withColumn("libelle", F.coalesce("libelle", F.lit(UNKNOWN)))
+
+
+def carry_diagnostics(bronze: DataFrame, lookup: DataFrame) -> DataFrame:
+    return judge(with_stay(bronze, lookup), carrier_rules()).select("stay_id", "code_cim10", "type_diag", *CARRIED)
+
+
 def judge_diagnostics(bronze: DataFrame, lookup: DataFrame, ref_cim10: DataFrame) -> DataFrame:
-    labels = ref_cim10.select("code_cim10", "libelle")
-    return (
-        judge(with_stay(bronze, lookup), carrier_rules())
-        .join(labels, "code_cim10", "left")
-        .select(
-            "stay_id", "code_cim10", "type_diag", F.coalesce("libelle", F.lit(UNKNOWN)).alias("libelle"), *CARRIED
-        )
+    return labelled(carry_diagnostics(bronze, lookup), ref_cim10, "code_cim10").select(
+        "stay_id", "code_cim10", "type_diag", "libelle", *CARRIED
     )
 
 
@@ -231,15 +239,14 @@ def judge_readings(bronze: DataFrame, lookup: DataFrame) -> DataFrame:
     )
 
 
-def judge_acts(bronze: DataFrame, lookup: DataFrame, ref_ccam: DataFrame) -> DataFrame:
-    labels = ref_ccam.select("code_ccam", "libelle")
+def carry_acts(bronze: DataFrame, lookup: DataFrame) -> DataFrame:
     rules = [*carrier_rules(), window_rule("acte_hors_sejour", "acte_ts")]
-    return (
-        judge(with_stay(bronze, lookup), rules)
-        .join(labels, "code_ccam", "left")
-        .select(
-            "stay_id", "code_ccam", "acte_ts", F.coalesce("libelle", F.lit(UNKNOWN)).alias("libelle"), *CARRIED
-        )
+    return judge(with_stay(bronze, lookup), rules).select("stay_id", "code_ccam", "acte_ts", *CARRIED)
+
+
+def judge_acts(bronze: DataFrame, lookup: DataFrame, ref_ccam: DataFrame) -> DataFrame:
+    return labelled(carry_acts(bronze, lookup), ref_ccam, "code_ccam").select(
+        "stay_id", "code_ccam", "acte_ts", "libelle", *CARRIED
     )
 
 

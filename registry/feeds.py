@@ -235,7 +235,7 @@ class Feeds:
 
     @cached_property
     def lookup(self) -> DataFrame:
-        return silver.stay_lookup(self.judged_stays)
+        return silver.stay_lookup(silver.ruled_stays(self.retained_stays))
 
     @cached_property
     def judged_diagnostics(self) -> DataFrame:
@@ -278,17 +278,27 @@ class Feeds:
         """The stay fact without the columns that need a join."""
         return star.stay_measures(self.silver("sejours"))
 
+    # Facts hold codes, not labels: these stop before the label join of silver.
+
+    @cached_property
+    def _carried_diagnostics(self) -> DataFrame:
+        return kept(silver.carry_diagnostics(self.bronze_diagnostics, self.lookup))
+
+    @cached_property
+    def _carried_acts(self) -> DataFrame:
+        return kept(silver.carry_acts(self.bronze_actes, self.lookup))
+
     @cached_property
     def fact_sejour(self) -> DataFrame:
         return star.fact_sejour(self.silver("sejours"), self.dim_patient)
 
     @cached_property
     def diagnoses(self) -> DataFrame:
-        return star.diagnosis_measures(self.silver("diagnostics"))
+        return star.diagnosis_measures(self._carried_diagnostics)
 
     @cached_property
     def fact_diagnostic(self) -> DataFrame:
-        return star.fact_diagnostic(self.silver("diagnostics"), self.dim_patient)
+        return star.fact_diagnostic(self._carried_diagnostics, self.dim_patient)
 
     @cached_property
     def fact_releve(self) -> DataFrame:
@@ -296,4 +306,4 @@ class Feeds:
 
     @cached_property
     def fact_acte(self) -> DataFrame:
-        return star.fact_acte(self.silver("actes"))
+        return star.fact_acte(self._carried_acts)
