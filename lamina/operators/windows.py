@@ -173,7 +173,10 @@ def pairs_within(df: DataFrame, entity: str, start: str, end: str, days: int, ma
     )
     line = Window.partitionBy("_entity", "_slot").orderBy("_at", "_asks")
     so_far = line.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = line.rowsBetween(1, Window.unboundedFollowing)
+    # Looking ahead is looking back on the reversed line: a frame that is open
+    # towards the end would be read again for every row.
+    backwards = Window.partitionBy("_entity", "_slot").orderBy(F.col("_at").desc(), F.col("_asks").desc())
+    ahead = backwards.rowsBetween(Window.unboundedPreceding, 0)
     begun = F.when(F.col("_asks") == 0, F.col("_at"))
     answered = (
         starts.unionByName(questions)
