@@ -68,7 +68,9 @@ def work_root(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder all executors share")
-    return _local_roots.setdefault(context.applicationId, tempfile.mkdtemp(prefix="lamina-"))
+    if context.applicationId not in _local_roots:
+        _local_roots[context.applicationId] = tempfile.mkdtemp(prefix="lamina-")
+    return _local_roots[context.applicationId]
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
