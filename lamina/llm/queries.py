@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lamina.llm import records
-from lamina.llm.common import shared_folder, table
+from lamina.llm import records, secrets, simhash
+from lamina.llm.common import shared_folder, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,3 +27,27 @@ def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoder = records.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
     manifest = records.write_records(table(spark, sf_dir, "documents"), folder, encoder)
     return records.read_records(manifest, folder).withColumnRenamed("key", "doc_id")
+
+
+@query
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every text, found through a ledger of blobs that starts empty."""
+    versions = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ledger = secrets.update(versions, shared_folder(spark, "ledger"), first=True)
+    found = secrets.findings(versions, ledger)
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in ("assign", "access", "hex")]
+    spans = secrets.as_text(F.col("found"))
+    return found.select("doc_id", *counts, F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
+
+
+@query
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of three-word shingles, and the components of those that differ in two bits at most."""
+    points = written(simhash.fingerprints(table(spark, sf_dir, "documents")), "fingerprints")
+    groups = simhash.near_groups(points, radius=2)
+    return groups.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"),
+                         F.col("component").alias("component_id"))
