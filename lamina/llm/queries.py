@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lamina.llm import records, secrets, simhash
+from lamina.llm import decontaminate, records, secrets, simhash
 from lamina.llm.common import shared_folder, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_groups(points, radius=2)
     return groups.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"),
                          F.col("component").alias("component_id"))
+
+
+@query
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where texts run like a benchmark item, words replaced or not."""
+    found = decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnsRenamed({"doc": "doc_id", "item": "item_id", "start": "start_word"})
