@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lamina.llm import decontaminate, records, secrets, simhash
+from lamina.llm import decontaminate, quality, records, secrets, simhash
 from lamina.llm.common import shared_folder, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,10 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where texts run like a benchmark item, words replaced or not."""
     found = decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.withColumnsRenamed({"doc": "doc_id", "item": "item_id", "start": "start_word"})
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's quality, by a scorer that learnt from the texts alone."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.scored(docs, quality.fit(docs)).drop("text")
