@@ -1,13 +1,59 @@
-"""The corpus pipeline: documents through the text operators, stage by stage."""
+"""The corpus pipeline: documents through five text operators, each on all that the one before it kept.
+
+Stages take and give the columns of `documents`; the last gives segmentations.
+Rows are kept or dropped by their texts, whatever their other columns hold.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from lamina.llm import decontaminate, pieces, quality, secrets, simhash
+from lamina.llm.common import shared_folder, table, written
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is at least a half; the classifier learns from the documents themselves."""
+    return quality.scored(docs, quality.fit(docs)).where("kept").select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five-word shingles, similarity 0.8) the document of the smallest id."""
+    return simhash.keep_one(docs)
+
+
+def off_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark passage is found. Documents of one id go or stay together."""
+    found = decontaminate.overlaps(docs, table(spark, sf_dir, "benchmark"))
+    leaked = written(found.select(F.col("doc").alias("doc_id")).distinct(), "leaked")
+    return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the secrets in their texts replaced and `n_chars` counted anew where there were any."""
+    ledger = secrets.update(docs, shared_folder(spark, "ledger"), first=True)
+    found = secrets.findings(docs, ledger).withColumn("text", secrets.redacted(F.col("text"), F.col("found")))
+    length = F.when(F.size("found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return found.withColumn("n_chars", length).select(*docs.columns)
+
+
+def segmented(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Two sampled segmentations of each document's text, as ids."""
+    import public_tokenizers
+
+    rows = pieces.encoded(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return rows.withColumnRenamed("key", "doc_id")
 
-from lamina.llm.common import table, written
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", good_quality),
+    ("simhash near-dedup", one_of_each_group),
+    ("benchmark decontamination", off_benchmark),
+    ("secret scans", without_secrets),
+    ("sentencepiece", segmented),
+]
 
+# A fitted classifier, sampled segmentations and 256-bit fingerprints are beyond SQL.
 ORACLE_SQL = None
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lamina.llm import decontaminate, quality, records, secrets, simhash
+from lamina.llm import decontaminate, pieces, quality, records, secrets, simhash
 from lamina.llm.common import shared_folder, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's quality, by a scorer that learnt from the texts alone."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.scored(docs, quality.fit(docs)).drop("text")
+
+
+@query
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two distinct segmentations of every text, drawn by the chances of its lattice, and whether they decode to it."""
+    import public_tokenizers
+
+    rows = pieces.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return rows.withColumnRenamed("key", "doc_id")
