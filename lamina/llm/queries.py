@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lamina.llm import decontaminate, pieces, quality, records, secrets, simhash
+from lamina.llm import decontaminate, language, pieces, quality, records, secrets, simhash
 from lamina.llm.common import shared_folder, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,12 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = pieces.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return rows.withColumnRenamed("key", "doc_id")
+
+
+@query
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, learnt from the labels of three quarters of the documents."""
+    docs = table(spark, sf_dir, "documents").withColumn("part", language.remainder("doc_id"))
+    parser = language.fit(docs.where("part != 2"))
+    held_out = F.coalesce(F.col("part") == 2, F.lit(False)).alias("held_out")
+    return language.identified(docs.select("doc_id", "text", held_out), parser).drop("text")
