@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lamina.llm import decontaminate, language, pieces, quality, records, secrets, simhash
+from lamina.llm import (
+    decontaminate, language, licenses, pieces, quality, records, revisits, secrets, simhash, topk,
+)
 from lamina.llm.common import shared_folder, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +85,87 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     parser = language.fit(docs.where("part != 2"))
     held_out = F.coalesce(F.col("part") == 2, F.lit(False)).alias("held_out")
     return language.identified(docs.select("doc_id", "text", held_out), parser).drop("text")
+
+
+@query
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of every fiftieth vector with all others."""
+    return topk.top_k(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+ORACLES["op4_exact_top_k"] = """
+WITH points AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM points q JOIN points c ON c.vec_id <> q.vec_id
+  WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+@query
+def op5_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every not-modified capture of the pages, with the response that it stands for and its merged headers."""
+    found = revisits.resolved(revisits.captures(table(spark, sf_dir, "pages")))
+    lines = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat_ws(": ", e["key"], e["value"])))
+    return found.select("record_id", "url", "at", "verdict", "refers_to", "refers_at", "status",
+                        F.array_join(lines, "\n").alias("headers"), "digest")
+
+
+ORACLES["op5_revisits"] = r"""
+WITH pages_ AS (
+  SELECT page_id, url, coalesce(html, '') AS html, page_id * 40 AS moment,
+         (page_id + 1 + ((page_id * 7919) % 97 + 97) % 97) * 40 AS later,
+         regexp_replace(regexp_replace(trim(url, ' '), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare
+  FROM pages
+), split AS (
+  SELECT *, regexp_replace(bare, '\?.*$', '') AS place,
+         regexp_replace(regexp_replace(bare, '^[^?]*', ''), '^\?', '') AS asked
+  FROM pages_
+), named AS (
+  SELECT *, md5(html) AS digest, '"' || substr(md5(html), 1, 16) || '"' AS tag, 't' || moment AS changed,
+         regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(place, '/.*$', '')), '^[^@]*@', ''),
+                        '^www[.]', ''), ':(80|443)?$', '') AS host,
+         regexp_replace(regexp_replace(place, '^[^/]*', ''), '/+$', '') AS path,
+         array_to_string(list_sort(list_filter(string_split(asked, '&'),
+                         lambda p: p <> '' AND NOT starts_with(p, 'utm_'))), '&') AS parts
+  FROM split
+), keyed AS (
+  SELECT *, nullif(host || path || CASE WHEN parts <> '' THEN '?' || parts ELSE '' END, '') AS canonical FROM named
+), answers AS (
+  SELECT canonical, moment, max(page_id) AS page_id FROM keyed GROUP BY canonical, moment
+), found AS (
+  SELECT k.*, a.page_id AS other
+  FROM keyed k ASOF LEFT JOIN answers a ON k.canonical = a.canonical AND k.later > a.moment
+), judged AS (
+  SELECT f.*, o.moment AS other_at, o.html AS stored, o.digest AS stored_digest, o.tag AS stored_tag, o.changed AS stored_changed,
+         CASE WHEN o.page_id IS NULL THEN 'unmatched'
+              WHEN CASE ((f.page_id % 3) + 3) % 3 WHEN 0 THEN f.digest = o.digest WHEN 1 THEN f.tag = o.tag
+                   ELSE f.changed = o.changed END THEN 'resolved'
+              ELSE 'mismatch' END AS verdict
+  FROM found f LEFT JOIN keyed o ON f.other = o.page_id
+)
+SELECT page_id * 2 + 1 AS record_id, regexp_replace(url, '^http:', 'https:') AS url, later AS "at", verdict,
+       other * 2 AS refers_to, other_at AS refers_at,
+       CASE WHEN verdict = 'resolved' THEN 200 END AS status,
+       CASE WHEN verdict = 'resolved' THEN
+         'age: ' || later || chr(10) || 'cache-control: max-age=120' || chr(10) || 'content-length: ' || strlen(stored)
+         || chr(10) || 'content-type: text/html' || chr(10) || 'etag: '
+         || CASE WHEN ((page_id % 3) + 3) % 3 = 1 THEN 'W/' || tag ELSE stored_tag END
+         || chr(10) || 'last-modified: ' || stored_changed END AS headers,
+       CASE WHEN verdict = 'resolved' THEN stored_digest END AS digest
+FROM judged
+"""
+
+
+@query
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence texts and notices in every text."""
+    return licenses.scanned(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
