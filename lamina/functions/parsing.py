@@ -16,6 +16,12 @@ TIMESTAMP_LAYOUTS = [
     "yyyyMMdd HHmmss",
     "yyyyMMddHHmmss",
     "yyyyMMdd",
+    "dd.MM.yyyy HH:mm:ss",
+    "dd.MM.yyyy HH:mm",
+    "dd.MM.yyyy",
+    "d MMM yyyy HH:mm:ss",
+    "d MMM yyyy HH:mm",
+    "d MMM yyyy",
 ]
 
 
@@ -31,8 +37,17 @@ def tolerant_decimal(text: Column, precision: int, scale: int) -> Column:
 
 
 def tolerant_timestamp(text: Column, layouts: list[str] | None = None) -> Column:
-    """Timestamp in ISO form or one of the layouts, else NULL."""
-    iso = F.when(text.rlike(r"^\s*[0-9]{4}-"), text.try_cast("timestamp_ntz"))
+    """Timestamp in ISO form, as seconds since 1970 or in one of the layouts, else NULL.
+
+    A time with an offset or `Z` is given in UTC, the session's time zone.
+    """
+    dated = text.rlike(r"^\s*[0-9]{4}-")
+    shifted = text.rlike(r"[0-9]{2}:[0-9]{2}\S*\s*(Z|[+-][0-9]{2}(:?[0-9]{2})?)\s*$")
+    iso = F.coalesce(
+        F.when(dated & shifted, text.try_cast("timestamp").cast("timestamp_ntz")),
+        F.when(dated & ~shifted, text.try_cast("timestamp_ntz")),
+        F.when(text.rlike(r"^\s*[0-9]{9,10}\s*$"), F.timestamp_seconds(F.trim(text).try_cast("bigint")).cast("timestamp_ntz")),
+    )
     others = [
         F.try_to_timestamp(text, F.lit(layout)).cast("timestamp_ntz")
         for layout in (TIMESTAMP_LAYOUTS if layouts is None else layouts)

@@ -27,7 +27,7 @@ def superseded_versions(df: DataFrame, keys: list[str], order: list[str]) -> Dat
     """The rows `latest_version` leaves out, exact copies counted in `nb_lignes`.
 
     Keys delivered once, nearly all of them, stop at a count of the key column.
-    Copies collapse before the shuffle and no window sees a whole key.
+    No window sees a whole key, and a key with most of the rows is split in both joins.
     """
     repeated = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).drop("_n")
     versions = (

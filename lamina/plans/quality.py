@@ -16,6 +16,9 @@ from lamina.operators.windows import outside_window
 
 Tables = dict[str, DataFrame]
 
+# Half a unit of the second digit, and room for the last bits of a double.
+SHARE_ROUNDING = 0.005 + 1e-9
+
 
 def stacked(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
@@ -374,9 +377,12 @@ def kpi_invariants(kpis: Tables, gold: Tables, cohorts: Tables) -> DataFrame:
     undescribed = gold["dim_service"].where(F.col("categorie") == UNDESCRIBED).select("service_code")
     no_beds = gold["dim_service"].where(F.col("capacite_lits").isNull()).select("service_code")
 
-    def shares(table):
-        sums = kpis[table].groupBy("service_code").agg(F.round(F.sum("part_pct")).alias("t"))
-        return violations(sums, {f"{table} : parts d'un service = 100": F.col("t") != 100})
+    def shares(table, of, group=None):
+        """Each share against its own quotient: rounded shares need not add up to 100."""
+        whole = kpis[table].groupBy(*([group] if group else [])).agg(F.sum(of).alias("whole"))
+        both = kpis[table].join(whole, group) if group else kpis[table].withColumn("whole", whole.scalar())
+        off = F.abs(F.col("part_pct") - F.lit(100.0) * F.col(of) / F.col("whole")) > SHARE_ROUNDING
+        return violations(both, {f"{table} : part = son quotient": F.coalesce(off, F.lit(True))})
 
     described = (
         cells.groupBy("code_cim10").agg(F.sum("nb_patients").alias("decrits"))
@@ -415,7 +421,6 @@ def kpi_invariants(kpis: Tables, gold: Tables, cohorts: Tables) -> DataFrame:
         "kpi_actes_service : tous les actes": (total(k["kpi_actes_service"], "nb_actes"), total(acts)),
         "kpi_actes_service : séjours non gonflés": (total(k["kpi_actes_service"], "nb_sejours"), total(stays)),
         "kpi_actes_type : tous les actes": (total(k["kpi_actes_type"], "nb_actes"), total(acts)),
-        "kpi_actes_type : parts = 100": (k["kpi_actes_type"].agg(F.round(F.sum("part_pct"))), 100),
         "kpi_densite_actes_lit : écart = services sans capacité": (
             total(k["kpi_actes_service"].join(no_beds, "service_code", "left_semi"), "nb_actes"),
             total(acts.join(no_beds, "service_code", "left_semi")),
@@ -474,8 +479,9 @@ def kpi_invariants(kpis: Tables, gold: Tables, cohorts: Tables) -> DataFrame:
                     "kpi_occupation_jour : fenêtre": F.col("jour") > horizon,
                 },
             ),
-            shares("kpi_casemix_service"),
-            shares("kpi_origine_service"),
+            shares("kpi_casemix_service", "nb_sejours", "service_code"),
+            shares("kpi_origine_service", "nb_sejours", "service_code"),
+            shares("kpi_actes_type", "nb_actes"),
             violations(
                 k["kpi_origine_service"],
                 {

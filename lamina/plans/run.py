@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from contextlib import contextmanager
 from datetime import date, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -37,26 +38,18 @@ def checked_day(day: str | date) -> date:
     return day if isinstance(day, date) else datetime.strptime(day, "%Y-%m-%d").date()
 
 
-@contextmanager
-def stage(warehouse: Warehouse, run_id: str, name: str, day: date | None = None):
-    """Time a stage and record it, whether it ends well or not."""
-    started, clock = datetime.now(), time.monotonic()
-    counter = {"lignes": 0}
-
-    def record(status, message):
-        warehouse.record(
-            run_id=run_id, etape=name, jour=day, statut=status, lignes=int(counter["lignes"]),
-            duree_s=round(time.monotonic() - clock, 3), message=message[:500],
-            demarre_a=started, termine_a=datetime.now(),
-        )
-
+def ledgered(warehouse: Warehouse, run_id: str, name: str, task: Callable[[], dict], day: date | None = None) -> int:
+    """Run a task that returns rows per table, and put one line about it in the ledger, also when it fails."""
+    begun = time.monotonic()
+    line = dict(run_id=run_id, etape=name, jour=day, statut="echec", lignes=0, message="", demarre_a=datetime.now())
     try:
-        yield counter
+        line |= dict(lignes=int(sum(task().values())), statut="succes")
+        return line["lignes"]
     except Exception as error:
-        counter["lignes"] = 0
-        record("echec", f"{type(error).__name__}: {error}")
+        line["message"] = f"{type(error).__name__}: {error}"
         raise
-    record("succes", "")
+    finally:
+        warehouse.record(**line, termine_a=datetime.now(), duree_s=round(time.monotonic() - begun, 3))
 
 
 def at_once(tasks: dict, workers: int = 8) -> dict:
@@ -115,6 +108,22 @@ def load_references(warehouse: Warehouse, files: DataFrame, run_id: str) -> dict
     return loaded
 
 
+def drift_report(warehouse: Warehouse, files: DataFrame, days: list[date]) -> DataFrame:
+    """What the given days (and the references) hold that is not declared, and what they lack: (fichier, colonne, ecart).
+
+    A file nobody declared is named without a column.
+    """
+    wanted = F.col("jour").isin(days) | (F.col("feed") == "referentiels") if days else F.col("feed") == "referentiels"
+    unknown = drops.undeclared_files(files.where(wanted)).select(
+        F.concat_ws("/", "feed", F.col("jour").cast("string"), "fichier").alias("fichier"),
+        F.lit(None).cast("string").alias("colonne"), F.lit("non declare").alias("ecart"))
+    found: dict[tuple[str, str], list[str]] = {}
+    for row in drops.daily_files(files).where(wanted & (F.col("taille") > 0)).collect():  # one row for each file
+        found.setdefault((row.feed, row.fichier), []).append(row.chemin)
+    parts = [drops.lake_drift(warehouse.spark, *names, paths) for names, paths in sorted(found.items())]
+    return reduce(DataFrame.unionByName, parts, unknown)
+
+
 # ---- silver ----------------------------------------------------------------
 
 
@@ -252,14 +261,15 @@ def run(
     if chosen is None:
         available = drops.days_available(drops.daily_files(files))
         chosen = sorted(row.jour for row in available.collect()) if everything else pending(warehouse, files)
+    drift = drift_report(warehouse, files, chosen)
+    ledgered(warehouse, run_id, "ecarts", lambda: {"ecarts": warehouse.append("ops", "ecarts", stamped(drift, run_id))})
     if chosen:
-        with stage(warehouse, run_id, "bronze", chosen[0] if len(chosen) == 1 else None) as counter:
-            counter["lignes"] = sum(ingest(warehouse, files, chosen, salt, run_id).values())
-    with stage(warehouse, run_id, "referentiels") as counter:
-        counter["lignes"] = sum(load_references(warehouse, files, run_id).values())
+        ledgered(
+            warehouse, run_id, "bronze", lambda: ingest(warehouse, files, chosen, salt, run_id),
+            chosen[0] if len(chosen) == 1 else None,
+        )
+    ledgered(warehouse, run_id, "referentiels", lambda: load_references(warehouse, files, run_id))
     bronze = bronze_tables(warehouse)
-    with stage(warehouse, run_id, "silver") as counter:
-        counter["lignes"] = sum(build_silver(warehouse, bronze, run_id).values())
-    with stage(warehouse, run_id, "gold") as counter:
-        counter["lignes"] = sum(build_gold(warehouse, bronze, run_id, limits).values())
+    ledgered(warehouse, run_id, "silver", lambda: build_silver(warehouse, bronze, run_id))
+    ledgered(warehouse, run_id, "gold", lambda: build_gold(warehouse, bronze, run_id, limits))
     return run_id

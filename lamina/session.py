@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Timestamps are wall-clock values; UTC keeps casts to and from them exact.
-# Skew handling splits a hot join key over many tasks at run time.
+# Skew handling splits a hot join key over many tasks at run time, also where an
+# aggregation above the join would else have spared itself a shuffle.
 RUNTIME = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
 }
 
@@ -21,8 +22,6 @@ RUNTIME = {
 # messages use, it does so far less.
 STATIC = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
-_local_roots: dict[str, str] = {}
-
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the run-time settings to a session that already exists."""
@@ -40,37 +39,10 @@ def start(master: str, name: str = "lamina", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Size of a frame as the optimizer estimates it; exact for a plain file scan."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-def spread(df: DataFrame, low: int = 1 << 20, high: int = 128 << 20) -> DataFrame:
-    """Deal a small scan out to all cores.
-
-    A file of one row group is read by one task, and so is everything up to
-    the next shuffle. Between 1 MB and the size of one ordinary split the
-    extra shuffle costs less than that; larger scans have splits enough.
-    """
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if low <= plan_bytes(df) < high else df
-
-
 def work_root(spark: SparkSession) -> str:
-    """Folder for written tables: the one the cluster shares, else one of our own.
-
-    A local session without `spark.checkpoint.dir` (tests) gets a temporary
-    folder; on a cluster the setting is required, since executors on other
-    machines could not see a local folder.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder all executors share")
-    if context.applicationId not in _local_roots:
-        _local_roots[context.applicationId] = tempfile.mkdtemp(prefix="lamina-")
-    return _local_roots[context.applicationId]
+    """Folder for written tables that all executors see: `spark.checkpoint.dir`, else one in the warehouse."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_work"
+    return shared.rstrip("/")
 
 
 def new_folder(spark: SparkSession, label: str) -> str:

@@ -62,13 +62,20 @@ def latest_reference(files: DataFrame) -> DataFrame:
     )
 
 
-def declared_files(files: DataFrame) -> DataFrame:
-    """Files the whitelist knows. The others are never read."""
-    known = reduce(
+def _declared() -> Column:
+    return reduce(
         lambda a, b: a | b,
         [(F.col("feed") == feed) & (F.col("fichier") == name) for feed, name in LAKE_COLUMNS],
     )
-    return files.where(known)
+
+
+def declared_files(files: DataFrame) -> DataFrame:
+    """Files the whitelist knows. The others are never read."""
+    return files.where(_declared())
+
+
+def undeclared_files(files: DataFrame) -> DataFrame:
+    return files.where(~_declared())
 
 
 def daily_files(files: DataFrame) -> DataFrame:
@@ -83,10 +90,14 @@ def _with_origin(df: DataFrame) -> DataFrame:
     return df.select("*", day_from_path(path).alias("_jour_depot"), provenance(path).alias("_fichier_source"))
 
 
+# A quoted value may hold line breaks, so a file is read by one task: a drop is one file per feed and day.
+CSV = {"header": True, "escape": '"', "multiLine": True}
+
+
 def csv_headers(spark: SparkSession, paths: list[str]) -> dict[str, tuple[str, ...]]:
     """Header of each file: only first lines are read, several files at a time."""
     def header(path):
-        return tuple(spark.read.option("header", True).option("escape", '"').csv(path).columns)
+        return tuple(spark.read.options(**CSV).csv(path).columns)
 
     with ThreadPoolExecutor(8) as pool:
         return dict(zip(paths, pool.map(header, paths)))
@@ -108,7 +119,7 @@ def read_csv(spark: SparkSession, paths: list[str], headers: dict | None = None)
     frames = []
     for header, members in groups.items():
         schema = ", ".join(f"`{name}` string" for name in header)
-        scan = spark.read.schema(schema).option("header", True).option("escape", '"').csv(members)
+        scan = spark.read.schema(schema).options(**CSV).csv(members)
         frames.append(_with_origin(scan))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
@@ -43,9 +44,36 @@ class Warehouse:
         """Rewrite a whole table and return its number of rows, counted while writing."""
         seen = Observation()
         counted = df.observe(seen, F.count(F.lit(1)).alias("n"))
-        writer = counted.write.mode("overwrite")
-        (writer.partitionBy(partition) if partition else writer).parquet(self.path(layer, table))
+        self.swap_in(layer, table, counted, partition)
+        return seen.get["n"]
+
+    def draft(self, layer: str, table: str) -> str:
+        return self.path(layer, f"_draft-{table}-{uuid.uuid4().hex[:12]}")
+
+    def move(self, source: str, target: str) -> None:
+        """Put a written folder in the place of another."""
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        here, there = hadoop(source), hadoop(target)
+        system = here.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        system.mkdirs(there.getParent())
+        system.delete(there, True)
+        if not system.rename(here, there):
+            raise OSError(f"{source} could not be moved to {target}")
+
+    def swap_in(self, layer: str, table: str, df: DataFrame, partition: str | None) -> None:
+        """Write a table beside the one in place, and put it there once it is whole.
+
+        A write that fails leaves the old table as it was.
+        """
+        draft = self.draft(layer, table)
+        (df.write.partitionBy(partition) if partition else df.write).parquet(draft)
+        self.move(draft, self.path(layer, table))
         self.written[(layer, table)] = df.schema
+
+    def append(self, layer: str, table: str, df: DataFrame) -> int:
+        """Add rows to a table, counted while writing."""
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(self.path(layer, table))
         return seen.get["n"]
 
     def replace_judged(self, table: str, judged: DataFrame) -> int:
@@ -56,8 +84,8 @@ class Warehouse:
         """
         seen = Observation()
         counted = judged.observe(seen, F.count_if(F.col("_motif") == KEPT).alias("n"))
-        counted.write.mode("overwrite").partitionBy("_motif").parquet(self.path("silver", table))
-        self.written[("silver", table)] = judged.schema
+        # The hint sizes files by motif at run time and splits the large one, the kept rows.
+        self.swap_in("silver", table, counted.hint("rebalance", "_motif"), "_motif")
         return seen.get["n"]
 
     def judged(self, table: str) -> DataFrame:
@@ -73,21 +101,18 @@ class Warehouse:
         Only partitions the rows belong to are rewritten. A day that was dropped
         again without any row is emptied; a day not given is not touched.
         """
-        seen = Observation()
-        counts = [F.count_if(F.col("_jour_depot") == F.lit(day)).alias(str(day)) for day in days]
-        path = self.path(layer, table)
-        (
-            df.observe(seen, *counts)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("_jour_depot")
-            .parquet(path)
-        )
-        per_day = {day: seen.get[str(day)] for day in days}
+        path, draft = self.path(layer, table), self.draft(layer, table)
+        df.hint("rebalance", "_jour_depot").write.partitionBy("_jour_depot").parquet(draft)
+        # One row for each day, counted from footers.
+        counted = partition_volumes(self.spark.read.schema(df.schema).parquet(draft), "_jour_depot").collect()
+        per_day = dict.fromkeys(days, 0) | {row["_jour_depot"]: row["lignes"] for row in counted}
         for day, rows in per_day.items():
-            if rows == 0:
+            part = f"_jour_depot={day}"
+            if rows:
+                self.move(f"{draft}/{part}", f"{path}/{part}")
+            else:
                 empty = df.where(F.lit(False)).drop("_jour_depot")
-                empty.write.mode("overwrite").parquet(f"{path}/_jour_depot={day}")
+                empty.write.mode("overwrite").parquet(f"{path}/{part}")
         return per_day
 
     def loaded_days(self, feeds) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 
 from lamina.contract import DIMENSIONS, KPI_TABLES
-from lamina.plans.run import build_gold, build_silver, new_run_id, stage
+from lamina.plans.run import build_gold, build_silver, ledgered, new_run_id
 from lamina.session import new_folder
 from lamina.sources.warehouse import Warehouse
 from registry.feeds import Feeds
@@ -24,10 +24,8 @@ _built: dict[tuple[str, str], Warehouse] = {}
 
 def build(f: Feeds) -> Warehouse:
     warehouse, run_id = Warehouse(f.spark, new_folder(f.spark, "warehouse")), new_run_id()
-    with stage(warehouse, run_id, "silver") as counter:
-        counter["lignes"] = sum(build_silver(warehouse, f.bronze, run_id).values())
-    with stage(warehouse, run_id, "gold") as counter:
-        counter["lignes"] = sum(build_gold(warehouse, f.bronze, run_id).values())
+    ledgered(warehouse, run_id, "silver", lambda: build_silver(warehouse, f.bronze, run_id))
+    ledgered(warehouse, run_id, "gold", lambda: build_gold(warehouse, f.bronze, run_id))
     return warehouse
 
 

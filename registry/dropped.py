@@ -20,15 +20,18 @@ PATIENT = {
     "patient_id": "if(c_custkey % 97 = 0, '  ', concat('IPP', lpad(c_custkey, 7, '0')))",
     "nir": "lpad(c_custkey, 15, '1')",
     "nom": "c_name",
-    "prenom": "concat('Prénom, \"', c_nationkey, '\"')",
+    "prenom": "concat('Prénom, \"', c_nationkey, '\"', if(c_custkey % 11 = 0, concat(char(10), 'Le', char(10), 'Gall'), ''))",
     "birth_date": "CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '09/12/1933' ELSE concat(1930 + c_custkey % 70, '-06-30') END",
     "sex": "if(c_custkey % 2 = 0, 'M', ' f ')",
     "region_code": "c_mktsegment",
 }
 
-WRITTEN_TS = """CASE o_orderkey % 6 WHEN 0 THEN date_format(o_orderdate, 'yyyy-MM-dd HH:mm:ss')
+WRITTEN_TS = """CASE o_orderkey % 10 WHEN 0 THEN date_format(o_orderdate, 'yyyy-MM-dd HH:mm:ss')
     WHEN 1 THEN date_format(o_orderdate, "yyyy-MM-dd'T'HH:mm:ss") WHEN 2 THEN date_format(o_orderdate, 'dd/MM/yyyy HH:mm')
-    WHEN 3 THEN 'n/a' WHEN 4 THEN '' ELSE date_format(o_orderdate, 'yyyyMMdd') END"""
+    WHEN 3 THEN 'n/a' WHEN 4 THEN '' WHEN 5 THEN date_format(o_orderdate, 'yyyyMMdd')
+    WHEN 6 THEN concat(date_format(o_orderdate + INTERVAL 2 HOURS, "yyyy-MM-dd'T'HH:mm:ss"), '+02:00')
+    WHEN 7 THEN cast(unix_seconds(cast(o_orderdate AS timestamp)) AS string)
+    WHEN 8 THEN date_format(o_orderdate, 'd MMM yyyy') ELSE date_format(o_orderdate, 'dd.MM.yyyy HH:mm') END"""
 
 STAY = {
     "stay_id": "cast(o_orderkey AS string)",

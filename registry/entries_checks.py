@@ -269,10 +269,12 @@ _HORIZON = "(SELECT max(date_admission) FROM fact_sejour)"
 _NO_BEDS = "(SELECT service_code FROM dim_service WHERE capacite_lits IS NULL)"
 
 
-def share_sums(table: str) -> tuple[str, str]:
+def share_terms(table: str, of: str, group: str = "") -> tuple[str, str]:
+    over = f"PARTITION BY {group}" if group else ""
     return (
-        f"{table} : parts d''un service = 100",
-        f"SELECT count(*) FROM (SELECT service_code FROM {table} GROUP BY 1 HAVING round(sum(part_pct)) <> 100)",
+        f"{table} : part = son quotient",
+        f"SELECT count(*) FROM (SELECT abs(part_pct - 100.0::DOUBLE * {of} / sum({of}) OVER ({over})) AS ecart FROM {table}) "
+        "WHERE ecart > 0.005 + 1e-9 OR ecart IS NULL",
     )
 
 
@@ -293,7 +295,6 @@ entry(
         ("kpi_actes_service : tous les actes", "SELECT sum(nb_actes) FROM kpi_actes_service", "SELECT count(*) FROM fact_acte"),
         ("kpi_actes_service : séjours non gonflés", "SELECT sum(nb_sejours) FROM kpi_actes_service", "SELECT count(*) FROM fact_sejour"),
         ("kpi_actes_type : tous les actes", "SELECT sum(nb_actes) FROM kpi_actes_type", "SELECT count(*) FROM fact_acte"),
-        ("kpi_actes_type : parts = 100", "SELECT round(sum(part_pct)) FROM kpi_actes_type", "100"),
         ("kpi_densite_actes_lit : écart = services sans capacité", f"SELECT sum(nb_actes) FROM kpi_actes_service WHERE service_code IN {_NO_BEDS}", f"SELECT count(*) FROM fact_acte WHERE service_code IN {_NO_BEDS}"),
         ("kpi_densite_actes_lit : sans capacité, sans ligne", f"SELECT count(*) FROM kpi_densite_actes_lit WHERE service_code IN {_NO_BEDS}", "0"),
         ("kpi_facturation_service : tous les services", "SELECT count(*) FROM kpi_facturation_service", "SELECT count(DISTINCT service_code) FROM fact_acte"),
@@ -313,8 +314,9 @@ entry(
         ("fact_releve : alerte = réunion des motifs", "SELECT count(*) FROM fact_releve WHERE en_alerte <> greatest(alerte_fc, alerte_spo2, alerte_temp)"),
         ("kpi_occupation_jour : présents >= admis", "SELECT count(*) FROM kpi_occupation_jour WHERE nb_presents < nb_admissions"),
         ("kpi_occupation_jour : fenêtre", f"SELECT count(*) FROM kpi_occupation_jour WHERE jour > {_HORIZON}"),
-        share_sums("kpi_casemix_service"),
-        share_sums("kpi_origine_service"),
+        share_terms("kpi_casemix_service", "nb_sejours", "service_code"),
+        share_terms("kpi_origine_service", "nb_sejours", "service_code"),
+        share_terms("kpi_actes_type", "nb_actes"),
         ("kpi_origine_service : patients <= séjours", "SELECT count(*) FROM kpi_origine_service WHERE nb_patients > nb_sejours"),
         ("kpi_origine_service : région renseignée", "SELECT count(*) FROM kpi_origine_service WHERE region_code = ''"),
         ("kpi_actes_service : séjours avec acte <= séjours", "SELECT count(*) FROM kpi_actes_service WHERE nb_sejours_avec_acte > nb_sejours"),

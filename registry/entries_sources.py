@@ -25,7 +25,7 @@ def hmac_sql(text: str) -> str:
 _PEOPLE = {
     "people": """SELECT c_custkey,
            CASE WHEN c_custkey % 97 = 0 THEN '  ' ELSE 'IPP' || lpad(CAST(c_custkey AS VARCHAR), 7, '0') END AS patient_id,
-           lpad(CAST(c_custkey AS VARCHAR), 15, '1') AS nir, c_name AS nom, 'Prénom, "' || c_nationkey || '"' AS prenom,
+           lpad(CAST(c_custkey AS VARCHAR), 15, '1') AS nir, c_name AS nom, 'Prénom, "' || c_nationkey || '"' || CASE WHEN c_custkey % 11 = 0 THEN chr(10) || 'Le' || chr(10) || 'Gall' ELSE '' END AS prenom,
            CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '09/12/1933' ELSE (1930 + c_custkey % 70) || '-06-30' END AS birth_date,
            CASE WHEN c_custkey % 2 = 0 THEN 'M' ELSE ' f ' END AS sex, c_mktsegment AS region_code,
            CASE WHEN c_custkey % 2 = 0 THEN '2001-08-01' ELSE '2001-08-02' END AS _jour_depot
@@ -118,8 +118,8 @@ def pseudo_join_survives(f):
 
 _STAYS = {
     "written": """SELECT CAST(o_orderkey AS VARCHAR) AS stay_id, o_orderdate,
-           CASE WHEN o_orderkey % 6 NOT IN (3, 4) THEN date_trunc('minute', o_orderdate) END AS sortie,
-           CAST(o_orderkey % 6 = 3 AS INTEGER) AS illisible, o_orderkey, o_orderpriority, o_orderstatus
+           CASE WHEN o_orderkey % 10 NOT IN (3, 4) THEN date_trunc('minute', o_orderdate) END AS sortie,
+           CAST(o_orderkey % 10 = 3 AS INTEGER) AS illisible, o_orderkey, o_orderpriority, o_orderstatus
         FROM orders"""
 }
 

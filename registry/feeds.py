@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lamina.operators.rules import kept
 from lamina.plans import silver, star
-from lamina.session import prepare, spread
+from lamina.session import prepare
 
 BRANDS_WITHOUT_LABEL = "Brand#13"
 
@@ -54,7 +54,7 @@ class Feeds:
             reader = self.spark.read
             if name in SCHEMAS:
                 reader = reader.schema(SCHEMAS[name])
-            self._tables[name] = spread(reader.parquet(f"{self.folder}/{name}.parquet"))
+            self._tables[name] = reader.parquet(f"{self.folder}/{name}.parquet")
         return self._tables[name]
 
     # ---- nomenclatures
