@@ -68,7 +68,7 @@ def lineage_counts(bronze: DataFrame) -> DataFrame:
 
 
 STATE_TABLES = [
-    ("silver", "sejours"), ("quarantaine", "rejets"), ("gold_pilotage", "fact_sejour"), ("gold_recherche", "coh_prevalence"),
+    ("bronze", "sejours"), ("silver", "sejours"), ("quarantaine", "rejets"), ("gold_pilotage", "fact_sejour"), ("gold_recherche", "coh_prevalence"),
 ]
 
 
@@ -94,14 +94,24 @@ def days_state(warehouse: Warehouse, files: DataFrame) -> DataFrame:
     return drops.days_available(daily).join(waiting, "jour", "left").select("jour", state.alias("etat"))
 
 
-def state_report(warehouse: Warehouse, steps: int = 5) -> DataFrame:
-    """Volumes and the latest ledger lines, as one list of (section, cle, valeur)."""
+def state_report(warehouse: Warehouse, steps: int = 5, files: DataFrame | None = None) -> DataFrame:
+    """Volumes, the latest ledger lines with their durations, and the days of the drops if their list is given.
+
+    One list of (section, cle, valeur).
+    """
     volumes = table_volumes(warehouse).select(
         F.lit("volumes").alias("section"), F.col("table").alias("cle"), F.col("lignes").cast("string").alias("valeur")
     )
-    lines = latest_lines(warehouse.read("ops", "executions"), steps).select(
-        F.lit("étapes").alias("section"),
-        F.concat_ws(" ", "run_id", "etape").alias("cle"),
-        F.concat_ws(" ", "statut", F.col("lignes").cast("string")).alias("valeur"),
-    )
-    return volumes.unionByName(lines)
+    ledger = latest_lines(warehouse.read("ops", "executions"), steps)
+    name = F.concat_ws(" ", "run_id", "etape").alias("cle")
+    lines = ledger.select(
+        F.lit("étapes").alias("section"), name, F.concat_ws(" ", "statut", F.col("lignes").cast("string")).alias("valeur"))
+    times = ledger.select(
+        F.lit("durées").alias("section"), name,
+        F.concat_ws(" ", F.col("demarre_a").cast("string"), F.col("duree_s").cast("string")).alias("valeur"))
+    report = volumes.unionByName(lines).unionByName(times)
+    if files is None:
+        return report
+    days = days_state(warehouse, files).select(
+        F.lit("jours").alias("section"), F.col("jour").cast("string").alias("cle"), F.col("etat").alias("valeur"))
+    return report.unionByName(days)

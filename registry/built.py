@@ -11,8 +11,9 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 
 from lamina.contract import DIMENSIONS, KPI_TABLES
-from lamina.plans.run import build_gold, build_silver, ledgered, new_run_id
+from lamina.plans.run import bronze_tables, build_gold, build_silver, ledgered, new_run_id
 from lamina.session import new_folder
+from lamina.sources.bronze import stamped
 from lamina.sources.warehouse import Warehouse
 from registry.feeds import Feeds
 
@@ -24,8 +25,10 @@ _built: dict[tuple[str, str], Warehouse] = {}
 
 def build(f: Feeds) -> Warehouse:
     warehouse, run_id = Warehouse(f.spark, new_folder(f.spark, "warehouse")), new_run_id()
-    ledgered(warehouse, run_id, "silver", lambda: build_silver(warehouse, f.bronze, run_id))
-    ledgered(warehouse, run_id, "gold", lambda: build_gold(warehouse, f.bronze, run_id))
+    for name, df in f.bronze.items():
+        warehouse.replace("bronze", name, stamped(df, run_id))
+    ledgered(warehouse, run_id, "silver", lambda: build_silver(warehouse, bronze_tables(warehouse), run_id))
+    ledgered(warehouse, run_id, "gold", lambda: build_gold(warehouse, bronze_tables(warehouse), run_id))
     return warehouse
 
 

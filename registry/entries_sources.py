@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lamina.contract import DIAGNOSTICS_JSON
+from lamina.contract import DIAGNOSTICS_JSON, DIMENSIONS, KPI_TABLES
 from lamina.functions.privacy import pseudonymise
 from lamina.plans import publish, quality
 from lamina.session import new_folder
@@ -314,17 +314,45 @@ def replay_partition(f):
 
 # ---- ledger, state, publication, lineage
 
-entry("run_ledger")(lambda f: latest_lines(built.warehouse(f).read("ops", "executions"), 5))
+_STEPS = {
+    "steps": """SELECT 'silver' AS etape, (SELECT count(*) FROM silver_patients) + (SELECT count(*) FROM silver_sejours)
+                       + (SELECT count(*) FROM silver_diagnostics) + (SELECT count(*) FROM silver_monitoring)
+                       + (SELECT count(*) FROM silver_actes) AS lignes
+                UNION ALL SELECT 'gold', """ + " + ".join(f"(SELECT count(*) FROM {t})" for t in (*DIMENSIONS, *built.FACTS, *KPI_TABLES, *built.COHORTS))
+}
+
+
+@entry("run_ledger", "SELECT etape, 'succes' AS statut, lignes, 1 AS horloge FROM steps", _STEPS)
+def run_ledger(f):
+    """The lines of a build; times, which no SQL could give, only as being in order."""
+    lines = latest_lines(built.warehouse(f).read("ops", "executions"), 5)
+    in_order = (F.col("duree_s") >= 0) & (F.col("termine_a") >= F.col("demarre_a")) & F.col("run_id").isNotNull()
+    return lines.select("etape", "statut", "lignes", in_order.cast("int").alias("horloge"))
 
 
-@entry("state_report")
+@entry(
+    "state_report",
+    """SELECT 'étapes' AS section, etape AS cle, 'succes ' || lignes AS valeur FROM steps
+       UNION ALL SELECT 'durées', etape, 'connue' FROM steps
+       UNION ALL SELECT 'volumes', 'bronze.sejours', CAST((SELECT count(*) FROM bronze_sejours) AS VARCHAR)
+       UNION ALL SELECT 'volumes', 'silver.sejours', CAST((SELECT count(*) FROM silver_sejours) AS VARCHAR)
+       UNION ALL SELECT 'volumes', 'quarantaine.rejets', CAST((SELECT count(*) FROM rejets) AS VARCHAR)
+       UNION ALL SELECT 'volumes', 'gold_pilotage.fact_sejour', CAST((SELECT count(*) FROM fact_sejour) AS VARCHAR)
+       UNION ALL SELECT 'volumes', 'gold_recherche.coh_prevalence', CAST((SELECT count(*) FROM coh_prevalence) AS VARCHAR)""",
+    _STEPS,
+)
 def state_report(f):
-    return publish.state_report(built.warehouse(f))
+    """The report of a build, its run id left out and its durations only as known."""
+    report = publish.state_report(built.warehouse(f))
+    step = F.when(F.col("section") == "volumes", F.col("cle")).otherwise(F.regexp_extract("cle", "[^ ]+$", 0))
+    known = F.when(F.col("section") == "durées", F.lit("connue")).otherwise(F.col("valeur"))
+    return report.select("section", step.alias("cle"), known.alias("valeur"))
 
 
 @entry(
     "table_volumes",
-    """SELECT 'silver.sejours' AS "table", (SELECT count(*) FROM silver_sejours) AS lignes
+    """SELECT 'bronze.sejours' AS "table", (SELECT count(*) FROM bronze_sejours) AS lignes
+       UNION ALL SELECT 'silver.sejours', (SELECT count(*) FROM silver_sejours)
        UNION ALL SELECT 'quarantaine.rejets', (SELECT count(*) FROM rejets)
        UNION ALL SELECT 'gold_pilotage.fact_sejour', (SELECT count(*) FROM fact_sejour)
        UNION ALL SELECT 'gold_recherche.coh_prevalence', (SELECT count(*) FROM coh_prevalence)""",
