@@ -22,7 +22,7 @@ slot the last response before each moment is found, and a slot hands its last
 response on to the following ones. A slot of `SLOT` seconds has that many moments
 at most, and a URL has as many slots as the crawl has days.
 
-Repeated revisits are resolved one by one. Rows without a time are unmatched if
+Repeated revisits are resolved one by one; a response that repeats counts once. Rows without a time are unmatched if
 revisits, and never a match. record_id tells responses apart.
 """
 
@@ -92,7 +92,7 @@ def resolved(records: DataFrame, slot: int = SLOT) -> DataFrame:
     joined = asked.join(latest_before(own, slot), ["canonical", "at"], "left")
     answers = own.where((F.col("kind") == "response") & (F.col("status") == 200)).select(
         F.col("record_id").alias("found"), F.col("headers").alias("stored"), F.col("digest").alias("stored_digest"),
-        F.col("at").alias("stored_at"), "body")
+        F.col("at").alias("stored_at"), "body").dropDuplicates(["found"])
     both = joined.join(answers, "found", "left")
 
     def tag(headers: str) -> Column:
