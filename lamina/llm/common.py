@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 from urllib.parse import urlparse
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+ROOT = str(Path(__file__).resolve().parents[2])
 BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
 
@@ -25,6 +28,10 @@ def bounded_batches(spark: SparkSession) -> None:
     if int(spark.conf.get(key)) > BATCH_ROWS or int(spark.conf.get(key)) <= 0:
         spark.conf.set(key, str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    # Python workers on this machine find the package where the driver has it; a cluster gets it with --py-files.
+    own = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if ROOT not in own.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (own, ROOT)))
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:

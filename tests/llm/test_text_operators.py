@@ -166,10 +166,30 @@ def test_one_of_each_group_stays(spark, awkward):
 def test_comparison_keeps_components_in_dense_tiles():
     fps = np.array([[k % 7] for k in range(50)], np.uint64).T
     own = (np.arange(50), fps, np.zeros(50, np.int64))
-    links = [p for left, right, _ in simhash.Comparison(3)(own, own, True) for p in zip(left.tolist(), right.tolist())]
+    links = [p for left, right in simhash.Comparison(3)(own, own, True) for p in zip(left.tolist(), right.tolist())]
     assert len(links) == 49
 
 
+def test_similarity_of_sets():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 60, int(rng.integers(0, 50)))) for _ in range(40)]
+    got = simhash.similar(sets[:25], sets[25:], 0.5, step=7)
+    for a, x in enumerate(sets[:25]):
+        for b, y in enumerate(sets[25:]):
+            common = len(np.intersect1d(x, y))
+            assert got[a, b] == (common > 0 and common >= 0.5 * (len(x) + len(y) - common))
+
+
+def test_large_group_of_near_copies(spark):
+    """200 texts, each with one word of its own: more than a tile; and 60 that only share their first half."""
+    words = [f"v{k}" for k in range(150)]
+    rows = [(k, " ".join(words[:70] + [f"own{k}"] + words[71:])) for k in range(200)]
+    rows += [(500 + k, " ".join(words[:75] + [f"x{k}y{j}" for j in range(75)])) for k in range(60)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    got = {r.id: r.component for r in simhash.similar_groups(docs).collect()}
+    assert got == {k: 0 for k in range(200)} | {500 + k: 500 + k for k in range(60)}
+
+
 # ---------------------------------------------------------------- 3 language
 
 TRAIN = {
