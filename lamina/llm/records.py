@@ -24,9 +24,11 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -38,9 +40,8 @@ PREFIX, PREFIX_SIZE = "<BBq", 10
 INDEX = np.dtype([("offset", "<u8"), ("length", "<u8")])
 BUFFER = 8 << 20
 
-# A word that ends in a lower-case letter followed by marks: pre-tokens never cross that border.
-LETTERS_MARKS = re.compile(rb"([a-z\x80-\xff]*[a-z])([^a-z0-9\x80-\xff'\s]+)")
-ONLY_LETTERS = re.compile(rb"[a-z]+")
+# Letters followed by ASCII marks (no apostrophe): pre-tokens never cross that border.
+LETTERS_MARKS = re.compile(rb"([A-Za-z\x80-\xff]+)([^A-Za-z0-9\x80-\xff'\s]+)")
 
 
 def masked(data: bytes) -> int:
@@ -77,7 +78,7 @@ class WordEncoder:
     parts are looked up separately. The store of words is emptied when full.
     """
 
-    def __init__(self, path: str, room: int = 700_000):
+    def __init__(self, path: str, room: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.path, self.room, self.known = path, room, {}
@@ -91,44 +92,67 @@ class WordEncoder:
             self.ends[[i for piece, i in vocabulary.items() if piece.endswith(suffix)]] = True
 
     def __reduce__(self):
-        return WordEncoder, (self.path, self.room)
+        return word_encoder, (self.path, self.room)
 
-    def learn(self, words: list[bytes]) -> None:
-        parts: dict[bytes, None] = {}
-        split = {}
+    def learn(self, words: set[bytes]) -> None:
+        known, parts, split = self.known, set(), []
         for word in words:
-            found = LETTERS_MARKS.fullmatch(word)
-            split[word] = pieces = found.groups() if found else (word,)
-            parts.update(dict.fromkeys(p for p in pieces if p not in self.known))
-        plain = [p for p in parts if self.ends.any() and ONLY_LETTERS.fullmatch(p)]
-        for start in range(0, len(plain), 2000):
-            group = plain[start : start + 2000]
-            ids = np.array(self.encode(b" ".join(group).decode()), self.kind)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(group):
-                self.known.update(zip(group, (x.tobytes() for x in np.split(ids, cuts[:-1]))))
+            found = None if word.isalpha() else LETTERS_MARKS.fullmatch(word)
+            if found and found[1].decode().isalpha():
+                letters, marks = found.groups()
+                split.append((word, letters, marks))
+                parts.add(letters)
+                parts.add(marks)
             else:
-                plain = []
-                break
+                parts.add(word)
+        parts = parts.difference(known)
+        single = [(p, t) for p, t in ((p, p.decode()) for p in parts) if t.isalpha()] if self.ends.any() else []
+        for start in range(0, len(single), 2000):
+            group = single[start : start + 2000]
+            ids = np.array(self.encode(" ".join(t for _, t in group)), self.kind)
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * self.width).tolist()
+            if len(cuts) == len(group):  # each word of letters alone is one pre-token, or this is left to the loop below
+                raw = ids.tobytes()
+                self.known.update((p, raw[a:b]) for (p, _), a, b in zip(group, [0, *cuts], cuts))
         for part in parts:
             if part not in self.known:
                 self.known[part] = np.array(self.encode(part.decode()), self.kind).tobytes()
-        for word, pieces in split.items():
-            if len(pieces) > 1:
-                self.known[word] = b"".join(self.known[p] for p in pieces)
+        known.update((word, known[letters] + known[marks]) for word, letters, marks in split)
 
     def encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def __call__(self, text: str) -> bytes:
-        words = text.encode().lower().split()
-        unseen = [w for w in dict.fromkeys(words) if w not in self.known]
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text, packed. Arrow finds the different words; only they are looked up."""
+        lists = pc.ascii_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        # Beyond ASCII, letters may first be composed and then lower-cased: such words are left as they are.
+        words = [(w.lower() if w.isascii() else w).encode() for w in coded.dictionary.to_pylist()]
+        known = self.known
+        unseen = {w for w in words if w not in known}
         if unseen:
-            if len(self.known) + len(unseen) > self.room:
-                self.known.clear()
-                unseen = list(dict.fromkeys(words))
+            if len(known) + len(unseen) > self.room:
+                known.clear()
+                unseen = set(words)
             self.learn(unseen)
-        return b"".join(map(self.known.__getitem__, words))
+        packed = [known[w] for w in words]
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // self.width
+        starts = np.cumsum(sizes) - sizes
+        pool = np.frombuffer(b"".join(packed), self.kind)
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        lengths = sizes[which]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = pool[np.repeat(starts[which] - (ends - lengths), lengths) + np.arange(total)]
+        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        cuts = np.concatenate(([0], ends))[offsets].tolist()
+        return [ids[x:y].tobytes() for x, y in zip(cuts, cuts[1:])]
+
+
+@lru_cache(maxsize=2)
+def word_encoder(path: str, room: int) -> WordEncoder:
+    """The encoder of this process: what one task has learnt serves the next."""
+    return WordEncoder(path, room)
 
 
 class PlainEncoder:
@@ -142,8 +166,9 @@ class PlainEncoder:
     def __reduce__(self):
         return PlainEncoder, (self.path,)
 
-    def __call__(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        found = self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)
+        return [np.array(one.ids, "<u4").tobytes() for one in found]
 
 
 def write_records(df: DataFrame, folder: str, encoder, key: str = "doc_id", text: str = "text",
@@ -168,8 +193,8 @@ def write_records(df: DataFrame, folder: str, encoder, key: str = "doc_id", text
         with system.open_output_stream(drafts[0], buffer_size=BUFFER) as data, \
                 system.open_output_stream(drafts[1], buffer_size=BUFFER) as index:
             for piece in slices(batches, "text"):
-                for own, value in zip(piece["key"].to_pylist(), piece["text"].to_pylist()):
-                    ids = encoder(value) + end
+                for own, ids in zip(piece["key"].to_pylist(), encoder(piece["text"])):
+                    ids += end
                     payload = struct.pack(PREFIX, encoder.width, own is not None, own or 0) + ids
                     data.write(framed(payload))
                     index.write(np.array([(at, len(payload) + FRAME)], INDEX).tobytes())
