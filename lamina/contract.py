@@ -155,7 +155,7 @@ class AlertThresholds:
                 raise ValueError(f"alert threshold {name} must be a number, got {value!r}")
 
 
-# ---- Gold tables -----------------------------------------------------------
+# ---- Gold tables (fixed values) --------------------------------------------
 
 DIMENSIONS = {
     "dim_patient": "patient_pseudo",

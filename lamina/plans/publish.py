@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lamina.contract import AUDIENCES, DAILY_FEEDS, STEERING_FORBIDDEN
+from lamina.contract import AUDIENCES, DAILY_FEEDS, REFERENCES, STEERING_FORBIDDEN
 from lamina.plans.quality import stacked
 from lamina.sources import drops
 from lamina.sources.warehouse import Warehouse, latest_lines
 
+LAYERS = {
+    "bronze": (*DAILY_FEEDS, *REFERENCES),
+    "silver": ("patients", "sejours", "diagnostics", "monitoring", "actes"),
+    "quarantaine": ("rejets",),
+    "ops": ("executions", "ecarts"),
+}
 HOME = {"coh_prevalence": "gold_recherche", "coh_description": "gold_recherche"}
 
 
@@ -17,12 +23,21 @@ def allowed(df: DataFrame, columns: list[str] | None) -> DataFrame:
 
 
 def audience_tables(warehouse: Warehouse, audience: str, policy: dict = AUDIENCES) -> dict[str, DataFrame]:
-    """The tables an audience may read, each cut to its columns. Anything undeclared is absent."""
-    return {
-        table: allowed(warehouse.read(HOME.get(table, "gold_pilotage"), table), columns)
-        for table, columns in policy[audience].items()
-        if table not in ("bronze", "silver", "quarantaine", "ops")
-    }
+    """The tables an audience may read, each cut to its columns. Anything undeclared is absent.
+
+    A layer granted as a whole gives all its tables, named `<layer>_<table>`.
+    """
+    out = {}
+    for name, columns in policy[audience].items():
+        if name in LAYERS:
+            for table in LAYERS[name]:
+                if warehouse.has(name, table):
+                    judged = name == "silver" and table != "patients"
+                    whole = warehouse.silver(table) if judged else warehouse.read(name, table)
+                    out[f"{name}_{table}"] = allowed(whole, columns)
+        else:
+            out[name] = allowed(warehouse.read(HOME.get(name, "gold_pilotage"), name), columns)
+    return out
 
 
 def publish_audience(warehouse: Warehouse, audience: str, target: str, policy: dict = AUDIENCES) -> dict[str, int]:

@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from lamina.contract import DIMENSIONS, KPI_TABLES
+from lamina.contract import DIMENSIONS, KPI_TABLES, REFERENCES
 from lamina.plans.run import bronze_tables, build_gold, build_silver, ledgered, new_run_id
 from lamina.session import new_folder
 from lamina.sources.bronze import stamped
@@ -26,6 +26,8 @@ _built: dict[tuple[str, str], Warehouse] = {}
 def build(f: Feeds) -> Warehouse:
     warehouse, run_id = Warehouse(f.spark, new_folder(f.spark, "warehouse")), new_run_id()
     for name, df in f.bronze.items():
+        if name in REFERENCES:
+            df = df.withColumn("_fichier_source", F.concat(F.lit("lake/referentiels/"), F.lit(name)))
         warehouse.replace("bronze", name, stamped(df, run_id))
     ledgered(warehouse, run_id, "silver", lambda: build_silver(warehouse, bronze_tables(warehouse), run_id))
     ledgered(warehouse, run_id, "gold", lambda: build_gold(warehouse, bronze_tables(warehouse), run_id))

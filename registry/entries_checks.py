@@ -2,9 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from lamina.contract import PROVENANCE
+from lamina.contract import BRONZE, PROVENANCE, REFERENCES
 from lamina.plans import quality
-from lamina.sources.bronze import stamped
 from registry import built
 from registry.book import entry, shown
 from registry.oracle_parts import rounded
@@ -365,8 +364,8 @@ entry(
         f"""SELECT '{label}' AS "table", colonne, 1 AS presente, 0::BIGINT AS vides
             FROM (SELECT unnest({columns}) AS colonne), (SELECT count(*) AS n FROM {part}) WHERE n > 0"""
         for label, part, columns in (
-            ("bronze.sejours", "bronze_sejours", PROVENANCE["bronze"]),
-            ("bronze.monitoring", "bronze_monitoring", PROVENANCE["bronze"]),
+            *[(f"bronze.{feed}", f"bronze_{feed}", PROVENANCE["bronze"]) for feed in BRONZE],
+            *[(f"bronze.{ref}", ref, PROVENANCE["references"]) for ref in REFERENCES],
             ("silver.sejours", "silver_sejours", PROVENANCE["silver"]),
             ("silver.diagnostics", "silver_diagnostics", PROVENANCE["silver"]),
             ("silver.monitoring", "silver_monitoring", PROVENANCE["silver"]),
@@ -377,10 +376,11 @@ entry(
     ),
 )
 def provenance_audit(f):
-    tables = built.silver(f)
-    frames = [
-        quality.provenance_audit(stamped(df, "run"), f"bronze.{feed}", PROVENANCE["bronze"])
-        for feed, df in (("sejours", f.bronze_sejours), ("monitoring", f.bronze_monitoring))
+    """Every written table of the layers that carry provenance."""
+    tables, home = built.silver(f), built.warehouse(f)
+    frames = [quality.provenance_audit(home.read("bronze", feed), f"bronze.{feed}", PROVENANCE["bronze"]) for feed in BRONZE]
+    frames += [
+        quality.provenance_audit(home.read("bronze", ref), f"bronze.{ref}", PROVENANCE["references"]) for ref in REFERENCES
     ]
     for feed in ("sejours", "diagnostics", "monitoring", "actes"):
         frames.append(quality.provenance_audit(tables[feed], f"silver.{feed}", PROVENANCE["silver"]))

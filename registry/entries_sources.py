@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lamina.contract import DIAGNOSTICS_JSON, DIMENSIONS, KPI_TABLES
+from lamina.contract import BRONZE, DIAGNOSTICS_JSON, DIMENSIONS, KPI_TABLES, REFERENCES
 from lamina.functions.privacy import pseudonymise
 from lamina.plans import publish, quality
 from lamina.session import new_folder
@@ -361,25 +361,34 @@ def table_volumes(f):
     return publish.table_volumes(built.warehouse(f))
 
 
+# A table of each audience, and the part of the comparison SQL that has its rows.
+_SEEN = {
+    "pilotage": {t: t for t in ("fact_sejour", "fact_releve", "fact_acte", "dim_service", "dim_ccam", *KPI_TABLES)},
+    "recherche": {t: t for t in built.COHORTS},
+    "exploitation": {
+        **{f"{layer}_{feed}": f"{layer}_{feed}" for layer in ("bronze", "silver") for feed in BRONZE},
+        **{f"bronze_{ref}": ref for ref in REFERENCES}, "quarantaine_rejets": "rejets", "ops_executions": "steps",
+    },
+}
+
+
 @entry(
     "publish_audience",
-    """SELECT 'pilotage' AS audience, 'fact_acte' AS "table", count(*) AS lignes FROM fact_acte
-       UNION ALL SELECT 'pilotage', 'fact_sejour', count(*) FROM fact_sejour
-       UNION ALL SELECT 'pilotage', 'fact_releve', count(*) FROM fact_releve
-       UNION ALL SELECT 'pilotage', 'dim_service', count(*) FROM dim_service
-       UNION ALL SELECT 'recherche', 'coh_prevalence', count(*) FROM coh_prevalence
-       UNION ALL SELECT 'recherche', 'coh_description', count(*) FROM coh_description""",
+    " UNION ALL ".join(
+        f"""SELECT '{audience}' AS audience, '{table}' AS "table", count(*) AS lignes FROM {part}"""
+        for audience, tables in _SEEN.items() for table, part in tables.items()
+    ),
+    _STEPS,
 )
 def publish_audience(f):
     """Each audience's own copy; the columns it may not see are not in the files."""
     warehouse, target = built.warehouse(f), new_folder(f.spark, "audiences")
     frames = []
-    for audience, kept in (("pilotage", ("fact_acte", "fact_sejour", "fact_releve", "dim_service")), ("recherche", None)):
-        publish.publish_audience(warehouse, audience, target)
-        tables = publish.audience_tables(warehouse, audience)
-        if publish.audit_audience(tables):
+    for audience in ("pilotage", "recherche", "exploitation"):
+        tables = publish.publish_audience(warehouse, audience, target)
+        if audience != "exploitation" and publish.audit_audience(publish.audience_tables(warehouse, audience)):
             raise AssertionError("an audience would see a forbidden column")
-        for table in kept or tables:
+        for table in tables:
             written = Warehouse(f.spark, target).read(audience, table)
             frames.append(
                 written.agg(F.count(F.lit(1)).alias("lignes")).select(

@@ -149,12 +149,14 @@ def test_silver_gold_and_register(warehouse):
 
 def test_ledger_and_state(warehouse, source):
     lines = latest_lines(warehouse.read("ops", "executions"), 10)
-    assert [r.statut for r in lines.collect()] == ["succes"] * 4
+    assert [r.statut for r in lines.collect()] == ["succes"] * 5
     files = drops.inventory(warehouse.spark, str(source))
     assert rows(publish.days_state(warehouse, files)) == [
         (day(d), "ingéré") for d in ("8-26", "8-27", "8-29")
     ]
-    assert publish.state_report(warehouse).count() == 8
+    # Five tables, and a line and a duration for each of five stages; then the days.
+    assert publish.state_report(warehouse).count() == 15
+    assert publish.state_report(warehouse, files=files).where("section = 'jours'").count() == 3
 
 
 def test_second_run_changes_nothing(warehouse, source):
