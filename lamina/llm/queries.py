@@ -46,6 +46,36 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
 
 
+def spans_sql(kind: str, nr: int, pattern: str, keep: str = "TRUE") -> str:
+    """Spans of one kind, as a list: each match is the first place of its text after the end of the one before."""
+    start = "(a.e + instr(substr(t, a.e + 1), x.m) - 1)"
+    return f"""list_reduce(
+        list_transform(regexp_extract_all(t, '{pattern}'), lambda m: {{'m': m, 'e': 0::BIGINT, 'l': {NO_SPANS}}}),
+        lambda a, x: {{'m': x.m, 'e': {start} + length(x.m), 'l': CASE WHEN {keep} THEN list_append(
+            a.l, {{'s': {start}, 'nr': {nr}, 'e': {start} + length(x.m), 'kind': '{kind}'}}) ELSE a.l END}},
+        {{'m': '', 'e': 0::BIGINT, 'l': {NO_SPANS}}}).l"""
+
+
+NO_SPANS = "[]::STRUCT(s BIGINT, nr INTEGER, e BIGINT, kind VARCHAR)[]"
+EITHER_CASE = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+                       for word in ("password", "passwd", "secret", "token", "api_?key"))
+ASSIGN = rf"""({EITHER_CASE})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+ORACLES["op1_secret_scan"] = f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS (
+  SELECT doc_id, {spans_sql("assign", 1, ASSIGN, f"length(regexp_extract(x.m, '{ASSIGN}', 2)) >= 6")} AS a,
+         {spans_sql("access", 2, "AKIA[A-Z0-9]{16,}")} AS k, {spans_sql("hex", 3, "[0-9a-f]{24,}")} AS h
+  FROM texts
+), shown AS (
+  SELECT doc_id, len(a) AS n_assign, len(k) AS n_access, len(h) AS n_hex,
+         array_to_string(list_transform(list_sort(list_concat(a, k, h)), lambda s: s.kind || ':' || s.s || ':' || s.e), ',') AS spans
+  FROM found
+)
+SELECT doc_id, n_assign, n_access, n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM shown
+"""
+
+
 @query
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of three-word shingles, and the components of those that differ in two bits at most."""
