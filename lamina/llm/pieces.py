@@ -16,7 +16,8 @@ estimate of a set of segmentations is exact:
   segmentation, and what remains of it is split in the same way.
 
 With the value of the best set still closed as threshold t, a segmentation of
-log chance c was in the sample with chance 1 - exp(-exp(c - t)).
+log chance c was in the sample with chance 1 - exp(-exp(c - t)). That is given as
+its logarithm: of a long text each single segmentation is very improbable.
 
 No piece has a space after a letter, so the lattice of a text is a chain of
 lattices of units (spaces and what follows them up to the next space). Units
@@ -25,7 +26,7 @@ batch go on side by side in numpy. Noise is a hash of seed, row key, turn and
 place: a row is sampled alike wherever and however often it is.
 
 NULL text counts as empty; it has one segmentation, without pieces. A text with
-fewer than k segmentations gives all of them, with inclusion chance 1. The
+fewer than k segmentations gives all of them, with log inclusion 0. The
 model reads U+2581 as a space, so that is what it is decoded to.
 """
 
@@ -62,6 +63,13 @@ def cut_off(location, bound, u):
     return location - np.log(np.exp(location - bound) - np.log(u))
 
 
+def log_inclusion(above: float) -> float:
+    """Log of the chance 1 - exp(-exp(above)) that a value perturbed by Gumbel noise exceeds the threshold."""
+    if above < -30:
+        return above
+    return float(np.log(-np.expm1(-np.exp(above)))) if above < 5 else 0.0
+
+
 class Vocabulary:
     """Pieces and weights of a SentencePiece model.
 
@@ -106,9 +114,11 @@ class Vocabulary:
                     whole.append(-1)
             whole[state_of[piece]] = self.piece_id[piece]
         pairs = sorted((state_of[p[:-1]] << 21 | ord(p[-1]), n) for p, n in state_of.items() if p)
-        return np.array([k for k, _ in pairs], np.int64), np.array([n for _, n in pairs], np.int64), np.array(whole, np.int64)
+        keys, states = zip(*pairs)
+        return np.array(keys, np.int64), np.array(states, np.int64), np.array(whole, np.int64)
 
     def units(self, text: str) -> list[str]:
+        """The units of a text; a text without characters has none."""
         if not text:
             return []
         text = SPACE + text.replace(" ", SPACE)
@@ -144,7 +154,7 @@ class Lattices:
     vocabulary are characters spelt in bytes (`spelt`). End node -1 ends a unit.
     """
 
-    def __init__(self, vocabulary: Vocabulary, room: int = 10_000_000):
+    def __init__(self, vocabulary: Vocabulary, room: int = 6_000_000):
         self.vocabulary, self.room = vocabulary, room
         self.clear()
 
@@ -193,14 +203,22 @@ class Lattices:
         out.append((lone, lone + 1, spelt[which], sizes[which] * np.log(own.least)))
         return tuple(np.concatenate(columns) for columns in zip(*out))
 
+    def nodes_of(self, units: list[str]) -> np.ndarray:
+        """The first node of each unit. Arrow finds the different units; only they are looked up."""
+        coded = pa.array(units, pa.string()).dictionary_encode()
+        different = coded.dictionary.to_pylist()
+        self.add(different)
+        firsts = np.fromiter(map(self.node_of.__getitem__, different), np.int64, len(different))
+        return firsts[coded.indices.to_numpy(zero_copy_only=False)]
+
     def add(self, units: list[str]) -> None:
-        """Build the units not known yet, all at once. All are forgotten first if there is no room."""
-        fresh = [u for u in set(units) if u not in self.node_of]
+        """Build those of the different units that are not known yet. All are forgotten first if there is no room."""
+        fresh = [u for u in units if u not in self.node_of]
         if not fresh:
             return
         if self.edges > self.room:
             self.clear()
-            fresh = list(set(units))
+            fresh = units
         codes = np.frombuffer("".join(fresh).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         sizes = np.fromiter(map(len, fresh), np.int64, len(fresh))
         stops = np.cumsum(sizes)
@@ -341,9 +359,9 @@ class Search:
 
 def sample(lattices: Lattices, texts: list[list[str]], keys: np.ndarray, k: int) -> list[Search]:
     """Up to `k` segmentations for each text (a list of units), all texts side by side."""
-    lattices.add([u for units in texts for u in units])
-    node_of = lattices.node_of
-    searches = [Search(int(key), np.array([node_of[u] for u in units], np.int64)) for key, units in zip(keys, texts)]
+    nodes = lattices.nodes_of([u for units in texts for u in units])
+    cuts = np.cumsum([0, *map(len, texts)]).tolist()
+    searches = [Search(int(key), nodes[a:b]) for key, a, b in zip(keys, cuts, cuts[1:])]
     with np.errstate(over="ignore", divide="ignore"):
         jobs = []  # (search, first nodes, edges so far, log chances before them, value, unit ends so far)
         for search in searches:
@@ -409,13 +427,13 @@ def advance(lattices: Lattices, jobs: list[tuple], k: int, turn: int) -> None:
 
 def encoded(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", k: int = SAMPLES, seed: int = 7,
             sharpness: float = 0.5) -> DataFrame:
-    """(key, sample, ids, log_chance, perturbed, inclusion, exact): up to `k` rows for each row of `docs`.
+    """(key, sample, ids, log_chance, perturbed, log_inclusion, exact): up to `k` rows for each row of `docs`.
 
     `exact` tells whether the ids decode to the text.
     """
     bounded_batches(docs.sparkSession)
     vocabulary = Vocabulary(model, sharpness)
-    names = ["key", "sample", "ids", "log_chance", "perturbed", "inclusion", "exact"]
+    names = ["key", "sample", "ids", "log_chance", "perturbed", "log_inclusion", "exact"]
     kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
 
     def run(batches):
@@ -431,7 +449,7 @@ def encoded(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text"
                 for number, (edges, before, perturbed) in enumerate(search.paths, 1):
                     ids = lattices.ids(edges)
                     chance = float(before[-1])
-                    inclusion = 1.0 if bound == -np.inf else float(-np.expm1(-np.exp(min(chance - bound, 50.0))))
+                    inclusion = log_inclusion(chance - bound)
                     exact = vocabulary.decode(ids.tolist()) == value.replace(SPACE, " ")
                     held += len(ids)
                     for column, cell in zip(out, (own, number, ids, chance, perturbed, inclusion, exact)):
@@ -444,7 +462,7 @@ def encoded(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text"
     chosen = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(text, F.lit("")).alias("text"),
                          F.xxhash64(F.lit(seed), F.col(key)).alias("noise"))
     return chosen.mapInArrow(run, "key long, sample int, ids array<int>, log_chance double, perturbed double, "
-                                  "inclusion double, exact boolean")
+                                  "log_inclusion double, exact boolean")
 
 
 def decoded(rows: DataFrame, model: str, ids: str = "ids", text: str = "text") -> DataFrame:
