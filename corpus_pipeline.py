@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lamina.llm import decontaminate, pieces, quality, secrets, simhash
-from lamina.llm.common import shared_folder, table, written
+from lamina.llm.common import own_id, shared_folder, table, written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is at least a half; the classifier learns from the documents themselves."""
-    return quality.scored(docs, quality.fit(docs)).where("kept").select(*docs.columns)
+    whole = docs.select(F.struct("*").alias("row"), "text")
+    return quality.scored(whole, quality.fit(docs)).where("kept").select("row.*")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,16 +25,18 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def off_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark passage is found. Documents of one id go or stay together."""
-    found = decontaminate.overlaps(docs, table(spark, sf_dir, "benchmark"))
-    leaked = written(found.select(F.col("doc").alias("doc_id")).distinct(), "leaked")
-    return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
+    named = docs.withColumn("_own", own_id("doc_id", "text"))
+    found = decontaminate.overlaps(named, table(spark, sf_dir, "benchmark"), doc_key="_own")
+    leaked = written(found.select(F.col("doc").alias("_own")).distinct(), "leaked")
+    return named.join(leaked, "_own", "left_anti").select(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the secrets in their texts replaced and `n_chars` counted anew where there were any."""
     ledger = secrets.update(docs, shared_folder(spark, "ledger"), first=True)
-    found = secrets.findings(docs, ledger).withColumn("text", secrets.redacted(F.col("text"), F.col("found")))
-    length = F.when(F.size("found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    found = secrets.findings(docs, ledger, into="_found")
+    found = found.withColumn("text", secrets.redacted(F.col("text"), F.col("_found")))
+    length = F.when(F.size("_found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return found.withColumn("n_chars", length).select(*docs.columns)
 
 

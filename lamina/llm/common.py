@@ -10,7 +10,7 @@ from urllib.parse import urlparse
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 BATCH_ROWS = 1000
@@ -47,6 +47,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def own_id(key: str, text: str) -> Column:
+    """The id of a row; for one without, a negative number of its text, so that copies have the same."""
+    return F.coalesce(F.col(key).cast("long"), -1 - F.xxhash64(text).bitwiseAND((1 << 62) - 1))
+
+
 def open_folder(uri: str):
     """The Arrow file system of a folder, and the folder's path in it."""
     from pyarrow import fs

@@ -231,7 +231,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", excerpts: int =
 
 
 def identified(docs: DataFrame, parser: Parser, text: str = "text") -> DataFrame:
-    """`docs` with lang_pred and score; only the text is looked at."""
+    """`docs` with lang_pred and score, in place of columns of these names; only the text is looked at."""
     bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -250,7 +250,8 @@ def identified(docs: DataFrame, parser: Parser, text: str = "text") -> DataFrame
         return pd.DataFrame(out + parser.judge(group), columns=["lang_pred", "score"])
 
     judged = docs.withColumn("_judged", judge(F.col(text)))
-    return judged.select(*[F.col(f"`{c}`") for c in docs.columns], "_judged.lang_pred", "_judged.score")
+    others = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    return judged.select(*[F.col(f"`{c}`") for c in others], "_judged.lang_pred", "_judged.score")
 
 
 def remainder(key: str, parts: int = 4) -> Column:

@@ -242,7 +242,7 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Quality:
 
 
 def scored(docs: DataFrame, quality: Quality, text: str = "text") -> DataFrame:
-    """`docs` with score, posterior (of the votes) and kept."""
+    """`docs` with score, posterior (of the votes) and kept; columns of these names are replaced."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(quality)
 
@@ -256,5 +256,6 @@ def scored(docs: DataFrame, quality: Quality, text: str = "text") -> DataFrame:
             "score": [s for s, _ in pairs], "posterior": own.votes.posterior(np.array([p for _, p in pairs], np.int64))})
 
     judged = docs.withColumn("_judged", judge(F.col(text)))
-    return judged.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_judged.score").alias("score"),
+    others = [c for c in docs.columns if c not in ("score", "posterior", "kept")]
+    return judged.select(*[F.col(f"`{c}`") for c in others], F.col("_judged.score").alias("score"),
                          F.col("_judged.posterior").alias("posterior"), (F.col("_judged.score") >= 0.5).alias("kept"))

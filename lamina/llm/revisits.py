@@ -22,8 +22,9 @@ slot the last response before each moment is found, and a slot hands its last
 response on to the following ones. A slot of `SLOT` seconds has that many moments
 at most, and a URL has as many slots as the crawl has days.
 
-Repeated revisits are resolved one by one; a response that repeats counts once. Rows without a time are unmatched if
-revisits, and never a match. record_id tells responses apart.
+Repeated revisits are resolved one by one; a response that repeats counts once.
+Rows without a time are unmatched if revisits, and never a match. record_id tells
+responses apart.
 """
 
 from __future__ import annotations

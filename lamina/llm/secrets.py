@@ -65,15 +65,15 @@ RULES = (
 
 
 def blobs(versions: DataFrame, text: str = "text") -> DataFrame:
-    """The versions with their content address."""
-    return versions.withColumn("blob", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    """The versions with their content address, `_blob`."""
+    return versions.withColumn("_blob", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
 
 
 def pending(addressed: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...], text: str = "text") -> DataFrame:
     """One row for each blob that some rule has not seen: blob, text, and the numbers of those rules."""
     everything = list(range(len(rules)))
     # Copies collapse in each task before they are shuffled, so a blob with a third of all rows is no hot key.
-    distinct = addressed.groupBy("blob").agg(F.first(F.coalesce(F.col(text), F.lit(""))).alias("text"))
+    distinct = addressed.groupBy(F.col("_blob").alias("blob")).agg(F.first(F.coalesce(F.col(text), F.lit(""))).alias("text"))
     if ledger is None:
         return distinct.withColumn("todo", F.array(*map(F.lit, everything)))
     wanted = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version")) for r in rules])
@@ -84,7 +84,7 @@ def pending(addressed: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, .
     open_rules = F.filter(
         F.array(*map(F.lit, everything)), lambda i: ~F.array_contains(F.col("done"), F.get(wanted, i)))
     unseen = (
-        addressed.select("blob").distinct().join(done, "blob", "left")
+        addressed.select(F.col("_blob").alias("blob")).distinct().join(done, "blob", "left")
         .withColumn("todo", F.when(F.col("done").isNull(), F.array(*map(F.lit, everything))).otherwise(open_rules))
         .where(F.size("todo") > 0).select("blob", "todo")
     )
@@ -122,12 +122,13 @@ def update(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, te
     bounded_batches(spark)
     read = spark.read.schema(LEDGER)
     known = None if first else read.parquet(ledger)
-    scan(pending(blobs(versions, text), known, rules, text), rules).write.mode("append").parquet(ledger)
+    scan(pending(blobs(versions.select(text), text), known, rules, text), rules).write.mode("append").parquet(ledger)
     return read.parquet(ledger)
 
 
-def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """The versions with `found`: (start, end, kind, order of the rule) of all spans, by start and then rule.
+def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text",
+             into: str = "found") -> DataFrame:
+    """The versions with `found`: (start, order of the rule, end, kind) of all spans, by start and then rule.
 
     Only blobs with spans are joined; a hot one is joined by its address, which
     Spark splits over tasks.
@@ -141,8 +142,10 @@ def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = R
             "spans", lambda s: F.struct(s["start"].alias("start"), F.col("nr").alias("nr"), s["end"].alias("end"),
                                         F.col("rule").alias("kind")))))).alias("found"))
     )
-    joined = blobs(versions, text).join(hits, "blob", "left")
-    return joined.withColumn("found", F.coalesce("found", F.array().cast(hits.schema["found"].dataType)))
+    hits = hits.select(F.col("blob").alias("_blob"), F.col("found").alias("_spans"))
+    joined = blobs(versions, text).join(hits, "_blob", "left")
+    whole = F.coalesce("_spans", F.array().cast(hits.schema["_spans"].dataType))
+    return joined.withColumn(into, whole).drop("_blob", "_spans")
 
 
 def as_text(found) -> Column:
