@@ -1,8 +1,8 @@
 """SimHash fingerprints and exact search for near fingerprints, tile against tile.
 
 `fingerprints` hashes the word shingles of whole texts; bit b of a fingerprint
-is 1 if it is set in over half of the shingle hashes. `links` compares distinct
-fingerprints by exclusive-or and bit counts in numpy. Fingerprints are sorted
+is 1 if it is set in over half of the shingle hashes. `compare` holds distinct
+fingerprints against one another by exclusive-or and bit counts in numpy. Fingerprints are sorted
 into cells by the number of set bits in each of four parts; two fingerprints
 that differ in r bits have part counts that differ by r in sum at most, so only
 cells that near are compared and no link is lost. A cell is cut into tiles of
@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from lamina.llm.common import bounded_batches, map_rows, written
+from lamina.llm.common import bounded_batches, map_rows, own_id, release, written
 
 TILE = 2048
 PARTS = 4
@@ -155,22 +155,18 @@ def forest(lefts: np.ndarray, rights: np.ndarray, total: int) -> np.ndarray:
 
 
 class Comparison:
-    """Links between two tiles: all pairs of at most `radius` differing bits, without those that add nothing.
+    """A spanning forest of the links between two tiles: pairs of at most `radius` differing bits.
 
-    Pairs of at most `sure` bits are links. They make a forest, and what lies
-    between `sure` and `radius` is named for an exact look unless the forest
-    joins the two already. With `ratio`, pairs whose numbers of shingles differ
-    by more are no links.
+    With `ratio`, pairs whose numbers of shingles differ by more are no links.
     """
 
-    def __init__(self, radius: int, sure: int | None = None, ratio: float = 0.0, rows: int = 64):
-        self.radius, self.sure, self.ratio, self.rows = radius, radius if sure is None else sure, ratio, rows
+    def __init__(self, radius: int, ratio: float = 0.0, rows: int = 64):
+        self.radius, self.ratio, self.rows = radius, ratio, rows
 
     def __call__(self, a: tuple, b: tuple, same: bool):
-        """a, b: (ids, fps of shape lanes x rows, ns). Yields arrays (id, id, sure)."""
+        """a, b: (ids, fps of shape lanes x rows, ns). Yields arrays (id, id)."""
         (ids_a, fps_a, ns_a), (ids_b, fps_b, ns_b) = a, b
-        total = len(ids_a) + len(ids_b)
-        label = np.arange(total)
+        label = np.arange(len(ids_a) + len(ids_b))
         names = np.concatenate((ids_a, ids_b))
         for start in range(0, len(ids_a), self.rows):
             stop = min(len(ids_a), start + self.rows)
@@ -184,35 +180,26 @@ class Comparison:
                 own, other = ns_a[start:stop, None], ns_b[None, :]
                 near &= np.minimum(own, other) >= self.ratio * np.maximum(own, other)
             x, y = np.nonzero(near)
-            if not len(x):
-                continue
-            firm = differ[x, y] <= self.sure
-            left = x + start
-            right = y if same else y + len(ids_a)
-            fresh = label[left] != label[right]
-            strong = np.flatnonzero(firm & fresh)
-            if len(strong):
-                between = label[left[strong]] * total + label[right[strong]]
-                strong = strong[np.unique(between, return_index=True)[1]]
-                used = forest(label[left[strong]], label[right[strong]], total)
-                strong = strong[used]
-                self.merge(label, left[strong], right[strong])
-                yield names[left[strong]], names[right[strong]], True
-            weak = np.flatnonzero(~firm & fresh)
-            weak = weak[label[left[weak]] != label[right[weak]]]
-            if len(weak):
-                yield names[left[weak]], names[right[weak]], False
-
-    @staticmethod
-    def merge(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
-        for x, y in zip(left.tolist(), right.tolist()):
-            low, high = sorted((label[x], label[y]))
-            if low != high:
-                label[label == high] = low
+            if len(x):
+                left, right = joined(label, x + start, y if same else y + len(ids_a))
+                yield names[left], names[right]
+
+
+def joined(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the links that join what `label` holds apart, which is brought up to date."""
+    total = len(label)
+    fresh = np.flatnonzero(label[left] != label[right])
+    between = label[left[fresh]] * total + label[right[fresh]]
+    fresh = fresh[np.unique(between, return_index=True)[1]]
+    used = fresh[forest(label[left[fresh]], label[right[fresh]], total)]
+    for x, y in zip(left[used].tolist(), right[used].tolist()):
+        low, high = sorted((label[x], label[y]))
+        label[label == high] = low
+    return left[used], right[used]
 
 
 def compare(packed: DataFrame, pairs: DataFrame, lanes: int, comparison: Comparison) -> DataFrame:
-    """(left, right, sure) for the links of all tile pairs; a tile pair is a task's unit of work and memory."""
+    """(left, right) for the links of all tile pairs; a tile pair is a task's unit of work and memory."""
     columns = ["ids", "fps", "ns"]
     first = packed.select(F.col("tile").alias("a"), *[F.col(c).alias(f"{c}_a") for c in columns])
     second = packed.select(F.col("tile").alias("b"), *[F.col(c).alias(f"{c}_b") for c in columns])
@@ -224,6 +211,7 @@ def compare(packed: DataFrame, pairs: DataFrame, lanes: int, comparison: Compari
         return array.to_numpy(zero_copy_only=False)
 
     def run(batches):
+        release()
         for batch in batches:
             for row in range(batch.num_rows):
                 sides = []
@@ -231,12 +219,11 @@ def compare(packed: DataFrame, pairs: DataFrame, lanes: int, comparison: Compari
                     ids, fps, ns = (values(batch[f"{c}_{side}"], row) for c in columns)
                     sides.append((ids, np.ascontiguousarray(fps.view(np.uint64).reshape(-1, lanes).T), ns))
                 same = batch["a"][row].as_py() == batch["b"][row].as_py()
-                for left, right, sure in comparison(*sides, same):
+                for left, right in comparison(*sides, same):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(left, pa.int64()), pa.array(right, pa.int64()),
-                         pa.array(np.full(len(left), sure))], ["left", "right", "sure"])
+                        [pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["left", "right"])
 
-    return both.mapInArrow(run, "left long, right long, sure boolean")
+    return both.mapInArrow(run, "left long, right long")
 
 
 # -------------------------------------------------------------- components
@@ -299,29 +286,81 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return map_rows(docs.select("id", "text"), work, "text", "id long, grams array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (left, right) whose shingle sets have at least that Jaccard similarity."""
-    pairs = pairs.select("left", "right").distinct()
-    named = pairs.select(F.col("left").alias("id")).union(pairs.select(F.col("right").alias("id"))).distinct()
-    sets = written(shingle_sets(docs.join(named, "id", "left_semi"), shingle), "shingle-sets")
-    both = (
-        pairs.join(sets.select(F.col("id").alias("left"), F.col("grams").alias("own")), "left")
-        .join(sets.select(F.col("id").alias("right"), F.col("grams").alias("other")), "right")
-    )
-    common = F.size(F.array_intersect("own", "other"))
-    return both.where(common >= similarity * (F.size("own") + F.size("other") - common)).select("left", "right")
+def similar(own: list[np.ndarray], other: list[np.ndarray], similarity: float, step: int = 4096) -> np.ndarray:
+    """Which pairs of sets have at least that Jaccard similarity, as a matrix; counted by products of incidence matrices."""
+    both = np.intersect1d(np.concatenate(own), np.concatenate(other))
+    common = np.zeros((len(own), len(other)), np.float32)
+
+    def places(sets):
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        flat = np.concatenate(sets)
+        column = np.searchsorted(both, flat)
+        known = (column < len(both)) & (both[np.minimum(column, len(both) - 1)] == flat)
+        return row[known], column[known]
+
+    if len(both):
+        (rows_a, columns_a), (rows_b, columns_b) = places(own), places(other)
+        for start in range(0, len(both), step):
+            sides = []
+            for rows, columns, count in ((rows_a, columns_a, len(own)), (rows_b, columns_b, len(other))):
+                inside = (columns >= start) & (columns < start + step)
+                matrix = np.zeros((count, min(step, len(both) - start)), np.float32)
+                matrix[rows[inside], columns[inside] - start] = 1
+                sides.append(matrix)
+            common += sides[0] @ sides[1].T
+    sizes = np.array([len(x) for x in own])[:, None] + np.array([len(x) for x in other])[None, :]
+    return (common >= similarity * (sizes - common) - 1e-6) & (common > 0)
+
+
+def verified(groups: DataFrame, docs: DataFrame, shingle: int, similarity: float, tile: int = 128) -> DataFrame:
+    """(left, right): a spanning forest of the pairs in each group (id, component) whose shingle sets are similar.
+
+    A group is cut into tiles, and tile is held against tile: no task meets a
+    whole group, and a pair of tiles gives fewer links than it has rows.
+    """
+    counts = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias("slots"))
+    placed = groups.join(counts, "component").withColumn("nr", F.pmod(F.xxhash64("id"), "slots").cast("int"))
+    sets = shingle_sets(docs.join(groups.select("id"), "id", "left_semi"), shingle)
+    packed = written(
+        sets.join(placed, "id").groupBy("component", "nr", "slots")
+        .agg(F.collect_list(F.struct("id", "grams")).alias("rows"))
+        .select(F.xxhash64("component", "nr").alias("tile"), "component", "nr", "slots", F.col("rows.id").alias("ids"),
+                F.col("rows.grams").alias("sets")), "group-tiles")
+    pairs = packed.select(
+        F.col("tile").alias("a"), F.explode(F.sequence("nr", F.col("slots") - 1)).alias("nr_b"), "component",
+    ).select("a", F.xxhash64("component", "nr_b").alias("b"))
+    first = packed.select(F.col("tile").alias("a"), F.col("ids").alias("ids_a"), F.col("sets").alias("sets_a"))
+    second = packed.select(F.col("tile").alias("b"), F.col("ids").alias("ids_b"), F.col("sets").alias("sets_b"))
+
+    def run(batches):
+        release()
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ids, sets = [], []
+                for side in "ab":
+                    ids.append(batch[f"ids_{side}"][row].values.to_numpy(zero_copy_only=False))
+                    sets.append([x.values.to_numpy(zero_copy_only=False) for x in batch[f"sets_{side}"][row]])
+                same = batch["a"][row].as_py() == batch["b"][row].as_py()
+                near = similar(*sets, similarity)
+                x, y = np.nonzero(np.triu(near, 1) if same else near)
+                names = ids[0] if same else np.concatenate(ids)
+                left, right = joined(np.arange(len(names)), x, y if same else y + len(ids[0]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names[left], pa.int64()), pa.array(names[right], pa.int64())], ["left", "right"])
+
+    return pairs.join(first, "a").join(second, "b").mapInArrow(run, "left long, right long")
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lanes: int = 4, radius: int = 60,
-                   sure: int = 26, tile: int = TILE) -> DataFrame:
+                   tile: int = TILE) -> DataFrame:
     """(id, component) of rows (id, text): groups of texts whose shingle sets have a similarity of 0.8 or more.
 
     The fingerprint has 64 * `lanes` bits of the distinct shingles. Two texts of
     similarity 0.8 differ in 39 of 256 bits, give or take 6, so that `radius`
-    loses about one of them in ten thousand. Pairs of at most `sure` bits are
-    links: at 0.75 two in a thousand come that near. The pairs between are
-    compared by their shingles. Sizes prune too: sets of similarity 0.8 differ
-    in size by a quarter at most, so only neighbouring size classes meet.
+    loses about one of them in ten thousand. Sizes prune too: sets of
+    similarity 0.8 differ in size by a quarter at most, so only neighbouring
+    size classes meet, as well as only neighbouring classes of bit counts. The
+    groups that near fingerprints make are then split by exact similarity.
     """
     points = written(fingerprints(docs, "id", "text", shingle, lanes, distinct=True), "fingerprints")
     folded = written(points.groupBy("fp").agg(F.min("id").alias("id"), F.max("n").alias("n")), "distinct-fingerprints")
@@ -330,11 +369,10 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, l
     cell = [F.coalesce(size_class, F.lit(-9)), F.floor(bits / F.lit(radius + 1))]
     packed = written(tiles(folded, cell, tile), "tiles")
     offsets = [o for o in product((-1, 0, 1), repeat=2) if o >= (0, 0)]
-    links = written(
-        compare(packed, tile_pairs(packed, offsets), lanes, Comparison(radius, sure, ratio=similarity)), "links")
-    checked = verified(links.where("not sure"), docs, shingle, similarity)
-    group = components(links.where("sure").select("left", "right").union(checked))
-    named = folded.join(group, "id", "left").select("fp", F.coalesce("component", "id").alias("component"))
+    near = written(compare(packed, tile_pairs(packed, offsets), lanes, Comparison(radius, ratio=similarity)), "links")
+    candidates = written(components(near, "candidates"), "candidate-groups")
+    links = written(verified(candidates, docs, shingle, similarity), "verified")
+    named = folded.join(components(links), "id", "left").select("fp", F.coalesce("component", "id").alias("component"))
     return points.join(named, "fp").select("id", "component")
 
 
@@ -345,8 +383,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **setting
     told apart by their texts.
     """
     bounded_batches(docs.sparkSession)
-    own = F.coalesce(F.col(key).cast("long"), -1 - F.xxhash64(text).bitwiseAND((1 << 62) - 1))
-    single = docs.withColumn("_own", own).dropDuplicates(["_own"])
+    single = docs.withColumn("_own", own_id(key, text)).dropDuplicates(["_own"])
     groups = similar_groups(
         single.select(F.col("_own").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")), **settings)
     kept = written(groups.where("id = component").select(F.col("id").alias("_own")), "kept")
