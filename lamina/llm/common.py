@@ -75,9 +75,26 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20)
             yield batch.slice(start)
 
 
+_held: dict = {}
+
+
+def held(owner: tuple, make: Callable):
+    """What a worker process keeps from task to task: one thing at a time, so that stages do not add up in memory."""
+    if owner not in _held:
+        release()
+        _held[owner] = make()
+    return _held[owner]
+
+
+def release() -> None:
+    """Forget what another operator has left in this worker process."""
+    _held.clear()
+
+
 def map_rows(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], column: str, schema: str) -> DataFrame:
     """`mapInArrow` over slices bounded in the bytes of one column."""
     def run(batches):
+        release()
         for piece in slices(batches, column):
             yield work(piece)
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from lamina.llm.common import bounded_batches, map_rows, written
+from lamina.llm.common import bounded_batches, map_rows, release, written
 
 # Fixed masks, of 8 looked-at words each.
 MASKS = ("110110101101", "1110010110101", "11101011011")
@@ -205,6 +205,7 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_ke
     )
 
     def verify(batches):
+        release()
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             get = {c: batch[c] for c in ("doc", "name", "start", "words", "wanted", "shift", "spots")}

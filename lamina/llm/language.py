@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lamina.llm.common import bounded_batches, map_rows
+from lamina.llm.common import bounded_batches, held, map_rows
 
 UNDETERMINED = "und"
 EXCERPTS = 100
@@ -192,10 +192,9 @@ class Parser:
         return out
 
 
-@lru_cache(maxsize=1)
 def parser_of(samples: tuple) -> Parser:
     """The parser of this process, built from the sampled texts."""
-    return Parser({name: list(texts) for name, texts in samples})
+    return held(("parser", samples), lambda: Parser({name: list(texts) for name, texts in samples}))
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", excerpts: int = EXCERPTS,

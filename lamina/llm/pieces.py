@@ -40,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lamina.llm.common import bounded_batches, slices
+from lamina.llm.common import bounded_batches, held, slices
 
 SPACE = "▁"
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -315,10 +315,9 @@ def vocabulary_of(path: str, sharpness: float) -> Vocabulary:
     return Vocabulary(path, sharpness)
 
 
-@lru_cache(maxsize=1)
 def lattices_of(vocabulary: Vocabulary) -> Lattices:
     """The lattices of this process: what one task has built serves the next."""
-    return Lattices(vocabulary)
+    return held(("lattices", vocabulary.path, vocabulary.sharpness), lambda: Lattices(vocabulary))
 
 
 class Search:

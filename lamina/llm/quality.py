@@ -26,11 +26,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from lamina.llm.common import bounded_batches, map_rows
+from lamina.llm.common import bounded_batches, map_rows, release
 
 BAD, GOOD, SILENT = 0, 1, 2
 DIMENSIONS = 4096
-SAMPLE = 6000
+SAMPLE = 4000
 
 MARKS = b".,;:!?'\"-()"
 UPPER, DIGIT, SPACE, MARK, SYMBOL, LETTER = range(6)
@@ -237,7 +237,9 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Quality:
         .orderBy("place").limit(sample).select("text")
     )
     got = map_rows(drawn, prepare, "text", "row binary, pattern int").toArrow()
-    rows = np.frombuffer(b"".join(got["row"].to_pylist()), np.float16).reshape(-1, DIMENSIONS).astype(np.float32)
+    rows = np.empty((got.num_rows, DIMENSIONS), np.float32)
+    for k, row in enumerate(got["row"]):
+        rows[k] = np.frombuffer(row.as_buffer(), np.float16)
     return Quality(model, fit_scorer(rows, model.posterior(got["pattern"].to_numpy())))
 
 
@@ -250,6 +252,7 @@ def scored(docs: DataFrame, quality: Quality, text: str = "text") -> DataFrame:
     def judge(texts):
         import pandas as pd
 
+        release()
         own = shared.value
         pairs = [own.score((t or "").encode()) for t in texts]
         return pd.DataFrame({

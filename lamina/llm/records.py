@@ -24,7 +24,6 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lamina.llm.common import bounded_batches, open_folder, slices, written
+from lamina.llm.common import bounded_batches, held, open_folder, slices, written
 
 HEAD, HEAD_SIZE = "<QI", 12
 FRAME = HEAD_SIZE + 4
@@ -149,10 +148,9 @@ class WordEncoder:
         return [ids[x:y].tobytes() for x, y in zip(cuts, cuts[1:])]
 
 
-@lru_cache(maxsize=2)
 def word_encoder(path: str, room: int) -> WordEncoder:
     """The encoder of this process: what one task has learnt serves the next."""
-    return WordEncoder(path, room)
+    return held(("words", path, room), lambda: WordEncoder(path, room))
 
 
 class PlainEncoder:

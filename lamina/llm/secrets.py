@@ -23,7 +23,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lamina.llm.common import bounded_batches, slices
+from lamina.llm.common import bounded_batches, release, slices
 
 SPANS = "array<struct<start:int,end:int>>"
 LEDGER = f"blob string, rule string, version int, spans {SPANS}"
@@ -94,6 +94,7 @@ def pending(addressed: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, .
 def scan(todo: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """Ledger rows for pending blobs."""
     def run(batches):
+        release()
         for piece in slices(batches, "text"):
             out: dict[str, list] = {"blob": [], "rule": [], "version": [], "spans": []}
             rows = zip(piece["blob"].to_pylist(), piece["text"].to_pylist(), piece["todo"].to_pylist())
