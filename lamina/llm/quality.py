@@ -10,7 +10,8 @@
    the chance that such a text is good.
 3. The posteriors are the soft labels of a logistic scorer over hashed features
    of whole texts: byte trigrams and the labellers' properties in steps. It is
-   fitted on a sample of at most `sample` rows, drawn by a hash of the rows.
+   fitted on a sample of at most `sample` distinct texts that have words, drawn
+   by a hash: copies and blank texts take no room in it.
 4. The scorer scores every text; texts of 0.5 and more are kept.
 
 A text that is NULL or has no words scores 0. Repeated rows get equal scores.
@@ -26,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from lamina.llm.common import bounded_batches, map_rows, release
+from lamina.llm.common import bounded_batches, map_rows, release, written
 
 BAD, GOOD, SILENT = 0, 1, 2
 DIMENSIONS = 4096
@@ -203,8 +204,20 @@ class Quality:
         return float(1 / (1 + np.exp(-np.clip(margin, -30, 30)))), pattern_of(votes(m))
 
 
+def drawn(texts: DataFrame, sample: int) -> DataFrame:
+    """(place, text) of at most `sample` distinct texts with words; a text has one place, however many rows hold it."""
+    place = F.shiftrightunsigned(F.xxhash64("text", F.lit(sample)), 11) / F.lit(float(1 << 53))
+    placed = texts.where(F.col("text").rlike(r"[^ \t\n\x0B\f\r]")).select(place.alias("place"), "text")
+    places = written(placed.select("place").distinct(), "places")
+    # The share wanted, and a little more, then exactly `sample`.
+    share = min(1.0, 1.2 * sample / max(1, places.count()))
+    first = places.where(F.col("place") < share).orderBy("place").limit(sample)
+    last = first.agg(F.max("place")).first()[0]
+    return placed.where(F.col("place") <= F.lit(last).cast("double")).dropDuplicates(["place"])
+
+
 def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Quality:
-    """Vote model over all texts of `docs`, scorer over a sample of at most `sample` rows."""
+    """Vote model over all texts of `docs`, scorer over a sample of at most `sample` distinct texts."""
     bounded_batches(docs.sparkSession)
 
     def vote(piece):
@@ -221,22 +234,14 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Quality:
     def prepare(piece):
         out: list[list] = [[], []]
         for data in (x.encode() for x in piece["text"].to_pylist()):
-            if not data.strip():
-                continue
             m = measures(data)
             out[0].append(features(data, m).astype(np.float16).tobytes())
             out[1].append(pattern_of(votes(m)))
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int32())],
-                                          ["row", "pattern"])
+        return pa.RecordBatch.from_arrays([piece["place"], pa.array(out[0], pa.binary()), pa.array(out[1], pa.int32())],
+                                          ["place", "row", "pattern"])
 
-    # A row's place in the draw is a hash of its text; the share wanted, and a little more, then exactly `sample`.
-    share = min(1.0, 1.2 * sample / max(1.0, counts.sum()))
-    place = F.shiftrightunsigned(F.xxhash64("text", F.lit(sample)), 11) / F.lit(float(1 << 53))
-    drawn = (
-        texts.withColumn("place", place).where(F.col("place") < share)
-        .orderBy("place").limit(sample).select("text")
-    )
-    got = map_rows(drawn, prepare, "text", "row binary, pattern int").toArrow()
+    got = map_rows(drawn(texts, sample), prepare, "text", "place double, row binary, pattern int").toArrow()
+    got = got.sort_by("place")
     rows = np.empty((got.num_rows, DIMENSIONS), np.float32)
     for k, row in enumerate(got["row"]):
         rows[k] = np.frombuffer(row.as_buffer(), np.float16)
