@@ -18,7 +18,10 @@ hashes are joined.
    It is an overlap if it has `least` words or the whole item, and at least
    `share` of them alike.
 
-NULL texts count as empty. Items of fewer words than the shortest mask are
+The masks hit every run of at least as many words as the widest mask (10) of
+which a quarter at most is replaced, wherever the replaced words stand.
+
+NULL texts count as empty. Items of fewer words than the widest mask are
 looked for whole, without substitutions. Items without words are nowhere.
 Repeated items and rows count one by one. Items may share an id.
 """
@@ -34,8 +37,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from lamina.llm.common import bounded_batches, map_rows, release, written
 
-# Fixed masks, of 8 looked-at words each.
-MASKS = ("110110101101", "1110010110101", "11101011011")
+# Fixed masks, of 5 looked-at words each. In any run of 10 words or more of which a quarter at most is replaced, one of
+# them fits somewhere: tests enumerate runs of 10 to 26 words, and a longer run has a part of those lengths that holds.
+MASKS = ("1100010011", "11010011", "1101011", "11111")
 TABLE_BITS = 26
 LEAST = 13
 SHARE = 0.75
@@ -68,20 +72,20 @@ def windows(words: np.ndarray, mask: str) -> np.ndarray:
 
 
 def masks_of(lengths: list[int], masks: tuple[str, ...]) -> tuple[str, ...]:
-    """The masks, and a full one for each item shorter than all of them."""
-    shortest = min(map(len, masks))
-    return (*masks, *("1" * n for n in sorted(set(lengths)) if 0 < n < shortest))
+    """The masks, and a full one for each item shorter than the widest of them."""
+    full = ("1" * n for n in sorted(set(lengths)) if 0 < n < max(map(len, masks)))
+    return (*masks, *(m for m in full if m not in masks))
 
 
 def item_windows(items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
-    """(item, hash, place) of all windows; an item shorter than the masks has one under the mask of its length."""
-    shortest = min(map(len, masks))
+    """(item, hash, place) of all windows; an item shorter than the widest mask has one under the mask of its length."""
+    widest = max(map(len, masks))
 
     def work(piece):
         out: list[list] = [[], [], []]
         for item, words in zip(piece["item"].to_pylist(), piece["words"]):
             words = words.values.to_numpy(zero_copy_only=False).view(np.uint64)
-            for mask in ("1" * len(words),) if len(words) < shortest else masks:
+            for mask in ("1" * len(words),) if len(words) < widest else masks:
                 hashes = windows(words, mask)
                 out[0] += [item] * len(hashes)
                 out[1] += hashes.view(np.int64).tolist()
@@ -181,9 +185,9 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_ke
     # Items are told apart by a hash of id and words: ids may repeat.
     bench = written(bench.where(F.size("words") > 0).distinct()
                     .withColumn("name", F.col("item")).withColumn("item", F.xxhash64("item", "words")), "bench")
-    shortest = min(map(len, masks))
-    short = [r[0] for r in bench.select(F.size("words")).where(F.size("words") < shortest).distinct().collect()]
-    everything = masks_of(short, masks)  # at most one more for each length below the shortest mask
+    widest = max(map(len, masks))
+    short = [r[0] for r in bench.select(F.size("words")).where(F.size("words") < widest).distinct().collect()]
+    everything = masks_of(short, masks)  # at most one more for each length below the widest mask
     seeds = written(item_windows(bench, masks), "seeds")
     table = spark.sparkContext.broadcast(bit_table(seeds, bits))
 

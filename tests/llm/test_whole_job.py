@@ -1,11 +1,13 @@
 """Cases in which the text operators once did less than the whole job."""
 
+from itertools import combinations
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("xxhash")
-from lamina.llm import quality
+from lamina.llm import decontaminate, quality
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -29,3 +31,46 @@ def test_copies_and_blanks_take_no_room_in_the_sample(spark, monkeypatch):
     few = ["one text", "another text", "one text", " "]
     quality.fit(frame(spark, few), sample=sample)
     assert len(seen[1]) == 2
+
+
+# ---------------------------------------------------------------- 9 decontamination
+
+def fewest_replaced(masks, longest):
+    """For runs of 1 to `longest` words, the fewest replaced words with which no mask fits anywhere."""
+    wide = max(map(len, masks))
+    looked_at = [(len(m), int(m, 2)) for m in masks]
+    states, out = {0: 0}, []
+    for n in range(1, longest + 1):
+        after = {}
+        for state, count in states.items():
+            for replaced in (0, 1):
+                bits = state << 1 | replaced
+                if all(n < width or bits & mask for width, mask in looked_at):
+                    kept = bits & (1 << wide - 1) - 1
+                    after[kept] = min(after.get(kept, n), count + replaced)
+        states = after
+        out.append(min(states.values()))
+    return out
+
+
+def test_masks_hit_every_run_with_a_quarter_replaced():
+    least = fewest_replaced(decontaminate.MASKS, 26)
+    # A longer run splits into parts of these lengths, one of which has a quarter of it replaced at most.
+    assert all(least[n - 1] > n // 4 for n in range(max(map(len, decontaminate.MASKS)), 27))
+    assert max(map(len, decontaminate.MASKS)) <= 13
+
+
+def test_worn_items_are_found_wherever_words_are_replaced(spark):
+    rows, items = [], []
+    for length, lost in ((10, 2), (11, 2), (12, 2), (13, 2), (15, 3)):
+        words = [f"b{length}x{k}" for k in range(length)]
+        items.append((length, " ".join(words)))
+        for gone in combinations(range(length), lost):
+            alike = np.ones(length, bool)
+            alike[list(gone)] = False
+            if decontaminate.best_run(alike, np.flatnonzero(alike)) == [(0, length)]:
+                worn = [w if a else f"r{k}" for k, (w, a) in enumerate(zip(words, alike))]
+                rows.append((length * 1000 + len(rows), " ".join(["before it"] + worn + ["after it"])))
+    docs = frame(spark, []).select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = decontaminate.overlaps(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc for r in found} == {i for i, _ in rows}
