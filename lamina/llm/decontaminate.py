@@ -16,7 +16,8 @@ hashes are joined.
 4. On each diagonal the words are compared one by one. A passage is the best
    run around the hits: words alike count 1, words that differ count -2.
    It is an overlap if it has `least` words or the whole item, and at least
-   `share` of them alike.
+   `share` of them alike. In a run that is long enough and has too few alike,
+   the runs inside it around each hit are held to the same.
 
 The masks hit every run of at least as many words as the widest mask (10) of
 which a quarter at most is replaced, wherever the replaced words stand.
@@ -169,6 +170,32 @@ def best_run(alike: np.ndarray, spots: np.ndarray) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def within(alike: np.ndarray, spots: np.ndarray, least: int, share: float) -> list[tuple[int, int]]:
+    """Through each of the given spots a run of `least` words or more of which `share` are alike, if there is one.
+
+    The run of the best sum by the share itself (1 - `share` for words alike,
+    -`share` for others) is taken, or if that is too short, the longest run
+    that starts and ends with words alike.
+    """
+    total = np.concatenate(([0.0], np.cumsum(alike - share)))
+    low, high = np.minimum.accumulate(total), np.maximum.accumulate(total[::-1])[::-1]
+    closed = np.maximum.accumulate(np.where(np.concatenate(([False], alike)), total, -np.inf)[::-1])
+    found = set()
+    for spot in spots.tolist():
+        start = int(np.flatnonzero(total[:spot + 1] == low[spot])[-1])
+        end = int(np.flatnonzero(total[spot:] == high[spot])[0]) + spot
+        if end - start < least:
+            starts = np.flatnonzero(alike[:spot + 1])
+            ends = len(alike) - np.searchsorted(closed, total[starts] - 1e-9)
+            if not len(starts):
+                continue
+            best = int(np.argmax(np.where(ends > spot, ends - starts, -1)))
+            start, end = int(starts[best]), int(ends[best])
+        if end > spot and end - start >= least:
+            found.add((start, end))
+    return sorted(found)
+
+
 def overlaps(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id",
              masks: tuple[str, ...] = MASKS, least: int = LEAST, share: float = SHARE,
              bits: int = TABLE_BITS) -> DataFrame:
@@ -219,12 +246,18 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_ke
                 first, last = max(start, shift), min(start + len(words), shift + len(wanted))
                 alike = words[first - start:last - start] == wanted[first - shift:last - shift]
                 seen = get["spots"][row].values.to_numpy(zero_copy_only=False) - first
-                for begin, end in best_run(alike, seen[(seen >= 0) & (seen <= len(alike))]):
-                    same = int(alike[begin:end].sum())
-                    if end - begin >= min(least, len(wanted)) and same >= share * (end - begin):
-                        for column, value in zip(out, (get["doc"][row].as_py(), get["name"][row].as_py(),
-                                                       first + begin, end - begin, same)):
-                            column.append(value)
+                seen, need = seen[(seen >= 0) & (seen <= len(alike))], min(least, len(wanted))
+                runs = set()
+                for begin, end in best_run(alike, seen):
+                    if end - begin >= need and alike[begin:end].sum() >= share * (end - begin):
+                        runs.add((begin, end))
+                    elif end - begin >= need:
+                        inside = seen[(seen >= begin) & (seen < end)] - begin
+                        runs.update((begin + a, begin + b) for a, b in within(alike[begin:end], inside, need, share))
+                for begin, end in sorted(runs):
+                    for column, value in zip(out, (get["doc"][row].as_py(), get["name"][row].as_py(), first + begin,
+                                                   end - begin, int(alike[begin:end].sum()))):
+                        column.append(value)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))],
                 ["doc", "item", "start", "n_words", "n_alike"])

@@ -74,3 +74,27 @@ def test_worn_items_are_found_wherever_words_are_replaced(spark):
     docs = frame(spark, []).select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
     found = decontaminate.overlaps(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {r.doc for r in found} == {i for i, _ in rows}
+
+
+def test_a_verbatim_stretch_is_found_in_a_long_worn_run(spark):
+    item = [f"w{k}" for k in range(181)]
+    worn = [w if 84 <= k < 97 or (k if k < 84 else 180 - k) % 7 not in (3, 5) else f"r{k}" for k, w in enumerate(item)]
+    alike = np.array([a == b for a, b in zip(item, worn)])
+    [(start, end)] = decontaminate.best_run(alike, np.array([88]))
+    assert end - start > 100 and alike[start:end].mean() < 0.75
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    found = decontaminate.overlaps(frame(spark, [" ".join(worn)]), items).collect()
+    assert any(r.start <= 84 and r.start + r.n_words >= 97 for r in found)
+    assert all(r.n_words >= 13 and r.n_alike >= 0.75 * r.n_words for r in found)
+
+
+def test_runs_inside_equal_brute_force():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        alike = rng.random(rng.integers(1, 40)) < 0.7
+        total = np.concatenate(([0], np.cumsum(alike)))
+        for spot in np.flatnonzero(alike):
+            right = {(a, b) for a in range(spot + 1) for b in range(spot + 1, len(alike) + 1)
+                     if b - a >= 9 and alike[a] and alike[b - 1] and total[b] - total[a] >= 0.75 * (b - a)}
+            got = decontaminate.within(alike, np.array([spot]), 9, 0.75)
+            assert bool(got) == bool(right) and all(total[b] - total[a] >= 0.75 * (b - a) - 1e-9 for a, b in got)
