@@ -11,7 +11,9 @@ template is only aligned where a window holds enough of its different words for
 the coverage asked for, which is a necessary condition, so no hit is lost by it;
 the windows of whole texts are looked at. A window is tried at the length of
 the template first, so that two copies next to each other are two hits. Hits of
-one template do not overlap; those of different templates may.
+one template do not overlap; those of different templates may, but within a
+family of templates (versions of a licence, say) only the one with most words
+paired, then of the best coverage, is kept.
 
 NULL texts count as empty. Rows may repeat; each gives its hits. Templates
 without words match nothing.
@@ -28,37 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lamina.llm.common import bounded_batches, map_rows
+from lamina.llm.license_texts import TABLE
 
 WORD = re.compile(r"[^\W_]+")
 COVERAGE = 0.8
 SLACK = 8
 
-# Fixed texts: public licence notices and permissions.
-TEMPLATES = (
-    ("all-rights-reserved", "All rights reserved."),
-    ("apache-2.0-notice", "Licensed under the Apache License, Version 2.0."),
-    ("apache-2.0-header",
-     "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance "
-     "with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless "
-     "required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
-     "\"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the "
-     "specific language governing permissions and limitations under the License."),
-    ("cc-by-nc-4.0-notice", "Licensed under CC BY-NC 4.0."),
-    ("gpl-3-notice", "This work is licensed under the GNU General Public License, version 3."),
-    ("isc",
-     "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
-     "granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE "
-     "IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED "
-     "WARRANTIES OF MERCHANTABILITY AND FITNESS."),
-    ("mit-notice", "Released under the MIT License."),
-    ("mit",
-     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-     "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
-     "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and "
-     "to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above "
-     "copyright notice and this permission notice shall be included in all copies or substantial portions of the "
-     "Software."),
-)
+TEMPLATES = tuple((name, text) for name, _, text in TABLE)
+FAMILIES = {name: family for name, family, _ in TABLE}
 
 
 def rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -107,6 +86,7 @@ def aligned(text: list[str], template: list[str]) -> list[tuple[int, int]]:
 class Template:
     def __init__(self, name: str, text: str, coverage: float):
         self.name, self.words, self.coverage = name, WORD.findall(text.lower()), coverage
+        self.family = FAMILIES.get(name, name)
         self.vocabulary = set(self.words)
         self.window = 2 * len(self.words) + SLACK
         missing = int((1 - coverage) * len(self.words) + 1e-9)
@@ -142,6 +122,16 @@ class Template:
         return out
 
 
+def closest(hits: list[tuple]) -> list[tuple]:
+    """Hits (template, first word, end, words paired) without those that overlap a closer one of their family."""
+    ranked = sorted(hits, key=lambda h: (-h[3], -h[3] / len(h[0].words)))
+    out: list[tuple] = []
+    for hit in ranked:
+        if not any(h[0].family == hit[0].family and h[1] < hit[2] and hit[1] < h[2] for h in out):
+            out.append(hit)
+    return out
+
+
 def scanned(docs: DataFrame, templates=TEMPLATES, coverage: float = COVERAGE, key: str = "doc_id",
             text: str = "text") -> DataFrame:
     """(key, license, start, end, n_paired, n_words, coverage) of each hit; start and end count code points."""
@@ -154,10 +144,11 @@ def scanned(docs: DataFrame, templates=TEMPLATES, coverage: float = COVERAGE, ke
         out: list[list] = [[] for _ in names]
         for own, value in zip(piece["key"].to_pylist(), piece["text"].to_pylist()):
             words = [w.lower() for w in WORD.findall(value)]
-            known, spans = set(words), None
-            for template in prepared:
-                for first, end, paired in template.hits(words, known):
-                    spans = spans or [m.span() for m in WORD.finditer(value)]
+            known = set(words)
+            hits = [(t, *hit) for t in prepared for hit in t.hits(words, known)]
+            if hits:
+                spans = [m.span() for m in WORD.finditer(value)]
+                for template, first, end, paired in closest(hits):
                     row = (own, template.name, spans[first][0], spans[end - 1][1], paired, len(template.words),
                            paired / len(template.words))
                     for column, cell in zip(out, row):

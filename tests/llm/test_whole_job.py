@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("xxhash")
-from lamina.llm import decontaminate, quality
+from lamina.llm import decontaminate, licenses, quality
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -98,3 +98,23 @@ def test_runs_inside_equal_brute_force():
                      if b - a >= 9 and alike[a] and alike[b - 1] and total[b] - total[a] >= 0.75 * (b - a)}
             got = decontaminate.within(alike, np.array([spot]), 9, 0.75)
             assert bool(got) == bool(right) and all(total[b] - total[a] >= 0.75 * (b - a) - 1e-9 for a, b in got)
+
+
+# ---------------------------------------------------------------- 7 licences
+
+def test_whole_licences_are_found_under_their_own_names(spark):
+    names = [n for n, _ in licenses.TEMPLATES]
+    assert {"bsd-2-clause", "bsd-3-clause", "mpl-2.0-header", "gpl-2-header", "gpl-3-header", "lgpl-2.1-header",
+            "agpl-3-header", "cc-by-4.0-notice", "cc-by-sa-4.0-notice", "unlicense", "bsl-1.0", "mit", "isc"} <= set(names)
+    prose = "quiet rivers ran along seven hills while nobody listened"
+    docs = frame(spark, [f"{prose}\n{text}\n{prose}" for _, text in licenses.TEMPLATES])
+    rows = licenses.scanned(docs).collect()
+    whole = {(r.key, r.license) for r in rows if r.coverage == 1}
+    assert {(k, n) for k, n in enumerate(names)} <= whole
+    # A licence is not taken for its neighbours; only the Apache header holds another notice.
+    other = {(names[k], n) for k, n in whole if names[k] != n}
+    assert other <= {("apache-2.0-header", "apache-2.0-notice")}
+    for name, ending in (("mit", "OTHER DEALINGS IN THE SOFTWARE"), ("isc", "PERFORMANCE OF THIS SOFTWARE")):
+        [row] = [r for r in rows if r.license == name and names[r.key] == name]
+        text = dict(licenses.TEMPLATES)[name]
+        assert text.rstrip(".").endswith(ending) and row.end - row.start == len(text.rstrip("."))
