@@ -20,6 +20,7 @@ their own fingerprint; a NULL id names no component unless it is alone there.
 from __future__ import annotations
 
 from itertools import product
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ from lamina.llm.common import bounded_batches, map_rows, own_id, release, writte
 
 TILE = 2048
 PARTS = 4
+SHORT = 64
+LOSS = 1e-6
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -154,26 +157,70 @@ def forest(lefts: np.ndarray, rights: np.ndarray, total: int) -> np.ndarray:
     return keep
 
 
+def chance_to_differ(n: int, m: int, common: int) -> float:
+    """How likely a bit of the majorities of `n` and `m` hashes differs, of which `common` are the same."""
+    def chances(k: int) -> np.ndarray:
+        return np.array([comb(k, i) for i in range(k + 1)], float) / 2.0 ** k
+
+    def above(size: int) -> np.ndarray:
+        rest = np.append(np.cumsum(chances(size - common)[::-1])[::-1], 0.0)  # chance of i or more in the rest
+        need = np.clip(size // 2 + 1 - np.arange(common + 1), 0, size - common + 1)
+        return rest[need]
+
+    a, b = above(n), above(m)
+    return float(chances(common) @ (a * (1 - b) + b * (1 - a)))
+
+
+def lost(bits: int, chance: float, radius: int) -> float:
+    """How likely more than `radius` of `bits` differ."""
+    return sum(comb(bits, k) * chance ** k * (1 - chance) ** (bits - k) for k in range(radius + 1, bits + 1))
+
+
+def radii(radius: int, bits: int, similarity: float, short: int = SHORT, loss: float = LOSS) -> np.ndarray:
+    """The radius for each number of shingles up to `short`, wide enough to lose a pair by chance `loss` at most.
+
+    Over few shingles a strict majority hangs on each of them, so that similar
+    sets differ in more bits than long ones do. The last value is for all longer texts.
+    """
+    out = np.full(short + 2, radius)
+    for n in range(1, short + 1):
+        for m in range(n, int(n / similarity + 1e-9) + 1):
+            common = int(np.ceil(similarity * (n + m) / (1 + similarity) - 1e-9))
+            if common <= n and (n < m or common < n):
+                chance = chance_to_differ(n, m, common)
+                while lost(bits, chance, int(out[n])) > loss:
+                    out[n] += 1
+    return out
+
+
 class Comparison:
     """A spanning forest of the links between two tiles: pairs of at most `radius` differing bits.
 
     With `ratio`, pairs whose numbers of shingles differ by more are no links.
+    `wide` has the radius by number of shingles, its last value for all that
+    are longer; of two rows the wider radius holds.
     """
 
-    def __init__(self, radius: int, ratio: float = 0.0, rows: int = 64):
-        self.radius, self.ratio, self.rows = radius, ratio, rows
+    def __init__(self, radius: int, ratio: float = 0.0, rows: int = 64, wide: np.ndarray | None = None):
+        self.radius, self.ratio, self.rows, self.wide = radius, ratio, rows, wide
+
+    def reach(self, ns: np.ndarray) -> np.ndarray:
+        return self.wide[np.minimum(ns, len(self.wide) - 1)].astype(np.uint16)
 
     def __call__(self, a: tuple, b: tuple, same: bool):
         """a, b: (ids, fps of shape lanes x rows, ns). Yields arrays (id, id)."""
         (ids_a, fps_a, ns_a), (ids_b, fps_b, ns_b) = a, b
         label = np.arange(len(ids_a) + len(ids_b))
         names = np.concatenate((ids_a, ids_b))
+        limit = self.radius
         for start in range(0, len(ids_a), self.rows):
             stop = min(len(ids_a), start + self.rows)
             differ = np.zeros((stop - start, len(ids_b)), np.uint16)
             for lane in range(len(fps_a)):
                 differ += np.bitwise_count(fps_a[lane, start:stop, None] ^ fps_b[lane, None, :])
-            near = differ <= self.radius
+            if self.wide is not None:
+                limit = np.maximum(self.reach(ns_a[start:stop])[:, None], self.reach(ns_b)[None, :])
+            near = differ <= limit
             if same:
                 near &= np.arange(len(ids_b))[None, :] > np.arange(start, stop)[:, None]
             if self.ratio and near.any():
@@ -357,7 +404,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, l
 
     The fingerprint has 64 * `lanes` bits of the distinct shingles. Two texts of
     similarity 0.8 differ in 39 of 256 bits, give or take 6, so that `radius`
-    loses about one of them in ten thousand. Sizes prune too: sets of
+    loses about one of them in ten thousand (2.6 from 65 to 199 shingles). Texts of up to 64 shingles differ
+    in more and have wider radii, which lose one in a million. Sizes prune too: sets of
     similarity 0.8 differ in size by a quarter at most, so only neighbouring
     size classes meet, as well as only neighbouring classes of bit counts. The
     groups that near fingerprints make are then split by exact similarity.
@@ -366,10 +414,11 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, l
     folded = written(points.groupBy("fp").agg(F.min("id").alias("id"), F.max("n").alias("n")), "distinct-fingerprints")
     size_class = F.when(F.col("n") > 0, F.floor(F.log(F.col("n").cast("double")) / float(-np.log(similarity))))
     bits = sum((F.bit_count(F.col("fp")[i]) for i in range(1, lanes)), F.bit_count(F.col("fp")[0]))
-    cell = [F.coalesce(size_class, F.lit(-9)), F.floor(bits / F.lit(radius + 1))]
+    wide = radii(radius, 64 * lanes, similarity)
+    cell = [F.coalesce(size_class, F.lit(-9)), F.floor(bits / F.lit(int(wide.max()) + 1))]
     packed = written(tiles(folded, cell, tile), "tiles")
     offsets = [o for o in product((-1, 0, 1), repeat=2) if o >= (0, 0)]
-    near = written(compare(packed, tile_pairs(packed, offsets), lanes, Comparison(radius, ratio=similarity)), "links")
+    near = written(compare(packed, tile_pairs(packed, offsets), lanes, Comparison(radius, ratio=similarity, wide=wide)), "links")
     candidates = written(components(near, "candidates"), "candidate-groups")
     links = written(verified(candidates, docs, shingle, similarity), "verified")
     named = folded.join(components(links), "id", "left").select("fp", F.coalesce("component", "id").alias("component"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("xxhash")
-from lamina.llm import decontaminate, licenses, quality
+from lamina.llm import decontaminate, licenses, quality, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -118,3 +118,34 @@ def test_whole_licences_are_found_under_their_own_names(spark):
         [row] = [r for r in rows if r.license == name and names[r.key] == name]
         text = dict(licenses.TEMPLATES)[name]
         assert text.rstrip(".").endswith(ending) and row.end - row.start == len(text.rstrip("."))
+
+
+# ---------------------------------------------------------------- 2 near copies of short texts
+
+def differing(a, b):
+    fps = [simhash.majority(np.unique(simhash.shingle_hashes(t, 5)), 4) for t in (a, b)]
+    return int(np.bitwise_count(fps[0] ^ fps[1]).sum())
+
+
+def test_near_copies_of_few_shingles_are_found(spark):
+    far = []
+    for k in range(2000):
+        text = " ".join(f"t{k}w{i}" for i in range(8))
+        if differing(text, f"{text} more") > 60:
+            far.append((text, f"{text} more"))
+    assert len(far) > 10
+    texts = [t for pair in far for t in pair]
+    kept = simhash.keep_one(frame(spark, texts)).collect()
+    assert {r.doc_id for r in kept} == set(range(0, len(texts), 2))
+
+
+def test_radii_lose_one_similar_pair_in_a_million():
+    wide = simhash.radii(60, 256, 0.8)
+    assert (wide >= 60).all() and wide[-1] == 60
+    rng = np.random.default_rng(6)
+    for n, m, common in ((4, 5, 4), (12, 15, 12), (20, 25, 20), (9, 9, 8)):
+        hashes = rng.integers(0, 1 << 63, (300, n + m - common, 2), np.int64).astype(np.uint64)
+        hashes = hashes[..., 0] << np.uint64(32) ^ hashes[..., 1]
+        bits = [np.bitwise_count(simhash.majority(h[:n], 4) ^ simhash.majority(h[n - common:], 4)).sum() for h in hashes]
+        assert abs(np.mean(bits) / 256 - simhash.chance_to_differ(n, m, common)) < 0.01
+        assert max(bits) <= wide[min(n, m)] and simhash.lost(256, simhash.chance_to_differ(n, m, common), wide[n]) <= 1e-6
