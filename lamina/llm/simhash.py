@@ -404,7 +404,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, l
 
     The fingerprint has 64 * `lanes` bits of the distinct shingles. Two texts of
     similarity 0.8 differ in 39 of 256 bits, give or take 6, so that `radius`
-    loses about one of them in ten thousand (2.6 from 65 to 199 shingles). Texts of up to 64 shingles differ
+    loses about two of them in ten thousand (2.6 from 65 to 199 shingles). Texts of up to 64 shingles differ
     in more and have wider radii, which lose one in a million. Sizes prune too: sets of
     similarity 0.8 differ in size by a quarter at most, so only neighbouring
     size classes meet, as well as only neighbouring classes of bit counts. The
