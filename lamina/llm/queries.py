@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lamina.llm import (
-    decontaminate, language, licenses, pieces, quality, records, revisits, secrets, simhash, topk,
+    decontaminate, infill, language, licenses, packing, pieces, quality, records, revisits, secrets, simhash, topk,
+    whitening,
 )
 from lamina.llm.common import shared_folder, table, written
 
@@ -199,3 +200,56 @@ FROM judged
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence texts and notices in every text."""
     return licenses.scanned(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's leading whitened components, by a model fitted on each distinct integer vector once."""
+    vectors = table(spark, sf_dir, "embeddings")
+    rows = whitening.whitened(vectors, whitening.fitted(vectors))
+    # A deviation beyond a long has no place in this column; the operator has it in 38 digits.
+    return rows.withColumn("deviation", F.col("deviation").try_cast("long")).withColumnRenamed("id", "vec_id")
+
+
+@query
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All token ids in one row, cut into sequences of 4096; each piece's checksum is read from its sequence."""
+    import public_tokenizers
+
+    encoder = records.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    packed = packing.sequences(table(spark, sf_dir, "documents"), encoder)
+    return packing.pieces(packed).withColumnsRenamed({"key": "doc_id", "tokens": "doc_tokens"})
+
+
+@query
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with its parts in another order, and the text that the output restores."""
+    rows = infill.transformed(table(spark, sf_dir, "documents"))
+    again = infill.restored(F.col("output"), F.col("form"))
+    return rows.select(
+        F.col("key").alias("doc_id"), "n", "form", F.col("prefix_units").alias("prefix_chars"),
+        F.col("middle_units").alias("middle_chars"), F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(again, 256).alias("restored_sha256"))
+
+
+ORACLES["op13_fill_in_middle"] = """
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+         sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), numbers AS (
+  SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (n + 1) AS a, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (n + 1) AS b,
+         CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM texts
+), formed AS (
+  SELECT *, least(a, b) AS x, greatest(a, b) AS y,
+         CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM numbers
+), parts AS (
+  SELECT *, substr(t, 1, x) AS p, substr(t, x + 1, y - x) AS m, substr(t, y + 1) AS s FROM formed
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN x END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN y - x END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM parts
+"""
