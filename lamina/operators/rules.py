@@ -39,8 +39,10 @@ def kept(judged: DataFrame) -> DataFrame:
     return judged.where(F.col("_motif") == KEPT).drop("_motif", "_detail")
 
 
-def rejects(judged: DataFrame, source: str, key: Column, action: str = DISCARDED) -> DataFrame:
-    """The rows that broke a rule, in the shape of the reject register."""
+def rejects(
+    judged: DataFrame, source: str, key: Column, action: str = DISCARDED, carry: list[str] | None = None
+) -> DataFrame:
+    """The rows that broke a rule, in the shape of the reject register, with columns to carry along."""
     lines = F.col("nb_lignes") if "nb_lignes" in judged.columns else F.lit(1).cast("bigint")
     return judged.where(F.col("_motif") != KEPT).select(
         F.lit(source).alias("source"),
@@ -51,4 +53,5 @@ def rejects(judged: DataFrame, source: str, key: Column, action: str = DISCARDED
         lines.alias("nb_lignes"),
         F.col("_jour_depot"),
         F.col("_fichier_source"),
+        *(carry or []),
     )

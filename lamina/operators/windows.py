@@ -20,11 +20,29 @@ def outside_window(moment: Column, start: Column, end: Column) -> Column:
     return before_window(moment, start) | after_window(moment, end)
 
 
+def time_slot(moment: Column, days: int) -> Column:
+    """Number of the stretch of `days` days that holds a moment."""
+    return F.floor(F.unix_micros(moment.cast("timestamp_ntz").cast("timestamp")) / (days * _MICROS_PER_DAY))
+
+
+def starts_told(df: DataFrame, entity: str, start: str, days: int) -> DataFrame:
+    """(entity, _slot): the slots in which an end may be answered by one of these starts.
+
+    A start answers ends of its own slot and of the one before, of the same entity; no others.
+    """
+    slot = time_slot(F.col(start), days)
+    told = df.where(F.col(start).isNotNull())
+    return told.select(entity, F.explode(F.array(slot, slot - 1)).alias("_slot")).distinct()
+
+
 def returns_within(
-    df: DataFrame, entity: str, start: str, end: str, days: int, into: str = "revenu"
+    df: DataFrame, entity: str, start: str, end: str, days: int, into: str = "revenu", among: DataFrame | None = None
 ) -> DataFrame:
     """Add 0/1: does the entity start anew in (end, end + days]?
 
+    Starts are looked for in `among`, by default in the rows themselves. For part of the rows it is enough that
+    `among` holds the starts of the slots of their ends and of the next ones.
+
     Time is cut into slots exactly `days` long. A later start inside the slot
     of `end` is always soon enough, so the slot's last start decides; in the
     next slot only its first start can be soon enough; further slots are too
@@ -32,15 +50,13 @@ def returns_within(
     replace the pairs of a self join, and an entity holding a third of all rows
     is spread over its slots. A row never counts itself, as start <= end.
     """
-    width = days * _MICROS_PER_DAY
-
     def slot(moment):
-        return F.floor(F.unix_micros(moment.cast("timestamp")) / width)
+        return time_slot(moment, days)
 
     nothing = F.lit(None).cast("timestamp_ntz")
     moment = F.col(start).cast("timestamp_ntz")
     starts = (
-        df.where(F.col(start).isNotNull())
+        (df if among is None else among).where(F.col(start).isNotNull())
         .select(
             F.col(entity).alias("_entity"),
             F.inline(

@@ -11,12 +11,12 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from lamina.contract import BRONZE, DAILY_FEEDS, REFERENCE_FILES, REFERENCES, AlertThresholds
+from lamina.contract import BRONZE, DAILY_FEEDS, DIMENSIONS, REFERENCE_FILES, REFERENCES, AlertThresholds
 from lamina.functions.measures import partition_month
 from lamina.plans import cohort, kpi, silver, star
 from lamina.sources import drops
 from lamina.sources.bronze import bronze_frame, reference_frame, stamped
-from lamina.sources.warehouse import Warehouse
+from lamina.sources.warehouse import LOT, Warehouse
 
 # Days ingested by one write: bounds the partitions a single job opens.
 DAYS_PER_BATCH = 60
@@ -132,88 +132,134 @@ def bronze_tables(warehouse: Warehouse) -> dict[str, DataFrame]:
     return {name: warehouse.read_or_empty("bronze", name, ddl) for name, ddl in schemas.items()}
 
 
+def made_from(warehouse: Warehouse, layer: str, *tables: str) -> dict[str, int]:
+    """The versions a build starts from, for the tables it makes to remember."""
+    return warehouse.versions(*[f"{layer}/{table}" for table in tables])
+
+
+LABELS = {"sejours": ["ref_services"], "diagnostics": ["ref_cim10"], "monitoring": [], "actes": ["ref_ccam"]}
+CHILDREN = ("diagnostics", "monitoring", "actes")
+
+
+def deliveries(bronze: DataFrame) -> DataFrame:
+    return bronze.drop("_ingested_at", "_run_id")
+
+
+def judged_child(feed: str, rows: DataFrame, lookup: DataFrame, references: dict[str, DataFrame]) -> DataFrame:
+    if feed == "diagnostics":
+        return silver.judge_diagnostics(rows, lookup, references["ref_cim10"])
+    if feed == "monitoring":
+        return silver.judge_readings(rows, lookup)
+    return silver.judge_acts(rows, lookup, references["ref_ccam"])
+
+
 def build_silver(warehouse: Warehouse, bronze: dict[str, DataFrame], run_id: str) -> dict[str, int]:
+    """All silver tables and the register, from all of bronze."""
     def built(df, moment="_built_at"):
         return stamped(df, run_id, moment)
 
-    deliveries = {feed: bronze[feed].drop("_ingested_at", "_run_id") for feed in DAILY_FEEDS}
-    patients = silver.retained_patients(deliveries["patients"])
-    judged_stays = silver.judge_stays(silver.retained_stays(deliveries["sejours"]), bronze["ref_services"])
+    known = {
+        feed: made_from(warehouse, "bronze", feed, *LABELS.get(feed, ())) for feed in ("patients", "sejours", *CHILDREN)
+    }
+    patients = silver.retained_patients(deliveries(bronze["patients"]))
+    judged_stays = silver.judge_stays(silver.retained_stays(deliveries(bronze["sejours"])), bronze["ref_services"])
     counts = at_once(
         {
-            "patients": lambda: warehouse.replace("silver", "patients", built(silver.silver_patients(patients))),
-            "sejours": lambda: warehouse.replace_judged("sejours", built(judged_stays)),
+            "patients": lambda: warehouse.replace(
+                "silver", "patients", built(silver.silver_patients(patients)), sources=known["patients"]),
+            "sejours": lambda: warehouse.replace_judged(
+                "sejours", built(silver.with_lot("sejours", judged_stays)), known["sejours"]),
         }
     )
     lookup = silver.stay_lookup(warehouse.judged("sejours"))
-    children = {
-        "diagnostics": silver.judge_diagnostics(deliveries["diagnostics"], lookup, bronze["ref_cim10"]),
-        "monitoring": silver.judge_readings(deliveries["monitoring"], lookup),
-        "actes": silver.judge_acts(deliveries["actes"], lookup, bronze["ref_ccam"]),
-    }
-    counts |= at_once(
-        {
-            feed: lambda feed=feed, judged=judged: warehouse.replace_judged(feed, built(judged))
-            for feed, judged in children.items()
-        }
-    )
-    register = silver.unidentified_patients(deliveries["patients"])
+    carrier = made_from(warehouse, "silver", "sejours")
+
+    def child(feed):
+        judged = judged_child(feed, deliveries(bronze[feed]), lookup, bronze)
+        return warehouse.replace_judged(feed, built(silver.with_lot(feed, judged)), known[feed] | carrier)
+
+    counts |= at_once({feed: lambda feed=feed: child(feed) for feed in CHILDREN})
+    register = silver.register_of_patients(deliveries(bronze["patients"]), patients)
     for part in (
-        silver.corrected_patients(patients),
-        silver.replaced_stays(deliveries["sejours"]),
-        *[silver.feed_rejects(feed, warehouse.judged(feed)) for feed in ("sejours", *children)],
+        silver.register_of_versions(deliveries(bronze["sejours"])),
+        *[silver.register_of_feed(feed, warehouse.judged(feed)) for feed in ("sejours", *CHILDREN)],
     ):
         register = register.unionByName(part)
-    warehouse.replace("quarantaine", "rejets", built(register, "_rejected_at"))
+    register = built(register, "_rejected_at").hint("rebalance", LOT)
+    warehouse.replace("quarantaine", "rejets", register, LOT, register_sources(warehouse))
     return counts
 
 
+def register_sources(warehouse: Warehouse) -> dict[str, int]:
+    return made_from(warehouse, "bronze", "patients", "sejours") | made_from(warehouse, "silver", "sejours", *CHILDREN)
+
+
 # ---- gold ------------------------------------------------------------------
 
 
-def build_gold(
-    warehouse: Warehouse, references: dict[str, DataFrame], run_id: str, limits: AlertThresholds = AlertThresholds()
-) -> dict[str, int]:
-    def put(layer, table, df, month=None):
-        frame = stamped(df, run_id, "_built_at")
-        if month is None:
-            return warehouse.replace(layer, table, frame)
-        # The hint sizes files per month at run time and splits a month that is too large.
-        frame = frame.withColumn("_mois", partition_month(F.col(month))).hint("rebalance", "_mois")
-        return warehouse.replace(layer, table, frame, "_mois")
+# What each fact is made of in silver.
+FACT_SOURCE = {
+    "fact_sejour": "sejours", "fact_diagnostic": "diagnostics", "fact_releve": "monitoring", "fact_acte": "actes",
+}
+AGED = ("fact_sejour", "fact_diagnostic")
+
+
+def fact_sources(warehouse: Warehouse, name: str, limits: AlertThresholds) -> dict[str, int]:
+    """The versions a fact follows from; for readings the alert limits as well."""
+    tables = [FACT_SOURCE[name], *(["patients"] if name in AGED else [])]
+    own = {f"limits/{k}": v for k, v in vars(limits).items()} if name == "fact_releve" else {}
+    return made_from(warehouse, "silver", *tables) | own
 
+
+def in_months(name: str, df: DataFrame, run_id: str) -> DataFrame:
+    """A fact with its month, stamped. The hint sizes files per month at run time and splits a month that is too large."""
+    frame = stamped(df, run_id, "_built_at").withColumn("_mois", partition_month(F.col(FACT_MONTH[name])))
+    return frame.hint("rebalance", "_mois")
+
+
+def build_dimensions(warehouse: Warehouse, references: dict[str, DataFrame], run_id: str) -> dict[str, int]:
     dims = {
         "dim_patient": star.dim_patient(warehouse.read("silver", "patients")),
         "dim_service": star.dim_service(references["ref_services"], references["ref_description_service"]),
         "dim_cim10": star.dim_cim10(references["ref_cim10"]),
         "dim_ccam": star.dim_ccam(references["ref_ccam"]),
     }
-    counts = at_once({name: lambda n=name, d=df: put("gold_pilotage", n, d) for name, df in dims.items()})
-    gold = {name: warehouse.read("gold_pilotage", name) for name in dims}
+    return at_once({
+        name: lambda n=name, d=df: warehouse.replace("gold_pilotage", n, stamped(d, run_id, "_built_at"))
+        for name, df in dims.items()
+    })
 
+
+def build_gold(
+    warehouse: Warehouse, references: dict[str, DataFrame], run_id: str, limits: AlertThresholds = AlertThresholds()
+) -> dict[str, int]:
+    """Dimensions, facts, indicators and cohorts, from all of silver."""
+    counts = build_dimensions(warehouse, references, run_id)
+    patients = warehouse.read("gold_pilotage", "dim_patient")
     facts = {
-        "fact_sejour": star.fact_sejour(warehouse.silver("sejours"), gold["dim_patient"]),
-        "fact_diagnostic": star.fact_diagnostic(warehouse.silver("diagnostics"), gold["dim_patient"]),
-        "fact_releve": star.fact_releve(warehouse.silver("monitoring"), limits),
-        "fact_acte": star.fact_acte(warehouse.silver("actes")),
+        "fact_sejour": lambda: star.fact_sejour(warehouse.silver("sejours"), patients),
+        "fact_diagnostic": lambda: star.fact_diagnostic(warehouse.silver("diagnostics"), patients),
+        "fact_releve": lambda: star.fact_releve(warehouse.silver("monitoring"), limits),
+        "fact_acte": lambda: star.fact_acte(warehouse.silver("actes")),
     }
-    counts |= at_once(
-        {name: lambda n=name, d=df: put("gold_pilotage", n, d, FACT_MONTH[n]) for name, df in facts.items()}
-    )
-    gold |= {name: warehouse.read("gold_pilotage", name) for name in facts}
-    counts |= at_once(
-        {
-            **{
-                name: lambda n=name, d=df: put("gold_pilotage", n, d)
-                for name, df in indicator_frames(gold).items()
-            },
-            **{
-                name: lambda n=name, d=df: put("gold_recherche", n, d)
-                for name, df in cohort_frames(gold).items()
-            },
-        }
-    )
-    return counts
+
+    def fact(name):
+        known = fact_sources(warehouse, name, limits)
+        return warehouse.replace("gold_pilotage", name, in_months(name, facts[name](), run_id), "_mois", known)
+
+    counts |= at_once({name: lambda n=name: fact(n) for name in facts})
+    return counts | build_indicators(warehouse, run_id)
+
+
+def build_indicators(warehouse: Warehouse, run_id: str) -> dict[str, int]:
+    """Indicators and cohorts, from the facts."""
+    gold = {name: warehouse.read("gold_pilotage", name) for name in (*DIMENSIONS, *FACT_SOURCE)}
+    frames = {("gold_pilotage", name): df for name, df in indicator_frames(gold).items()}
+    frames |= {("gold_recherche", name): df for name, df in cohort_frames(gold).items()}
+    return at_once({
+        name: lambda l=layer, n=name, d=df: warehouse.replace(l, n, stamped(d, run_id, "_built_at"))
+        for (layer, name), df in frames.items()
+    })
 
 
 def indicator_frames(gold: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -253,8 +299,15 @@ def run(
     days: list | None = None,
     everything: bool = False,
     limits: AlertThresholds = AlertThresholds(),
+    rebuild: bool = False,
 ) -> str:
-    """Ingest (pending days by default), then rebuild silver and gold. Returns the run id."""
+    """Ingest (pending days by default), then bring silver and gold up to date. Returns the run id.
+
+    Only what the changes of bronze reach is written; with `rebuild`, or where the past is not known, everything.
+    """
+    from lamina.plans import incremental
+
+
     run_id = new_run_id()
     chosen = None if days is None else [checked_day(day) for day in days]
     files = drops.inventory(warehouse.spark, source)
@@ -270,6 +323,15 @@ def run(
         )
     ledgered(warehouse, run_id, "referentiels", lambda: load_references(warehouse, files, run_id))
     bronze = bronze_tables(warehouse)
-    ledgered(warehouse, run_id, "silver", lambda: build_silver(warehouse, bronze, run_id))
-    ledgered(warehouse, run_id, "gold", lambda: build_gold(warehouse, bronze, run_id, limits))
+
+    def silver_stage():
+        made = None if rebuild else incremental.update_silver(warehouse, bronze, run_id)
+        return build_silver(warehouse, bronze, run_id) if made is None else made
+
+    def gold_stage():
+        made = None if rebuild else incremental.update_gold(warehouse, bronze, run_id, limits)
+        return build_gold(warehouse, bronze, run_id, limits) if made is None else made
+
+    ledgered(warehouse, run_id, "silver", silver_stage)
+    ledgered(warehouse, run_id, "gold", gold_stage)
     return run_id

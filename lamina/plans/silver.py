@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lamina.contract import CORRECTED, PLAUSIBLE, SEX_DOMAIN, UNKNOWN
-from lamina.functions.measures import clock_text, default_label, duration_days, normalise_sex
+from lamina.contract import CORRECTED, KEPT, PLAUSIBLE, SEX_DOMAIN, UNKNOWN
+from lamina.functions.measures import clock_text, default_label, duration_days, normalise_sex, partition_month
 from lamina.functions.parsing import is_blank
 from lamina.operators.rules import Rule, judge, rejects
 from lamina.operators.versions import latest_version, superseded_versions, version_order
 from lamina.operators.windows import after_window, before_window, outside_window
+from lamina.sources.warehouse import LOT
 
 DELIVERY_ORDER = ["_jour_depot", "_fichier_source"]
 
@@ -29,6 +30,22 @@ REPLACED = "version remplacée par un dépôt plus récent"
 MERGED = " ligne(s) bronze fusionnées sous un pseudonyme vide"
 
 
+# ---- lots ------------------------------------------------------------------
+
+# The moment whose month divides a judged feed: the one its fact is divided by.
+LOT_MOMENT = {"sejours": "admission_ts", "diagnostics": "admission_ts", "monitoring": "ts", "actes": "acte_ts"}
+PATIENT_LOT, VERSION_LOT = "patients", "versions"
+
+
+def with_lot(feed: str, judged: DataFrame) -> DataFrame:
+    return judged.withColumn(LOT, partition_month(F.to_date(LOT_MOMENT[feed])))
+
+
+def register_lot(kind: str, lots: list[str]) -> list[str]:
+    """Lots of the register that hold the rejects of some lots of a feed."""
+    return [f"{kind}-{lot}" for lot in lots]
+
+
 # ---- patients --------------------------------------------------------------
 
 
@@ -266,3 +283,22 @@ def reject_key(feed: str) -> Column:
 
 def feed_rejects(feed: str, judged: DataFrame) -> DataFrame:
     return rejects(judged, feed, reject_key(feed))
+
+
+# ---- the register in lots --------------------------------------------------
+
+
+def register_of_feed(feed: str, judged: DataFrame) -> DataFrame:
+    """Rejects of a judged feed, in lots named after the feed's."""
+    lot = F.concat(F.lit(f"{feed}-"), F.col(LOT))
+    return rejects(with_lot(feed, judged).withColumn(LOT, lot), feed, reject_key(feed), carry=[LOT])
+
+
+def register_of_versions(bronze: DataFrame) -> DataFrame:
+    """Earlier deliveries of stays, by the month they were delivered in."""
+    lot = F.concat(F.lit(f"{VERSION_LOT}-"), partition_month(F.col("_jour_depot")))
+    return replaced_stays(bronze).withColumn(LOT, lot)
+
+
+def register_of_patients(bronze: DataFrame, retained: DataFrame) -> DataFrame:
+    return unidentified_patients(bronze).unionByName(corrected_patients(retained)).withColumn(LOT, F.lit(PATIENT_LOT))

@@ -75,9 +75,10 @@ def stay_measures(silver_stays: DataFrame) -> DataFrame:
     )
 
 
-def with_readmission(stays: DataFrame, days: int = READMISSION_DAYS) -> DataFrame:
+def with_readmission(stays: DataFrame, days: int = READMISSION_DAYS, among: DataFrame | None = None) -> DataFrame:
     """Both readmission measures: every closed stay, and index stays only."""
-    back = returns_within(stays, "patient_pseudo", "admission_ts", "discharge_ts", days, "readmission_30j_brute")
+    back = returns_within(
+        stays, "patient_pseudo", "admission_ts", "discharge_ts", days, "readmission_30j_brute", among)
     return back.withColumn(
         "suivi_readmission_30j", F.col("readmission_30j_brute") * F.col("est_sejour_index")
     )
@@ -100,8 +101,9 @@ FACT_SEJOUR = [
 ]
 
 
-def fact_sejour(silver_stays: DataFrame, patients: DataFrame) -> DataFrame:
-    measured = with_readmission(stay_measures(silver_stays))
+def fact_sejour(silver_stays: DataFrame, patients: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """The stay fact; `among` holds the admissions that may answer its discharges, all stays by default."""
+    measured = with_readmission(stay_measures(silver_stays), among=among)
     return with_age(measured, patients, "admission_ts").select(*FACT_SEJOUR)
 
 

@@ -1,35 +1,153 @@
-"""Tables of the warehouse as Parquet folders `<root>/<layer>/<table>`."""
+"""Tables of the warehouse, each a row of versions.
+
+    <root>/<layer>/<table>/data/_version=<id>/[<column>=<value>/]*.parquet
+    <root>/<layer>/<table>/log/v=<number>/part-*.txt
+
+A write puts its files under an id of its own, then adds one line to the log:
+the schema, the folders that make up the table from now on, and the versions of
+the tables it was made from. That line is one file, which Spark's commit moves
+into place as its last step. Readers open what the newest line names. So whoever
+reads finds the old or the new table whole, whenever a writer ends; folders
+that no line names are never looked at, and `sweep` removes them.
+
+A table that is divided by a column can be renewed value by value: a new line
+names new folders for some values and the old ones for all others. Two versions
+therefore tell by their folders where they differ, and only those are compared.
+
+One writer at a time is assumed for each table; of two at once, the one whose
+line sorts last wins whole. Logs of the runs (layer `ops`) are plain folders
+that only grow.
+"""
 
 from __future__ import annotations
 
+import json
 import logging
+import re
+import time
 import uuid
 from dataclasses import dataclass, field
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from lamina.contract import DISCARDED, KEPT, LEDGER
+from lamina.session import new_folder
 
 LOG = logging.getLogger(__name__)
 
+OPS = "ops"
+LOT = "_lot"
+VERSION = "_version"
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    """One version of a table."""
+
+    number: int
+    schema: StructType
+    parts: tuple[str, ...] = ()            # folders below `data`
+    whole: tuple[str, ...] = ()            # folders of versions of which every part is in use
+    column: str | None = None              # what the table is divided by
+    sources: dict = field(default_factory=dict)  # "layer/table" -> version it was made from
+
+    def line(self) -> str:
+        return json.dumps({
+            "schema": self.schema.jsonValue(), "parts": self.parts, "whole": self.whole, "column": self.column,
+            "sources": self.sources})
+
+    @staticmethod
+    def of(number: int, line: str) -> Snapshot:
+        told = json.loads(line)
+        return Snapshot(
+            number, StructType.fromJson(told["schema"]), tuple(told["parts"]), tuple(told["whole"]), told["column"],
+            told["sources"])
+
+    def value(self, part: str) -> str:
+        """The value of the dividing column that a folder holds."""
+        return part.rpartition(f"{self.column}=")[2]
+
 
 @dataclass(frozen=True)
 class Warehouse:
     spark: SparkSession
     root: str
-    # Schemas of the tables this object wrote: read back without opening a footer.
-    written: dict = field(default_factory=dict, compare=False)
+    # Log lines already read, by their file: a line never changes.
+    lines: dict = field(default_factory=dict, compare=False)
 
     def path(self, layer: str, table: str) -> str:
         return f"{self.root}/{layer}/{table}"
 
-    def read(self, layer: str, table: str) -> DataFrame:
-        known = self.written.get((layer, table))
-        reader = self.spark.read if known is None else self.spark.read.schema(known)
-        return reader.parquet(self.path(layer, table))
+    # ---- versions
+
+    def log_files(self, layer: str, table: str) -> dict[int, str]:
+        """The file of each version's line, from their names alone."""
+        try:
+            files = self.spark.read.schema("value string").text(f"{self.path(layer, table)}/log").inputFiles()
+        except AnalysisException:
+            return {}
+        found: dict[int, str] = {}
+        for file in sorted(files):  # of two lines of one number the last counts
+            found[int(re.search(r"/v=(\d+)/", file)[1])] = file
+        return found
+
+    def snapshot(self, layer: str, table: str, number: int | None = None) -> Snapshot | None:
+        """A version of a table, the newest by default; None where there is none."""
+        files = self.log_files(layer, table)
+        number = max(files, default=None) if number is None else number
+        if number not in files:
+            return None
+        file = files[number]
+        if file not in self.lines:
+            self.lines[file] = Snapshot.of(number, self.spark.read.text(file, wholetext=True).first().value)
+        return self.lines[file]
+
+    def version(self, layer: str, table: str) -> int:
+        """The number of the newest version, 0 where there is none."""
+        return max(self.log_files(layer, table), default=0)
+
+    def versions(self, *names: str) -> dict[str, int]:
+        """The newest version of each "layer/table"."""
+        return {name: self.version(*name.split("/")) for name in names}
+
+    def commit(self, layer: str, table: str, snapshot: Snapshot) -> None:
+        """The last step of a write: the line that makes its files the table."""
+        line = self.spark.createDataFrame([(snapshot.line(),)], "value string").coalesce(1)
+        line.write.mode("append").text(f"{self.path(layer, table)}/log/v={snapshot.number:010d}")
+
+    # ---- reading
+
+    def frame(self, layer: str, table: str, snapshot: Snapshot, parts: tuple[str, ...] | None = None) -> DataFrame:
+        """What the folders of a version hold, or some of them."""
+        data, wanted = f"{self.path(layer, table)}/data", snapshot.parts if parts is None else parts
+        if not wanted:
+            return self.spark.createDataFrame([], snapshot.schema)
+        reader = self.spark.read.schema(snapshot.schema)
+        if parts is None and len(snapshot.whole) == 1 and all(p.startswith(snapshot.whole[0]) for p in wanted):
+            return reader.parquet(f"{data}/{snapshot.whole[0]}").select(*snapshot.schema.names)
+        if parts is None:
+            complete = tuple(f"{folder}/" for folder in snapshot.whole)
+            wanted = [*snapshot.whole, *(p for p in wanted if not p.startswith(complete))] if complete else wanted
+        found = reader.option("basePath", data).parquet(*[f"{data}/{p}" for p in wanted])
+        return found.select(*snapshot.schema.names)
+
+    def read(self, layer: str, table: str, lots: bool = False) -> DataFrame:
+        """The newest version. The column that only divides the files is left out unless asked for."""
+        if layer == OPS:
+            return self.spark.read.parquet(self.path(layer, table))
+        snapshot = self.snapshot(layer, table)
+        if snapshot is None:
+            # The error that any missing folder gives.
+            return self.spark.read.parquet(self.path(layer, table) + "/data")
+        found = self.frame(layer, table, snapshot)
+        return found if lots or snapshot.column != LOT else found.drop(LOT)
 
     def has(self, layer: str, table: str) -> bool:
+        if layer != OPS:
+            return bool(self.log_files(layer, table))
         try:
             self.read(layer, table)
         except AnalysisException:
@@ -40,104 +158,135 @@ class Warehouse:
         """A table nothing was ever loaded into reads as empty."""
         return self.read(layer, table) if self.has(layer, table) else self.spark.createDataFrame([], schema)
 
-    def replace(self, layer: str, table: str, df: DataFrame, partition: str | None = None) -> int:
+    def changes(self, layer: str, table: str, since: int) -> tuple[DataFrame, DataFrame] | None:
+        """Rows of the folders that are no longer in use, and of those that came, since a version.
+
+        Rows of a folder that was written anew are in both; `changed_rows` tells which really differ. None if
+        the old version is not known any more.
+        """
+        old, new = self.snapshot(layer, table, since), self.snapshot(layer, table)
+        if old is None or new is None:
+            return None
+        gone, come = (tuple(sorted(set(a.parts) - set(b.parts))) for a, b in ((old, new), (new, old)))
+        return self.frame(layer, table, old, gone), self.frame(layer, table, new, come)
+
+    def changed_values(self, layer: str, table: str, since: int) -> list[str]:
+        """Values of the dividing column whose folders are not the ones of that version: names only, no data."""
+        old, new = self.snapshot(layer, table, since), self.snapshot(layer, table)
+        return sorted({new.value(p) for p in set(old.parts) ^ set(new.parts)})
+
+    # ---- writing
+
+    def put(self, layer: str, table: str, df: DataFrame, column: str | None, sources: dict | None,
+            values: list[str] | None = None) -> tuple[Snapshot, str]:
+        """Write files and their line. With `values`, only those values of the column are renewed."""
+        ident = f"{VERSION}={uuid.uuid4().hex[:12]}"
+        folder = f"{self.path(layer, table)}/data/{ident}"
+        old = self.snapshot(layer, table)
+        if column is None:
+            df.write.parquet(folder)
+            parts = [ident]
+        else:
+            df.write.partitionBy(column).parquet(folder)
+            files = self.spark.read.schema(df.schema).parquet(folder).inputFiles()
+            parts = sorted({ident + "/" + unquote(f).split(f"/{ident}/", 1)[1].rpartition("/")[0] for f in files})
+        whole, number = [ident] if parts else [], old.number + 1 if old else 1
+        if values is not None and old:
+            renewed = set(values)
+            kept = [p for p in old.parts if old.value(p) not in renewed]
+            lost = {p.split("/")[0] for p in set(old.parts) - set(kept)}
+            whole += [folder for folder in old.whole if folder not in lost]
+            parts += kept
+        made = Snapshot(number, df.schema, tuple(sorted(parts)), tuple(whole), column, sources or {})
+        self.commit(layer, table, made)
+        return made, folder
+
+    def replace(self, layer: str, table: str, df: DataFrame, partition: str | None = None,
+                sources: dict | None = None) -> int:
         """Rewrite a whole table and return its number of rows, counted while writing."""
         seen = Observation()
-        counted = df.observe(seen, F.count(F.lit(1)).alias("n"))
-        self.swap_in(layer, table, counted, partition)
+        self.put(layer, table, df.observe(seen, F.count(F.lit(1)).alias("n")), partition, sources)
         return seen.get["n"]
 
-    def draft(self, layer: str, table: str) -> str:
-        return self.path(layer, f"_draft-{table}-{uuid.uuid4().hex[:12]}")
-
-    def move(self, source: str, target: str) -> None:
-        """Put a written folder in the place of another."""
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        here, there = hadoop(source), hadoop(target)
-        system = here.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        system.mkdirs(there.getParent())
-        system.delete(there, True)
-        if not system.rename(here, there):
-            raise OSError(f"{source} could not be moved to {target}")
+    def renew(self, layer: str, table: str, df: DataFrame, column: str, values: list[str],
+              sources: dict | None = None) -> int:
+        """Replace the rows of the given values of the dividing column; all other folders stay as they are."""
+        if not values:
+            self.restate(layer, table, sources)
+            return 0
+        seen = Observation()
+        self.put(layer, table, df.observe(seen, F.count(F.lit(1)).alias("n")), column, sources, values)
+        return seen.get["n"]
 
-    def swap_in(self, layer: str, table: str, df: DataFrame, partition: str | None) -> None:
-        """Write a table beside the one in place, and put it there once it is whole.
-
-        A write that fails leaves the old table as it was.
-        """
-        draft = self.draft(layer, table)
-        (df.write.partitionBy(partition) if partition else df.write).parquet(draft)
-        self.move(draft, self.path(layer, table))
-        self.written[(layer, table)] = df.schema
+    def restate(self, layer: str, table: str, sources: dict | None) -> None:
+        """The same folders, now known to follow from other versions of their sources."""
+        now = self.snapshot(layer, table)
+        if now.sources != (sources or {}):
+            self.commit(layer, table, Snapshot(now.number + 1, now.schema, now.parts, now.whole, now.column, sources or {}))
 
     def append(self, layer: str, table: str, df: DataFrame) -> int:
-        """Add rows to a table, counted while writing."""
+        """Add rows to a log of the runs, counted while writing."""
         seen = Observation()
         df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(self.path(layer, table))
         return seen.get["n"]
 
-    def replace_judged(self, table: str, judged: DataFrame) -> int:
-        """Write a judged feed once, kept and rejected rows in folders of their own.
+    def scratch(self, df: DataFrame, label: str) -> DataFrame:
+        """A frame used more than once in a run, as files in the shared work folder."""
+        folder = new_folder(self.spark, label)
+        df.write.parquet(folder)
+        return self.spark.read.schema(df.schema).parquet(folder)
+
+    # ---- judged feeds
+
+    def replace_judged(self, table: str, judged: DataFrame, sources: dict | None = None) -> int:
+        """Write a judged feed once, kept and rejected rows side by side, divided by lot.
 
-        Readers of either side open that folder alone, and the join behind the
-        judgement runs once.
+        Within a file the motifs stand together, so a reader of either side skips the pages of the other.
         """
         seen = Observation()
         counted = judged.observe(seen, F.count_if(F.col("_motif") == KEPT).alias("n"))
-        # The hint sizes files by motif at run time and splits the large one, the kept rows.
-        self.swap_in("silver", table, counted.hint("rebalance", "_motif"), "_motif")
+        self.put("silver", table, in_lots(counted), LOT, sources)
         return seen.get["n"]
 
-    def judged(self, table: str) -> DataFrame:
-        return self.read("silver", table)
+    def judged(self, table: str, lots: bool = False) -> DataFrame:
+        return self.read("silver", table, lots)
 
-    def silver(self, table: str) -> DataFrame:
+    def silver(self, table: str, lots: bool = False) -> DataFrame:
         """Kept rows of a judged feed."""
-        return self.judged(table).where(F.col("_motif") == KEPT).drop("_motif", "_detail")
+        return self.judged(table, lots).where(F.col("_motif") == KEPT).drop("_motif", "_detail")
+
+    # ---- days
 
     def replay(self, layer: str, table: str, df: DataFrame, days: list) -> dict:
-        """Replace the given days and no other; return rows per day.
+        """Replace the given days and no other, all at once; return rows per day.
 
-        Only partitions the rows belong to are rewritten. A day that was dropped
-        again without any row is emptied; a day not given is not touched.
+        A day that was dropped again without any row is emptied; a day not given is not touched.
         """
-        path, draft = self.path(layer, table), self.draft(layer, table)
-        df.hint("rebalance", "_jour_depot").write.partitionBy("_jour_depot").parquet(draft)
+        divided = df.hint("rebalance", "_jour_depot")
+        made, folder = self.put(layer, table, divided, "_jour_depot", None, [str(day) for day in days])
+        if not any(p.startswith(folder.rpartition("/")[2]) for p in made.parts):
+            return dict.fromkeys(days, 0)
         # One row for each day, counted from footers.
-        counted = partition_volumes(self.spark.read.schema(df.schema).parquet(draft), "_jour_depot").collect()
-        per_day = dict.fromkeys(days, 0) | {row["_jour_depot"]: row["lignes"] for row in counted}
-        for day, rows in per_day.items():
-            part = f"_jour_depot={day}"
-            if rows:
-                self.move(f"{draft}/{part}", f"{path}/{part}")
-            else:
-                empty = df.where(F.lit(False)).drop("_jour_depot")
-                empty.write.mode("overwrite").parquet(f"{path}/{part}")
-        return per_day
+        counted = partition_volumes(self.spark.read.schema(df.schema).parquet(folder), "_jour_depot").collect()
+        return dict.fromkeys(days, 0) | {row["_jour_depot"]: row["lignes"] for row in counted}
 
     def loaded_days(self, feeds) -> DataFrame:
-        """(feed, jour) that hold rows, from partition folders and file footers."""
-        frames = [
-            self.read("bronze", feed)
-            .groupBy("_jour_depot")
-            .agg(F.count(F.lit(1)).alias("n"))
-            .where(F.col("n") > 0)
-            .select(F.lit(feed).alias("feed"), F.col("_jour_depot").cast("date").alias("jour"))
-            for feed in feeds
-            if self.has("bronze", feed)
-        ]
-        if not frames:
-            return self.spark.createDataFrame([], "feed string, jour date")
-        out = frames[0]
-        for frame in frames[1:]:
-            out = out.unionByName(frame)
-        return out
+        """(feed, jour) that hold rows, from the names of the folders in use."""
+        found = []
+        for feed in feeds:
+            snapshot = self.snapshot("bronze", feed)
+            if snapshot and snapshot.column == "_jour_depot":
+                found += [(feed, value) for value in {snapshot.value(p) for p in snapshot.parts}]
+        names = self.spark.createDataFrame(sorted(found), "feed string, jour string")
+        return names.select("feed", F.try_to_date("jour").alias("jour")).where("jour IS NOT NULL")
+
+    # ---- the run ledger
 
     def record(self, **entry) -> None:
         """Append one line to the run ledger. A ledger that fails never fails the run."""
         try:
             line = self.spark.createDataFrame([entry], LEDGER)
-            line.coalesce(1).write.mode("append").parquet(self.path("ops", "executions"))
+            line.coalesce(1).write.mode("append").parquet(self.path(OPS, "executions"))
         except Exception:
             LOG.warning("run ledger not written", exc_info=True)
 
@@ -145,6 +294,71 @@ class Warehouse:
         rejects = self.read("quarantaine", "rejets")
         return rejects.where((F.col("source") == source) & (F.col("action") == DISCARDED))
 
+    # ---- what is no longer in use
+
+    def sweep(self, older_than_s: float = 3600.0) -> list[str]:
+        """Remove folders that neither the newest version of a table names nor a version another table was made from.
+
+        Younger folders stay: a write that has not come to its line yet may own them. Returns what was removed.
+        Needs Hadoop's file system, which only a classic session gives access to; reading and writing do not.
+        """
+        java, context = self.spark.sparkContext._jvm, self.spark.sparkContext
+        where = java.org.apache.hadoop.fs.Path(self.root)
+        system = where.getFileSystem(context._jsc.hadoopConfiguration())
+        limit = (time.time() - older_than_s) * 1000
+
+        def inside(path) -> list:
+            return list(system.listStatus(path)) if system.exists(path) else []
+
+        tables = [(layer.getPath().getName(), table.getPath().getName())
+                  for layer in inside(where) if layer.isDirectory() and layer.getPath().getName() != OPS
+                  for table in inside(layer.getPath()) if table.isDirectory()]
+        newest = {name: self.snapshot(*name) for name in tables}
+        alive = {name: {snapshot.number} for name, snapshot in newest.items() if snapshot}
+        for snapshot in filter(None, newest.values()):
+            for source, number in snapshot.sources.items():
+                alive.get(tuple(source.split("/")), set()).add(number)
+        removed = []
+
+        def remove(status, name: str) -> None:
+            if status.getModificationTime() <= limit:
+                system.delete(status.getPath(), True)
+                removed.append(name)
+
+        for layer, table in tables:
+            own, at = f"{layer}/{table}", java.org.apache.hadoop.fs.Path(self.path(layer, table))
+            numbers = alive.get((layer, table), set())
+            snapshots = [self.snapshot(layer, table, n) for n in numbers]
+            used = {p for snapshot in snapshots if snapshot for p in snapshot.parts}
+            for status in inside(java.org.apache.hadoop.fs.Path(at, "data")):
+                folder = status.getPath().getName()
+                if not any(p.split("/")[0] == folder for p in used):
+                    remove(status, f"{own}/{folder}")
+                elif folder not in used:
+                    for part in inside(status.getPath()):
+                        name = f"{folder}/{part.getPath().getName()}"
+                        if part.isDirectory() and name not in used:
+                            remove(part, f"{own}/{name}")
+            for status in inside(java.org.apache.hadoop.fs.Path(at, "log")):
+                number = re.fullmatch(r"v=(\d+)", status.getPath().getName())
+                if number and int(number[1]) not in numbers and int(number[1]) < max(numbers, default=0):
+                    remove(status, f"{own}/{number[0]}")
+        return removed
+
+
+def in_lots(df: DataFrame) -> DataFrame:
+    """Dealt out by lot, motifs together. The hint sizes files at run time and splits a lot that is too large."""
+    return df.hint("rebalance", LOT).sortWithinPartitions(LOT, "_motif")
+
+
+def changed_rows(gone: DataFrame, come: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows that one side holds more often than the other, with the difference `_n`."""
+    def signed(df: DataFrame, sign: int) -> DataFrame:
+        return df.select(*columns, F.lit(sign).cast("bigint").alias("_n"))
+
+    sums = signed(gone, -1).unionAll(signed(come, 1)).groupBy(*columns).agg(F.sum("_n").alias("_n"))
+    return sums.where(F.col("_n") != 0)
+
 
 def partition_volumes(df: DataFrame, partition: str) -> DataFrame:
     return df.groupBy(partition).agg(F.count(F.lit(1)).alias("lignes"))
