@@ -85,31 +85,36 @@ def presence_by_day(df: DataFrame, group: str, start_day: str, end_day: str) ->
     """Rows present, arriving and leaving per group and day, up to the last arrival.
 
     Each interval gives +1 on its first day and -1 the day after its last, so
-    the work is the number of rows, not rows times days. After aggregation one
-    group holds at most one row per calendar day; the running sum reads only those.
+    the work is the number of rows, not rows times days.
     """
     arrivals = df.where(F.col(start_day).isNotNull())
-    horizon = arrivals.agg(F.max(start_day)).scalar()
-    zero, one, minus = (F.lit(n).cast("bigint") for n in (0, 1, -1))
+    zero, one = (F.lit(n).cast("bigint") for n in (0, 1))
+    moves = arrivals.select(
+        F.col(group),
+        F.inline(F.array(
+            F.struct(F.col(start_day).alias("jour"), one.alias("arrives"), zero.alias("partis")),
+            F.struct(F.col(end_day).alias("jour"), zero.alias("arrives"), one.alias("partis")),
+        )),
+    ).where(F.col("jour").isNotNull())
+    return presence_from_moves(moves, group, arrivals.agg(F.max(start_day)).scalar())
+
+
+def presence_from_moves(moves: DataFrame, group: str, horizon: Column) -> DataFrame:
+    """The same from numbers arriving and leaving per group and day, in any number of parts, up to a last day.
+
+    After aggregation one group holds at most one row per calendar day; the running sum reads only those.
+    """
+    zero = F.lit(0).cast("bigint")
 
     def change(day, delta, arrived, left):
         return F.struct(
             day.alias("jour"), delta.alias("delta"), arrived.alias("arrives"), left.alias("partis")
         )
 
-    first, last = F.col(start_day), F.col(end_day)
+    day, arrived, left = F.col("jour"), F.col("arrives"), F.col("partis")
     changes = (
-        arrivals.select(
-            F.col(group),
-            F.inline(
-                F.array(
-                    change(first, one, one, zero),
-                    change(last, zero, zero, one),
-                    change(F.date_add(last, 1), minus, zero, zero),
-                )
-            ),
-        )
-        .where(F.col("jour").isNotNull())
+        moves.groupBy(group, "jour").agg(F.sum("arrives").alias("arrives"), F.sum("partis").alias("partis"))
+        .select(group, F.inline(F.array(change(day, arrived, arrived, left), change(F.date_add(day, 1), -left, zero, zero))))
         .groupBy(group, "jour")
         .agg(*[F.sum(c).alias(c) for c in ("delta", "arrives", "partis")])
         .where(F.col("jour") <= horizon)

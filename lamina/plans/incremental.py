@@ -7,7 +7,7 @@ with the newest ones, folder by folder, and follows what really differs:
     stays that differ,
     days of child rows      -> child rows judged anew                -> months of the child tables
     months of judged tables -> the register's rejects of those months
-    months of judged tables -> months of facts
+    months of judged tables -> months of facts -> states of those months -> the indicators that follow from them
     stays that differ       -> stays of the same patient whose readmission they may answer -> months of the stay fact
     patients that differ    -> months of the facts that carry their age or sex
 
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lamina.contract import KEPT, READMISSION_DAYS, AlertThresholds
 from lamina.operators.windows import starts_told, time_slot
-from lamina.plans import run, silver, star
+from lamina.plans import rollup, run, silver, star
 from lamina.sources.bronze import stamped
 from lamina.sources.warehouse import LOT, Snapshot, Warehouse, changed_rows
 
@@ -295,16 +295,30 @@ def update_fact(warehouse: Warehouse, name: str, run_id: str, limits: AlertThres
     return warehouse.renew("gold_pilotage", name, run.in_months(name, fact, run_id), "_mois", months, known)
 
 
+def update_state(warehouse: Warehouse, fact: str) -> int | None:
+    """The states of the months that a fact has in other folders now."""
+    source, past = f"gold_pilotage/{fact}", Past(warehouse, rollup.STATE, fact)
+    if not past.known(source):
+        return None
+    known, months = run.made_from(warehouse, "gold_pilotage", fact), past.values(source)
+    rows = warehouse.read("gold_pilotage", fact).where(F.col(rollup.MONTH).isin(months))
+    states = rollup.in_parts(rollup.rolled_up(rows, rollup.STATES[fact]()))
+    return warehouse.renew(rollup.STATE, fact, states, rollup.MONTH, months, known)
+
+
 def update_gold(
     warehouse: Warehouse, references: dict[str, DataFrame], run_id: str, limits: AlertThresholds = AlertThresholds()
 ) -> dict[str, int] | None:
-    """Facts by the months that changed; dimensions and indicators, which are small, as a whole. None: build in full."""
+    """Facts and their states by the months that changed; of dimensions and indicators those that follow from
+    something newer, as a whole: they are added up from states. None: build in full."""
     if not all(warehouse.has("gold_pilotage", name) for name in run.FACT_SOURCE):
         return None
-    counts = run.build_dimensions(warehouse, references, run_id)
+    counts = run.build_dimensions(warehouse, references, run_id, anew=False)
     for name in run.FACT_SOURCE:
         made = update_fact(warehouse, name, run_id, limits)
         if made is None:
             return None
         counts[name] = made
-    return counts | run.build_indicators(warehouse, run_id)
+        if update_state(warehouse, name) is None:
+            run.build_state(warehouse, name)
+    return counts | run.build_indicators(warehouse, run_id, anew=False)

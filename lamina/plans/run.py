@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from lamina.contract import BRONZE, DAILY_FEEDS, DIMENSIONS, REFERENCE_FILES, REFERENCES, AlertThresholds
 from lamina.functions.measures import partition_month
-from lamina.plans import cohort, kpi, silver, star
+from lamina.plans import cohort, kpi, rollup, silver, star
 from lamina.sources import drops
 from lamina.sources.bronze import bronze_frame, reference_frame, stamped
-from lamina.sources.warehouse import LOT, Warehouse
+from lamina.sources.warehouse import LOT, Warehouse, changed_rows
 
 # Days ingested by one write: bounds the partitions a single job opens.
 DAYS_PER_BATCH = 60
@@ -104,7 +104,12 @@ def load_references(warehouse: Warehouse, files: DataFrame, run_id: str) -> dict
     for table, file in REFERENCE_FILES.items():
         if file in latest:
             raw = drops.read_csv(warehouse.spark, [latest[file]])
-            loaded[table] = warehouse.replace("bronze", table, reference_frame(table, raw, run_id))
+            new = reference_frame(table, raw, run_id)
+            own = [c for c in new.columns if not c.startswith("_") or c == "_fichier_source"]
+            if warehouse.has("bronze", table) and changed_rows(warehouse.read("bronze", table), new, own).isEmpty():
+                loaded[table] = 0  # the same file as before: what follows from it stays as it is
+            else:
+                loaded[table] = warehouse.replace("bronze", table, new)
     return loaded
 
 
@@ -179,12 +184,12 @@ def build_silver(warehouse: Warehouse, bronze: dict[str, DataFrame], run_id: str
         return warehouse.replace_judged(feed, built(silver.with_lot(feed, judged)), known[feed] | carrier)
 
     counts |= at_once({feed: lambda feed=feed: child(feed) for feed in CHILDREN})
-    register = silver.register_of_patients(deliveries(bronze["patients"]), patients)
-    for part in (
-        silver.register_of_versions(deliveries(bronze["sejours"])),
-        *[silver.register_of_feed(feed, warehouse.judged(feed)) for feed in ("sejours", *CHILDREN)],
-    ):
-        register = register.unionByName(part)
+    parts = at_once({
+        "patients": lambda: silver.register_of_patients(deliveries(bronze["patients"]), patients),
+        "versions": lambda: silver.register_of_versions(deliveries(bronze["sejours"])),
+        **{feed: lambda feed=feed: silver.register_of_feed(feed, warehouse.judged(feed)) for feed in ("sejours", *CHILDREN)},
+    })
+    register = reduce(DataFrame.unionByName, parts.values())
     register = built(register, "_rejected_at").hint("rebalance", LOT)
     warehouse.replace("quarantaine", "rejets", register, LOT, register_sources(warehouse))
     return counts
@@ -212,28 +217,54 @@ def fact_sources(warehouse: Warehouse, name: str, limits: AlertThresholds) -> di
 
 
 def in_months(name: str, df: DataFrame, run_id: str) -> DataFrame:
-    """A fact with its month, stamped. The hint sizes files per month at run time and splits a month that is too large."""
+    """A fact with its month, stamped.
+
+    Where a join has dealt the rows out anew, the hint sizes files per month at run time and splits a month that is
+    too large. Other facts keep the files of their silver lots, which are the same months.
+    """
     frame = stamped(df, run_id, "_built_at").withColumn("_mois", partition_month(F.col(FACT_MONTH[name])))
-    return frame.hint("rebalance", "_mois")
+    return frame.hint("rebalance", "_mois") if name in AGED else frame
+
+
+DIMENSION_SOURCES = {
+    "dim_patient": ["silver/patients"],
+    "dim_service": ["bronze/ref_services", "bronze/ref_description_service"],
+    "dim_cim10": ["bronze/ref_cim10"],
+    "dim_ccam": ["bronze/ref_ccam"],
+}
 
 
-def build_dimensions(warehouse: Warehouse, references: dict[str, DataFrame], run_id: str) -> dict[str, int]:
-    dims = {
-        "dim_patient": star.dim_patient(warehouse.read("silver", "patients")),
-        "dim_service": star.dim_service(references["ref_services"], references["ref_description_service"]),
-        "dim_cim10": star.dim_cim10(references["ref_cim10"]),
-        "dim_ccam": star.dim_ccam(references["ref_ccam"]),
+def unmoved(warehouse: Warehouse, layer: str, table: str, known: dict) -> bool:
+    """Whether a table is there and was made from just these versions."""
+    now = warehouse.snapshot(layer, table)
+    return now is not None and now.sources == known
+
+
+def build_dimensions(warehouse: Warehouse, references: dict[str, DataFrame], run_id: str, anew: bool = True) -> dict[str, int]:
+    """The dimensions; without `anew` only those whose sources have newer versions."""
+    frames = {
+        "dim_patient": lambda: star.dim_patient(warehouse.read("silver", "patients")),
+        "dim_service": lambda: star.dim_service(references["ref_services"], references["ref_description_service"]),
+        "dim_cim10": lambda: star.dim_cim10(references["ref_cim10"]),
+        "dim_ccam": lambda: star.dim_ccam(references["ref_ccam"]),
     }
-    return at_once({
-        name: lambda n=name, d=df: warehouse.replace("gold_pilotage", n, stamped(d, run_id, "_built_at"))
-        for name, df in dims.items()
-    })
+
+    def one(name):
+        known = warehouse.versions(*DIMENSION_SOURCES[name])
+        if not anew and unmoved(warehouse, "gold_pilotage", name, known):
+            return 0
+        return warehouse.replace("gold_pilotage", name, stamped(frames[name](), run_id, "_built_at"), sources=known)
+
+    return at_once({name: lambda n=name: one(n) for name in frames})
 
 
 def build_gold(
     warehouse: Warehouse, references: dict[str, DataFrame], run_id: str, limits: AlertThresholds = AlertThresholds()
 ) -> dict[str, int]:
-    """Dimensions, facts, indicators and cohorts, from all of silver."""
+    """Dimensions, facts, indicators and cohorts, from all of silver.
+
+    Indicators are made from the facts themselves here; `build_indicators` makes the same tables from states.
+    """
     counts = build_dimensions(warehouse, references, run_id)
     patients = warehouse.read("gold_pilotage", "dim_patient")
     facts = {
@@ -248,45 +279,82 @@ def build_gold(
         return warehouse.replace("gold_pilotage", name, in_months(name, facts[name](), run_id), "_mois", known)
 
     counts |= at_once({name: lambda n=name: fact(n) for name in facts})
-    return counts | build_indicators(warehouse, run_id)
-
-
-def build_indicators(warehouse: Warehouse, run_id: str) -> dict[str, int]:
-    """Indicators and cohorts, from the facts."""
     gold = {name: warehouse.read("gold_pilotage", name) for name in (*DIMENSIONS, *FACT_SOURCE)}
-    frames = {("gold_pilotage", name): df for name, df in indicator_frames(gold).items()}
-    frames |= {("gold_recherche", name): df for name, df in cohort_frames(gold).items()}
-    return at_once({
-        name: lambda l=layer, n=name, d=df: warehouse.replace(l, n, stamped(d, run_id, "_built_at"))
-        for (layer, name), df in frames.items()
-    })
+    return counts | write_indicators(
+        warehouse, run_id, indicators_of(gold), made_from(warehouse, "gold_pilotage", *DIMENSIONS, *FACT_SOURCE))
 
 
-def indicator_frames(gold: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    stays, diagnoses, acts = gold["fact_sejour"], gold["fact_diagnostic"], gold["fact_acte"]
-    services, codes = gold["dim_service"], gold["dim_ccam"]
+def indicators_of(gold: dict[str, DataFrame]) -> dict[str, Callable[[], DataFrame]]:
+    """The indicators and cohorts from the facts, each composed when it is called."""
+    stays, diagnoses, readings, acts = (gold[name] for name in FACT_SOURCE)
+    services, codes, pathologies = gold["dim_service"], gold["dim_ccam"], gold["dim_cim10"]
     return {
-        "kpi_dms_service": kpi.kpi_dms_service(stays, services),
-        "kpi_urgences_jour": kpi.kpi_urgences_jour(stays),
-        "kpi_readmission_service": kpi.kpi_readmission_service(stays, services),
-        "kpi_alertes_jour": kpi.kpi_alertes_jour(gold["fact_releve"], services),
-        "kpi_occupation_jour": kpi.kpi_occupation_jour(stays, services),
-        "kpi_mortalite_service": kpi.kpi_mortalite_service(stays, services),
-        "kpi_casemix_service": kpi.kpi_casemix_service(diagnoses, services, gold["dim_cim10"]),
-        "kpi_origine_service": kpi.kpi_origine_service(stays, services, gold["dim_patient"]),
-        "kpi_activite_categorie": kpi.kpi_activite_categorie(stays, services),
-        "kpi_actes_service": kpi.kpi_actes_service(acts, stays, services),
-        "kpi_actes_type": kpi.kpi_actes_type(acts, codes),
-        "kpi_densite_actes_lit": kpi.kpi_densite_actes_lit(acts, services),
-        "kpi_facturation_service": kpi.kpi_facturation_service(acts, services, codes),
+        "kpi_dms_service": lambda: kpi.kpi_dms_service(stays, services),
+        "kpi_urgences_jour": lambda: kpi.kpi_urgences_jour(stays),
+        "kpi_readmission_service": lambda: kpi.kpi_readmission_service(stays, services),
+        "kpi_alertes_jour": lambda: kpi.kpi_alertes_jour(readings, services),
+        "kpi_occupation_jour": lambda: kpi.kpi_occupation_jour(stays, services),
+        "kpi_mortalite_service": lambda: kpi.kpi_mortalite_service(stays, services),
+        "kpi_casemix_service": lambda: kpi.kpi_casemix_service(diagnoses, services, pathologies),
+        "kpi_origine_service": lambda: kpi.kpi_origine_service(stays, services, gold["dim_patient"]),
+        "kpi_activite_categorie": lambda: kpi.kpi_activite_categorie(stays, services),
+        "kpi_actes_service": lambda: kpi.kpi_actes_service(acts, stays, services),
+        "kpi_actes_type": lambda: kpi.kpi_actes_type(acts, codes),
+        "kpi_densite_actes_lit": lambda: kpi.kpi_densite_actes_lit(acts, services),
+        "kpi_facturation_service": lambda: kpi.kpi_facturation_service(acts, services, codes),
+        "coh_prevalence": lambda: cohort.coh_prevalence(diagnoses, pathologies),
+        "coh_description": lambda: cohort.coh_description(diagnoses, pathologies),
     }
 
 
-def cohort_frames(gold: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    return {
-        "coh_prevalence": cohort.coh_prevalence(gold["fact_diagnostic"], gold["dim_cim10"]),
-        "coh_description": cohort.coh_description(gold["fact_diagnostic"], gold["dim_cim10"]),
-    }
+def build_state(warehouse: Warehouse, fact: str) -> int:
+    """The state of all months of a fact."""
+    known = made_from(warehouse, "gold_pilotage", fact)
+    states = rollup.rolled_up(warehouse.read("gold_pilotage", fact), rollup.STATES[fact]())
+    return warehouse.replace(rollup.STATE, fact, rollup.in_parts(states), rollup.MONTH, known)
+
+
+# The facts and dimensions that an indicator or cohort follows from.
+INDICATOR_SOURCES = {
+    "kpi_dms_service": ["fact_sejour", "dim_service"],
+    "kpi_urgences_jour": ["fact_sejour"],
+    "kpi_readmission_service": ["fact_sejour", "dim_service"],
+    "kpi_alertes_jour": ["fact_releve", "dim_service"],
+    "kpi_occupation_jour": ["fact_sejour", "dim_service"],
+    "kpi_mortalite_service": ["fact_sejour", "dim_service"],
+    "kpi_casemix_service": ["fact_diagnostic", "dim_service", "dim_cim10"],
+    "kpi_origine_service": ["fact_sejour", "dim_service", "dim_patient"],
+    "kpi_activite_categorie": ["fact_sejour", "dim_service"],
+    "kpi_actes_service": ["fact_acte", "fact_sejour", "dim_service"],
+    "kpi_actes_type": ["fact_acte", "dim_ccam"],
+    "kpi_densite_actes_lit": ["fact_acte", "dim_service"],
+    "kpi_facturation_service": ["fact_acte", "dim_service", "dim_ccam"],
+    "coh_prevalence": ["fact_diagnostic", "dim_cim10"],
+    "coh_description": ["fact_diagnostic", "dim_cim10"],
+}
+
+
+def write_indicators(
+    warehouse: Warehouse, run_id: str, frames: dict[str, Callable[[], DataFrame]], newest: dict[str, int], anew: bool = True
+) -> dict[str, int]:
+    """Write the tables that `frames` compose; without `anew` only those that a newer version reaches."""
+    def one(name):
+        layer = "gold_recherche" if name.startswith("coh_") else "gold_pilotage"
+        sources = (f"gold_pilotage/{source}" for source in INDICATOR_SOURCES[name])
+        known = {source: newest[source] for source in sources}
+        if not anew and unmoved(warehouse, layer, name, known):
+            return 0
+        return warehouse.replace(layer, name, stamped(frames[name](), run_id, "_built_at"), sources=known)
+
+    return at_once({name: lambda n=name: one(n) for name in frames})
+
+
+def build_indicators(warehouse: Warehouse, run_id: str, anew: bool = True) -> dict[str, int]:
+    """Indicators and cohorts from the states of the facts, which must be those of the newest facts."""
+    newest = made_from(warehouse, "gold_pilotage", *DIMENSIONS, *FACT_SOURCE)
+    totals = rollup.Totals({fact: warehouse.read(rollup.STATE, fact) for fact in FACT_SOURCE})
+    dims = {name: warehouse.read("gold_pilotage", name) for name in DIMENSIONS}
+    return write_indicators(warehouse, run_id, rollup.indicators(totals, dims) | rollup.cohorts(totals, dims), newest, anew)
 
 
 # ---- the run ---------------------------------------------------------------

@@ -35,6 +35,7 @@ from pyspark.sql.types import StructType
 
 from lamina.contract import DISCARDED, KEPT, LEDGER
 from lamina.session import new_folder
+from lamina.sources.folders import get_text, hadoop, names, put_text
 
 LOG = logging.getLogger(__name__)
 
@@ -83,31 +84,36 @@ class Warehouse:
 
     # ---- versions
 
-    def log_files(self, layer: str, table: str) -> dict[int, str]:
-        """The file of each version's line, from their names alone."""
-        try:
-            files = self.spark.read.schema("value string").text(f"{self.path(layer, table)}/log").inputFiles()
-        except AnalysisException:
-            return {}
-        found: dict[int, str] = {}
-        for file in sorted(files):  # of two lines of one number the last counts
-            found[int(re.search(r"/v=(\d+)/", file)[1])] = file
-        return found
+    def log(self, layer: str, table: str) -> str:
+        return f"{self.path(layer, table)}/log"
+
+    def line_file(self, layer: str, table: str, number: int) -> str | None:
+        """The file of a version's line; of two lines of one number the last counts."""
+        folder = f"{self.log(layer, table)}/v={number:010d}"
+        found = names(self.spark, folder)
+        return f"{folder}/{found[-1]}" if found else None
+
+    def newest(self, layer: str, table: str) -> tuple[int, str | None]:
+        """Number and line file of the newest version. A number whose line never came is passed over."""
+        numbers = (re.fullmatch(r"v=(\d+)", name) for name in reversed(names(self.spark, self.log(layer, table))))
+        for number in (int(found[1]) for found in numbers if found):
+            file = self.line_file(layer, table, number)
+            if file:
+                return number, file
+        return 0, None
 
     def snapshot(self, layer: str, table: str, number: int | None = None) -> Snapshot | None:
         """A version of a table, the newest by default; None where there is none."""
-        files = self.log_files(layer, table)
-        number = max(files, default=None) if number is None else number
-        if number not in files:
+        number, file = self.newest(layer, table) if number is None else (number, self.line_file(layer, table, number))
+        if file is None:
             return None
-        file = files[number]
         if file not in self.lines:
-            self.lines[file] = Snapshot.of(number, self.spark.read.text(file, wholetext=True).first().value)
+            self.lines[file] = Snapshot.of(number, get_text(self.spark, file))
         return self.lines[file]
 
     def version(self, layer: str, table: str) -> int:
         """The number of the newest version, 0 where there is none."""
-        return max(self.log_files(layer, table), default=0)
+        return self.newest(layer, table)[0]
 
     def versions(self, *names: str) -> dict[str, int]:
         """The newest version of each "layer/table"."""
@@ -115,8 +121,10 @@ class Warehouse:
 
     def commit(self, layer: str, table: str, snapshot: Snapshot) -> None:
         """The last step of a write: the line that makes its files the table."""
-        line = self.spark.createDataFrame([(snapshot.line(),)], "value string").coalesce(1)
-        line.write.mode("append").text(f"{self.path(layer, table)}/log/v={snapshot.number:010d}")
+        folder = f"{self.log(layer, table)}/v={snapshot.number:010d}"
+        name = put_text(self.spark, folder, snapshot.line())
+        if name:
+            self.lines[f"{folder}/{name}"] = snapshot
 
     # ---- reading
 
@@ -147,7 +155,7 @@ class Warehouse:
 
     def has(self, layer: str, table: str) -> bool:
         if layer != OPS:
-            return bool(self.log_files(layer, table))
+            return self.newest(layer, table)[1] is not None
         try:
             self.read(layer, table)
         except AnalysisException:
@@ -302,17 +310,16 @@ class Warehouse:
         Younger folders stay: a write that has not come to its line yet may own them. Returns what was removed.
         Needs Hadoop's file system, which only a classic session gives access to; reading and writing do not.
         """
-        java, context = self.spark.sparkContext._jvm, self.spark.sparkContext
-        where = java.org.apache.hadoop.fs.Path(self.root)
-        system = where.getFileSystem(context._jsc.hadoopConfiguration())
+        system = hadoop(self.spark, self.root)[1]
         limit = (time.time() - older_than_s) * 1000
 
-        def inside(path) -> list:
+        def inside(folder: str) -> list:
+            path = hadoop(self.spark, folder)[0]
             return list(system.listStatus(path)) if system.exists(path) else []
 
         tables = [(layer.getPath().getName(), table.getPath().getName())
-                  for layer in inside(where) if layer.isDirectory() and layer.getPath().getName() != OPS
-                  for table in inside(layer.getPath()) if table.isDirectory()]
+                  for layer in inside(self.root) if layer.isDirectory() and layer.getPath().getName() != OPS
+                  for table in inside(f"{self.root}/{layer.getPath().getName()}") if table.isDirectory()]
         newest = {name: self.snapshot(*name) for name in tables}
         alive = {name: {snapshot.number} for name, snapshot in newest.items() if snapshot}
         for snapshot in filter(None, newest.values()):
@@ -326,20 +333,20 @@ class Warehouse:
                 removed.append(name)
 
         for layer, table in tables:
-            own, at = f"{layer}/{table}", java.org.apache.hadoop.fs.Path(self.path(layer, table))
+            own, at = f"{layer}/{table}", self.path(layer, table)
             numbers = alive.get((layer, table), set())
             snapshots = [self.snapshot(layer, table, n) for n in numbers]
             used = {p for snapshot in snapshots if snapshot for p in snapshot.parts}
-            for status in inside(java.org.apache.hadoop.fs.Path(at, "data")):
+            for status in inside(f"{at}/data"):
                 folder = status.getPath().getName()
                 if not any(p.split("/")[0] == folder for p in used):
                     remove(status, f"{own}/{folder}")
                 elif folder not in used:
-                    for part in inside(status.getPath()):
+                    for part in inside(f"{at}/data/{folder}"):
                         name = f"{folder}/{part.getPath().getName()}"
                         if part.isDirectory() and name not in used:
                             remove(part, f"{own}/{name}")
-            for status in inside(java.org.apache.hadoop.fs.Path(at, "log")):
+            for status in inside(f"{at}/log"):
                 number = re.fullmatch(r"v=(\d+)", status.getPath().getName())
                 if number and int(number[1]) not in numbers and int(number[1]) < max(numbers, default=0):
                     remove(status, f"{own}/{number[0]}")
