@@ -47,6 +47,25 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def quoted(name: str) -> Column:
+    """The column of just this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_name(df: DataFrame, stem: str) -> str:
+    """A name like `stem` that no column has, in whatever case Spark compares names."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
+def all_but(df: DataFrame, *names: str) -> list[Column]:
+    """The columns of other names, as Spark compares names."""
+    left_out = {name.lower() for name in names}
+    return [quoted(c) for c in df.columns if c.lower() not in left_out]
+
+
 def own_id(key: str, text: str) -> Column:
     """The id of a row; for one without, a negative number of its text, so that copies have the same."""
     return F.coalesce(F.col(key).cast("long"), -1 - F.xxhash64(text).bitwiseAND((1 << 62) - 1))

@@ -219,7 +219,8 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_ke
     table = spark.sparkContext.broadcast(bit_table(seeds, bits))
 
     chosen = docs.select(F.col(doc_key).cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    margin = 64
+    # No run is longer than its item, so what lies further than the longest item from a seed is in no run with it.
+    margin = bench.agg(F.max(F.size("words"))).first()[0] or 0
     cut = regions(chosen, table, everything, bits, margin).withColumn("region", F.xxhash64("doc", "start", "words"))
     cut = written(cut, "regions")
     spots = cut.select("region", F.explode(F.arrays_zip("hashes", "places")).alias("hit")).select(

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lamina.llm.common import bounded_batches, held, map_rows
+from lamina.llm.common import all_but, bounded_batches, free_name, held, map_rows, quoted
 
 UNDETERMINED = "und"
 EXCERPTS = 100
@@ -230,7 +230,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", excerpts: int =
 
 
 def identified(docs: DataFrame, parser: Parser, text: str = "text") -> DataFrame:
-    """`docs` with lang_pred and score, in place of columns of these names; only the text is looked at."""
+    """`docs` with lang_pred and score, in place of columns of these names (in any case); only the text is looked at."""
     bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -248,9 +248,11 @@ def identified(docs: DataFrame, parser: Parser, text: str = "text") -> DataFrame
                 group, held = [], 0
         return pd.DataFrame(out + parser.judge(group), columns=["lang_pred", "score"])
 
-    judged = docs.withColumn("_judged", judge(F.col(text)))
-    others = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return judged.select(*[F.col(f"`{c}`") for c in others], "_judged.lang_pred", "_judged.score")
+    verdict = free_name(docs, "judged")
+    judged = docs.withColumn(verdict, judge(F.col(text)))
+    return judged.select(
+        *all_but(docs, "lang_pred", "score"), quoted(verdict)["lang_pred"].alias("lang_pred"),
+        quoted(verdict)["score"].alias("score"))
 
 
 def remainder(key: str, parts: int = 4) -> Column:

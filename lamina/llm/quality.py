@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from lamina.llm.common import bounded_batches, map_rows, release, written
+from lamina.llm.common import all_but, bounded_batches, free_name, map_rows, quoted, release, written
 
 BAD, GOOD, SILENT = 0, 1, 2
 DIMENSIONS = 4096
@@ -249,7 +249,7 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Quality:
 
 
 def scored(docs: DataFrame, quality: Quality, text: str = "text") -> DataFrame:
-    """`docs` with score, posterior (of the votes) and kept; columns of these names are replaced."""
+    """`docs` with score, posterior (of the votes) and kept; columns of these names, in any case, are replaced."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(quality)
 
@@ -263,7 +263,9 @@ def scored(docs: DataFrame, quality: Quality, text: str = "text") -> DataFrame:
         return pd.DataFrame({
             "score": [s for s, _ in pairs], "posterior": own.votes.posterior(np.array([p for _, p in pairs], np.int64))})
 
-    judged = docs.withColumn("_judged", judge(F.col(text)))
-    others = [c for c in docs.columns if c not in ("score", "posterior", "kept")]
-    return judged.select(*[F.col(f"`{c}`") for c in others], F.col("_judged.score").alias("score"),
-                         F.col("_judged.posterior").alias("posterior"), (F.col("_judged.score") >= 0.5).alias("kept"))
+    verdict = free_name(docs, "judged")
+    found = quoted(verdict)
+    judged = docs.withColumn(verdict, judge(F.col(text)))
+    return judged.select(
+        *all_but(docs, "score", "posterior", "kept"), found["score"].alias("score"),
+        found["posterior"].alias("posterior"), (found["score"] >= 0.5).alias("kept"))

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lamina.llm.common import bounded_batches, release, slices
+from lamina.llm.common import all_but, bounded_batches, free_name, release, slices, written
 
 SPANS = "array<struct<start:int,end:int>>"
 LEDGER = f"blob string, rule string, version int, spans {SPANS}"
@@ -64,18 +64,25 @@ RULES = (
 )
 
 
-def blobs(versions: DataFrame, text: str = "text") -> DataFrame:
-    """The versions with their content address, `_blob`."""
-    return versions.withColumn("_blob", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+def address(text: str = "text") -> Column:
+    """The content address of a version; a NULL text is an empty one."""
+    return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
 
 
-def pending(addressed: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...], text: str = "text") -> DataFrame:
-    """One row for each blob that some rule has not seen: blob, text, and the numbers of those rules."""
+def pending(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...], text: str = "text") -> DataFrame:
+    """One row for each blob that some rule has not seen: blob, text, and the numbers of those rules.
+
+    Where there is a ledger, addresses are compared first: of blobs that are known no text is shuffled.
+    """
     everything = list(range(len(rules)))
-    # Copies collapse in each task before they are shuffled, so a blob with a third of all rows is no hot key.
-    distinct = addressed.groupBy(F.col("_blob").alias("blob")).agg(F.first(F.coalesce(F.col(text), F.lit(""))).alias("text"))
+    addressed = versions.select(address(text).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+    def one_each(rows):
+        # Copies collapse in each task before they are shuffled, so a blob with a third of all rows is no hot key.
+        return rows.groupBy("blob").agg(F.first("text").alias("text"))
+
     if ledger is None:
-        return distinct.withColumn("todo", F.array(*map(F.lit, everything)))
+        return one_each(addressed).withColumn("todo", F.array(*map(F.lit, everything)))
     wanted = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version")) for r in rules])
     done = (
         ledger.where(F.array_contains(wanted, F.struct("rule", "version")))
@@ -84,11 +91,12 @@ def pending(addressed: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, .
     open_rules = F.filter(
         F.array(*map(F.lit, everything)), lambda i: ~F.array_contains(F.col("done"), F.get(wanted, i)))
     unseen = (
-        addressed.select(F.col("_blob").alias("blob")).distinct().join(done, "blob", "left")
+        addressed.select("blob").distinct().join(done, "blob", "left")
         .withColumn("todo", F.when(F.col("done").isNull(), F.array(*map(F.lit, everything))).otherwise(open_rules))
         .where(F.size("todo") > 0).select("blob", "todo")
     )
-    return distinct.join(unseen, "blob")
+    unseen = written(unseen, "unseen")  # its size is known from then on: a small one is sent to all tasks
+    return one_each(addressed.join(unseen.select("blob"), "blob", "left_semi")).join(unseen, "blob")
 
 
 def scan(todo: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
@@ -123,7 +131,7 @@ def update(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, te
     bounded_batches(spark)
     read = spark.read.schema(LEDGER)
     known = None if first else read.parquet(ledger)
-    scan(pending(blobs(versions.select(text), text), known, rules, text), rules).write.mode("append").parquet(ledger)
+    scan(pending(versions, known, rules, text), rules).write.mode("append").parquet(ledger)
     return read.parquet(ledger)
 
 
@@ -134,19 +142,21 @@ def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = R
     Only blobs with spans are joined; a hot one is joined by its address, which
     Spark splits over tasks.
     """
+    blob, spans = free_name(versions, "blob"), free_name(versions, "spans")
     order = F.array_position(F.array(*[F.lit(f"{r.name}\n{r.version}") for r in rules]),
                              F.concat_ws("\n", "rule", "version")).cast("int")
     hits = (
         ledger.where(F.size("spans") > 0).withColumn("nr", order).where("nr > 0")
+        .dropDuplicates(["blob", "rule", "version"])  # two updates at once may both have scanned a blob
         .groupBy("blob")  # a row for each rule
         .agg(F.array_sort(F.flatten(F.collect_list(F.transform(
             "spans", lambda s: F.struct(s["start"].alias("start"), F.col("nr").alias("nr"), s["end"].alias("end"),
                                         F.col("rule").alias("kind")))))).alias("found"))
     )
-    hits = hits.select(F.col("blob").alias("_blob"), F.col("found").alias("_spans"))
-    joined = blobs(versions, text).join(hits, "_blob", "left")
-    whole = F.coalesce("_spans", F.array().cast(hits.schema["_spans"].dataType))
-    return joined.withColumn(into, whole).drop("_blob", "_spans")
+    hits = hits.select(F.col("blob").alias(blob), F.col("found").alias(spans))
+    joined = versions.withColumn(blob, address(text)).join(hits, blob, "left")
+    whole = F.coalesce(F.col(spans), F.array().cast(hits.schema[spans].dataType))
+    return joined.select(*all_but(versions, into), whole.alias(into))
 
 
 def as_text(found) -> Column:

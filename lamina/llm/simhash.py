@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from lamina.llm.common import bounded_batches, map_rows, own_id, release, written
+from lamina.llm.common import all_but, bounded_batches, map_rows, own_id, quoted, release, written
 
 TILE = 2048
 PARTS = 4
@@ -398,14 +398,14 @@ def verified(groups: DataFrame, docs: DataFrame, shingle: int, similarity: float
     return pairs.join(first, "a").join(second, "b").mapInArrow(run, "left long, right long")
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lanes: int = 4, radius: int = 60,
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lanes: int = 4, radius: int = 70,
                    tile: int = TILE) -> DataFrame:
     """(id, component) of rows (id, text): groups of texts whose shingle sets have a similarity of 0.8 or more.
 
     The fingerprint has 64 * `lanes` bits of the distinct shingles. Two texts of
-    similarity 0.8 differ in 39 of 256 bits, give or take 6, so that `radius`
-    loses about two of them in ten thousand (2.6 from 65 to 199 shingles). Texts of up to 64 shingles differ
-    in more and have wider radii, which lose one in a million. Sizes prune too: sets of
+    similarity 0.8 differ in 39 of 256 bits, give or take 6: `radius` loses one of
+    them in a million at most. Texts of up to 64 shingles differ in more and have
+    radii wide enough for the same. Sizes prune too: sets of
     similarity 0.8 differ in size by a quarter at most, so only neighbouring
     size classes meet, as well as only neighbouring classes of bit counts. The
     groups that near fingerprints make are then split by exact similarity.
@@ -428,12 +428,21 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, l
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """The rows that remain when one row of each group of similar texts stays: the one of the smallest id.
 
-    Rows of one id are copies and one of them stays. Rows without an id are
-    told apart by their texts.
+    Rows of one id and one text are copies: the one whose other columns come first, as JSON, stays. Different
+    texts under one id are rows of their own, the first by hash under the id itself, others under high numbers
+    that their texts give. Rows without an id are told apart by their texts. Other columns may have any name.
     """
     bounded_batches(docs.sparkSession)
-    single = docs.withColumn("_own", own_id(key, text)).dropDuplicates(["_own"])
+    own, content = own_id(key, text), F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    others = F.to_json(F.struct(*all_but(docs, text)))
+    # Copies collapse in each task; written, as the text compared must be the text kept.
+    single = written(docs.groupBy(own.alias("own"), content.alias("content")).agg(
+        F.min_by(F.struct(*map(quoted, docs.columns)), others).alias("row")), "different-rows")
+    shared = single.groupBy("own").agg(F.min("content").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    number = F.when(F.col("first").isNull() | (F.col("first") == F.col("content")), F.col("own")).otherwise(
+        (1 << 62) + F.xxhash64("own", "content").bitwiseAND((1 << 61) - 1))
+    named = single.join(shared.select("own", "first"), "own", "left").withColumn("id", number)
     groups = similar_groups(
-        single.select(F.col("_own").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")), **settings)
-    kept = written(groups.where("id = component").select(F.col("id").alias("_own")), "kept")
-    return single.join(kept, "_own", "left_semi").drop("_own")
+        named.select("id", F.coalesce(F.col("row").getField(text), F.lit("")).alias("text")), **settings)
+    kept = written(groups.where("id = component").select("id"), "kept")
+    return named.join(kept, "id", "left_semi").select("row.*")

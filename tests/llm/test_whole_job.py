@@ -1,5 +1,6 @@
 """Cases in which the text operators once did less than the whole job."""
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -7,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("xxhash")
-from lamina.llm import decontaminate, licenses, quality, simhash
+from lamina.llm import decontaminate, language, licenses, pieces, quality, secrets, simhash, topk
+from lamina.llm.common import shared_folder
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -149,3 +151,90 @@ def test_radii_lose_one_similar_pair_in_a_million():
         bits = [np.bitwise_count(simhash.majority(h[:n], 4) ^ simhash.majority(h[n - common:], 4)).sum() for h in hashes]
         assert abs(np.mean(bits) / 256 - simhash.chance_to_differ(n, m, common)) < 0.01
         assert max(bits) <= wide[min(n, m)] and simhash.lost(256, simhash.chance_to_differ(n, m, common), wide[n]) <= 1e-6
+
+
+# ---------------------------------------------------------------- names, ids and sizes that once went wrong
+
+ODD = "doc_id long, text string, `a.b` string, Score string, _own int, _blob string, _spans string, _judged string, `x``y` int"
+
+
+def odd(spark, rows):
+    return spark.createDataFrame([(i, t, f"ab{n}", "s", n, "b", "sp", "j", n) for n, (i, t) in enumerate(rows)], ODD)
+
+
+def varied(seed, words=60):
+    rng = np.random.default_rng(seed)
+    return " ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(words))
+
+
+def test_rows_of_one_id_and_different_texts_all_stay(spark):
+    a, b = varied(1), varied(2)
+    docs = odd(spark, [(1, a), (1, b), (1, a), (2, b + " more"), (3, a), (None, varied(3)), (None, varied(3)), (None, None)])
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    # a stays under id 1 (as the copy whose other columns come first), b under its smaller id by number
+    assert sorted((r.doc_id or 0, r.text or "", r["a.b"]) for r in kept.collect() if r.text in (a, varied(3), None)) == sorted(
+        [(1, a, "ab0"), (0, varied(3), "ab5"), (0, "", "ab7")])
+    assert len([r for r in kept.collect() if r.text and r.text.startswith(b)]) == 1
+
+
+def test_odd_names_pass_through_every_stage(spark, tmp_path):
+    key = "AKIA" + "Z9" * 8
+    texts = [f"{varied(k, 90)}. {key}" if k == 3 else varied(k, 90) for k in range(8)]
+    docs = odd(spark, list(enumerate(texts)))
+    spark.createDataFrame([(1, varied(5, 90))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == [*docs.columns, *(["n_chars"] if "n_chars" in out.columns else [])], name
+    found = secrets.findings(docs, secrets.update(docs, shared_folder(spark, "t"), first=True))
+    assert {c for c in docs.columns} <= set(found.columns) and sum(len(r.found) for r in found.collect()) == 1
+    judged = quality.scored(docs, quality.fit(docs))
+    assert [c for c in docs.columns if c != "Score"] == [c for c in judged.columns if c not in ("score", "posterior", "kept")]
+    parser = language.fit(docs.withColumn("lang", F.lit("xx")))
+    assert {"a.b", "_judged", "x`y"} <= set(language.identified(docs, parser).columns)
+
+
+def test_a_leaked_text_does_not_take_others_of_its_id(spark, tmp_path):
+    import corpus_pipeline
+
+    item = varied(70, 40)
+    docs = odd(spark, [(1, f"{varied(71)} {item}"), (1, varied(72)), (2, varied(73))]).withColumn("n_chars", F.lit(1).cast("long"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert sorted(r.text for r in corpus_pipeline.off_benchmark(spark, docs, str(tmp_path)).collect()) == sorted([varied(72), varied(73)])
+
+
+def test_scores_beyond_doubles_are_exact(spark):
+    rows = [(0, [2e6, 1.0]), (50, [3e6, 1.0]), (1, [2.0**32, 2.0**32]), (2, [2.0**32, -(2.0**32)]), (3, [1e30, 0.0]), (4, [-3e6, 7.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.id): r.score for r in topk.top_k(df).collect()}
+
+    def entry(x):
+        return max(-(1 << 62), min(1 << 62, math.floor(256 * x)))
+
+    vectors = {i: [entry(c) for c in v] for i, v in rows}
+    want = {(q, i): sum(a * b for a, b in zip(vectors[q], vectors[i])) for q in (0, 50) for i in vectors if i != q}
+    assert got == {k: max(topk.LOWEST, min(topk.HIGHEST, v)) for k, v in want.items()}
+    assert got[0, 50] == 393216000000065536
+
+
+def test_a_scan_twice_at_once_counts_once(spark):
+    docs = odd(spark, [(1, "AKIA" + "Q1" * 8), (2, "plain")])
+    ledger = secrets.update(docs, shared_folder(spark, "t"), first=True)
+    assert [len(r.found) for r in secrets.findings(docs, ledger.union(ledger)).orderBy("doc_id").collect()] == [1, 0]
+
+
+def test_a_run_further_from_its_seed_than_any_fixed_margin(spark):
+    words = varied(9, 400).split()
+    worn = [w if k % 3 else w + "x" for k, w in enumerate(words[:150])] + words[150:]
+    docs = spark.createDataFrame([(1, " ".join(worn))], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    best = max(r.n_words for r in decontaminate.overlaps(docs, items).collect())
+    assert best >= 250 + 100  # two thirds alike before the seeds still belong to the run, which keeps its share
+
+
+def test_small_chances_are_not_lost():
+    chance = np.array([0.9, 0.1, 1.0, 1 - 1e-15, 1e-15, 1e-300])
+    assert pieces.beside(chance, np.array([0, 2, 3, 6])).tolist() == [0.1, 0.9, 0.0, 1e-15, 1 - 1e-15, 1.0] or np.allclose(
+        pieces.beside(chance, np.array([0, 2, 3, 6])), [0.1, 0.9, 0.0, 1e-15, 1 - 1e-15, 1.0], rtol=1e-9)
