@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lamina.llm import decontaminate, pieces, quality, secrets, simhash
-from lamina.llm.common import own_id, shared_folder, table, written
+from lamina.llm.common import free_name, quoted, shared_folder, table, written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,20 +24,24 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def off_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark passage is found. Documents of one id go or stay together."""
-    named = docs.withColumn("_own", own_id("doc_id", "text"))
-    found = decontaminate.overlaps(named, table(spark, sf_dir, "benchmark"), doc_key="_own")
-    leaked = written(found.select(F.col("doc").alias("_own")).distinct(), "leaked")
-    return named.join(leaked, "_own", "left_anti").select(*docs.columns)
+    """Documents in which no benchmark passage is found; a text decides for the rows that hold it, not for its id."""
+    name = free_name(docs, "own")
+    named = docs.withColumn(name, F.xxhash64("text"))
+    found = decontaminate.overlaps(named, table(spark, sf_dir, "benchmark"), doc_key=name)
+    leaked = written(found.select(F.col("doc").alias(name)).distinct(), "leaked")
+    return named.join(leaked, name, "left_anti").select(*map(quoted, docs.columns))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the secrets in their texts replaced and `n_chars` counted anew where there were any."""
     ledger = secrets.update(docs, shared_folder(spark, "ledger"), first=True)
-    found = secrets.findings(docs, ledger, into="_found")
-    found = found.withColumn("text", secrets.redacted(F.col("text"), F.col("_found")))
-    length = F.when(F.size("_found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return found.withColumn("n_chars", length).select(*docs.columns)
+    spans = free_name(docs, "found")
+    found = secrets.findings(docs, ledger, into=spans)
+    found = found.withColumn("text", secrets.redacted(F.col("text"), F.col(spans)))
+    if "n_chars" in docs.columns:
+        length = F.when(F.size(spans) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+        found = found.withColumn("n_chars", length)
+    return found.select(*map(quoted, docs.columns))
 
 
 def segmented(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
