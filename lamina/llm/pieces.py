@@ -38,6 +38,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from lamina.llm.common import bounded_batches, held, slices
@@ -93,9 +94,9 @@ class Vocabulary:
         self.weight = weights ** sharpness
         self.least = float(self.weight[plain].min())
         self.branch, self.child, self.whole = self.tree()
-        self.cut, self.stop = self.borders()
+        self.cut, self.stop, self.kinds = self.borders()
         self.byte_id = {int(model.id_to_piece(i)[1:-1], 16): i for i in range(size) if model.is_byte(i)}
-        self.shown = [b""] * size
+        self.shown = np.full(size, b"", object)
         for piece, i in self.piece_id.items():
             self.shown[i] = piece.replace(SPACE, " ").encode()
         for value, i in self.byte_id.items():
@@ -127,24 +128,79 @@ class Vocabulary:
         return [unit for part in self.stop.split(text) for unit in self.cut.findall(part)]
 
     def borders(self):
-        """Patterns for the units, which end only where no piece runs on.
+        """Patterns for the units, which end only where no piece runs on, and the same as kinds of bytes.
 
         `cut` finds units that begin with spaces, or are white space that no
         piece has. `stop` is between a Latin letter and a mark that no piece
         has right after a letter.
         """
         if any(SPACE in p.lstrip(SPACE) for p in self.piece_id):
-            return None, None
+            return None, None, None
         letters = "A-Za-zÀ-ÖØ-öø-ɏ"
         after = set("".join(re.findall(f"(?<=[{letters}])[!-~]", " ".join(self.piece_id))))
         marks = "".join(re.escape(chr(c)) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in after)
         alone = re.escape("".join(c for c in "\n\r\t" if not any(c in p for p in self.piece_id)))
         ways = [f"{SPACE}+[^{SPACE}{alone}]*", f"[^{SPACE}{alone}]+"] + ([f"[{alone}]+"] if alone else [])
         stop = f"(?<=[{letters}])(?=[{marks}])" if marks else "(?!)"
-        return re.compile("|".join(ways)), re.compile(stop)
+        kinds = np.zeros(256, np.uint8)  # 1 space, 2 alone, 4 mark, 8 letter
+        for bit, chars in ((1, " "), (2, [c for c in "\n\r\t" if not any(c in p for p in self.piece_id)]),
+                           (4, [chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in after]),
+                           (8, [chr(c) for c in (*range(65, 91), *range(97, 123))])):
+            for char in chars:
+                kinds[ord(char)] |= bit
+        return re.compile("|".join(ways)), re.compile(stop), kinds
+
+    def units_of(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, list[bytes]]:
+        """The units of many texts in one array, where each text begins and ends in it, and each text as the model reads it.
+
+        The borders are those of `units`, found in the bytes of all texts at once. Units begin with a plain space here.
+        """
+        plain = pc.replace_substring(texts, SPACE, " ")
+        led = pc.binary_join_element_wise(pc.if_else(pc.equal(pc.binary_length(plain), 0), "", " "), plain, "")
+        ends = np.frombuffer(led.buffers()[1], np.int32)[led.offset:led.offset + len(led) + 1]
+        data = np.frombuffer(led.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]]
+        ends = ends - ends[0]
+        raw = data.tobytes()
+        wanted = [raw[a + 1:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        if not self.cut:
+            held = [" " + w.decode("utf-8", "surrogatepass") if b > a else None
+                    for w, a, b in zip(wanted, ends[:-1].tolist(), ends[1:].tolist())]
+            counts = np.array([h is not None for h in held], np.int64)
+            return pa.array([h for h in held if h is not None], pa.string()), np.concatenate(([0], np.cumsum(counts))), wanted
+        begins = np.zeros(len(data) + 1, bool)
+        begins[ends] = True
+        kind = self.kinds[data]
+        space, alone, mark = (kind & bit > 0 for bit in (1, 2, 4))
+        letter = kind & 8 > 0
+        # A Latin letter of two bytes ends at its second: C3 80 to C9 8F, less the signs for times and divided by.
+        second = np.flatnonzero((data[:-1] >= 0xC3) & (data[:-1] <= 0xC9)) + 1
+        code = ((data[second - 1] & 0x1F).astype(np.int32) << 6) | (data[second] & 0x3F)
+        letter[second[(code <= 0x24F) & (code != 0xD7) & (code != 0xF7)]] = True
+        begins[1:-1] |= (space[1:] & ~space[:-1]) | (alone[1:] != alone[:-1]) | (letter[:-1] & mark[1:])
+        starts = np.flatnonzero(begins[:-1])
+        offsets = np.append(starts, len(data)).astype(np.int32)
+        units = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(raw))
+        return units, np.searchsorted(starts, ends), wanted
+
+    def joined(self, ids: np.ndarray) -> bytes:
+        """What the ids stand for, without the space that every text is begun with."""
+        return b"".join(self.shown[ids].tolist()).removeprefix(b" ")
 
     def decode(self, ids) -> str:
-        return b"".join(map(self.shown.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
+        return self.joined(np.asarray(ids, np.int64)).decode("utf-8", "replace")
+
+
+def beside(chance: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """For each edge the sum of the others of its node, small ones included; edges of a node fall in chance."""
+    out = np.zeros(len(chance))
+    counts = np.diff(firsts)
+    alone = np.add.reduceat(np.append(chance, 0.0), firsts[:-1])
+    place = np.arange(len(chance)) - np.repeat(firsts[:-1], counts)
+    np.copyto(out, np.repeat(alone, counts) - chance, where=place > 0)  # the greatest is among these others
+    without = chance.copy()
+    without[firsts[:-1]] = 0.0
+    out[firsts[:-1]] = np.add.reduceat(np.append(without, 0.0), firsts[:-1])
+    return out
 
 
 class Lattices:
@@ -165,6 +221,7 @@ class Lattices:
         self.nodes = self.edges = 0
         self.first = np.zeros(1 << 12, np.int64)
         self.chance, self.up_to = np.zeros(1 << 14), np.zeros(1 << 14, np.float32)
+        self.others = np.zeros(1 << 14)  # the chance of all other edges of the node
         self.end, self.piece = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
 
     def spell(self, char: str) -> int:
@@ -203,9 +260,9 @@ class Lattices:
         out.append((lone, lone + 1, spelt[which], sizes[which] * np.log(own.least)))
         return tuple(np.concatenate(columns) for columns in zip(*out))
 
-    def nodes_of(self, units: list[str]) -> np.ndarray:
+    def nodes_of(self, units: pa.Array) -> np.ndarray:
         """The first node of each unit. Arrow finds the different units; only they are looked up."""
-        coded = pa.array(units, pa.string()).dictionary_encode()
+        coded = units.dictionary_encode()
         different = coded.dictionary.to_pylist()
         self.add(different)
         firsts = np.fromiter(map(self.node_of.__getitem__, different), np.int64, len(different))
@@ -219,7 +276,9 @@ class Lattices:
         if self.edges > self.room:
             self.clear()
             fresh = units
-        codes = np.frombuffer("".join(fresh).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        # Units begin with a plain space, which the pieces have as their own sign.
+        joined = "".join(fresh).replace(" ", SPACE)
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         sizes = np.fromiter(map(len, fresh), np.int64, len(fresh))
         stops = np.cumsum(sizes)
         stop = np.repeat(stops, sizes)
@@ -252,13 +311,14 @@ class Lattices:
         run = np.concatenate(([0.0], np.cumsum(chance)))
         up_to = run[1:] - np.repeat(run[firsts[:-1]], counts)
         up_to[firsts[1:] - 1] = 1.0
+        others = beside(chance, firsts)
 
         self.node_of.update(zip(fresh, (self.nodes + stops - sizes).tolist()))
         node, total = self.nodes + len(codes), self.edges + len(chance)
         self.first = self.grown(self.first, node + 1)
         self.first[self.nodes:node + 1] = self.edges + firsts
         ends = np.where(last, -1, self.nodes + to)
-        for name, values in (("chance", chance), ("up_to", up_to), ("end", ends), ("piece", piece)):
+        for name, values in (("chance", chance), ("up_to", up_to), ("others", others), ("end", ends), ("piece", piece)):
             array = self.grown(getattr(self, name), total)
             array[self.edges:total] = values
             setattr(self, name, array)
@@ -334,32 +394,28 @@ class Search:
         self.number += 1
         heapq.heappush(self.closed, (-value, self.number, path, place, out))
 
-    def note(self, lattices: Lattices, k: int, edges: np.ndarray, before: np.ndarray, value: float, fresh: int,
-             ends: np.ndarray) -> None:
-        """A path whose edges from `fresh` on are new: keep it, and close the sets beside those edges."""
+    def note(self, k: int, path: tuple, ends: np.ndarray, places: np.ndarray, values: np.ndarray) -> None:
+        """Keep a path, and close the sets beside its new edges, of which these places and perturbed values are told."""
         turn = len(self.paths)
-        self.paths.append((edges, before, value))
+        self.paths.append(path)
         self.unit_ends.append(ends)
-        rest = 1 - lattices.chance[edges[fresh:]]
-        open_ended = np.flatnonzero(rest > 1e-12)
-        if not len(open_ended):
-            return
-        places = open_ended + fresh
-        location = before[places] + np.log(rest[open_ended])
-        u = uniform(np.uint64(self.key) + np.uint64(turn + 1) * np.uint64(0xD1342543DE82EF95)
-                    + places.astype(np.uint64) * GOLDEN)
-        values = cut_off(location, value, u)
         if len(values) > k:  # no more than k of them can be opened or give the threshold
             best = np.argpartition(-values, k)[:k]
             places, values = places[best], values[best]
         for place, own in zip(places.tolist(), values.tolist()):
-            self.close(own, turn, place, (int(edges[place]),))
+            self.close(own, turn, place, (int(path[0][place]),))
 
 
 def sample(lattices: Lattices, texts: list[list[str]], keys: np.ndarray, k: int) -> list[Search]:
     """Up to `k` segmentations for each text (a list of units), all texts side by side."""
-    nodes = lattices.nodes_of([u for units in texts for u in units])
-    cuts = np.cumsum([0, *map(len, texts)]).tolist()
+    units = pa.array([u.replace(SPACE, " ") for units in texts for u in units], pa.string())
+    return drawn(lattices, units, np.cumsum([0, *map(len, texts)]), keys, k)
+
+
+def drawn(lattices: Lattices, units: pa.Array, cuts: np.ndarray, keys: np.ndarray, k: int) -> list[Search]:
+    """The same for the units of all texts in one array, and where each text begins and ends in it."""
+    nodes = lattices.nodes_of(units)
+    cuts = cuts.tolist()
     searches = [Search(int(key), nodes[a:b]) for key, a, b in zip(keys, cuts, cuts[1:])]
     with np.errstate(over="ignore", divide="ignore"):
         jobs = []  # (search, first nodes, edges so far, log chances before them, value, unit ends so far)
@@ -384,12 +440,13 @@ def opened(lattices: Lattices, search: Search, turn: int) -> tuple:
     node = int(np.searchsorted(lattices.first[:lattices.nodes + 1], old, side="right")) - 1
     choice = [e for e in range(lattices.first[node], lattices.first[node + 1]) if e not in out]
     mass = float(lattices.chance[choice].sum())
+    shares = lattices.chance[choice] / mass if mass > 0 else lattices.chance[choice]
     noise = uniform(np.uint64(search.key) + np.uint64(turn) * np.uint64(0xA0761D6478BD642F)
                     + np.array([1, 2], np.uint64) * GOLDEN)
-    reach = np.cumsum(lattices.chance[choice]) > noise[0] * mass
+    reach = np.cumsum(shares) > noise[0]
     edge = choice[int(np.argmax(reach)) if reach.any() else -1]
-    left = mass - float(lattices.chance[edge])
-    if len(choice) > 1 and left > 1e-12:
+    left = float(sum(lattices.chance[e] for e in choice if e != edge))  # not 1 - chance, which would lose small ones
+    if left > 0:
         own = cut_off(before[place] + np.log(left), value, noise[1])
         search.close(float(own), number, place, (*out, edge))
     ends = search.unit_ends[number]
@@ -414,15 +471,29 @@ def advance(lattices: Lattices, jobs: list[tuple], k: int, turn: int) -> None:
     path, lengths = lattices.draw(nodes, np.concatenate(salts))
     logs = np.log(lattices.chance[path])
     steps = np.concatenate(([0], np.cumsum(lengths)))
-    at = 0
-    for search, own, head, before, value, done, partial in jobs:
-        begin, end = int(steps[at]), int(steps[at + len(own)])
+    cuts = steps[np.cumsum([0, *(len(job[1]) for job in jobs)])]
+    found, at = [], 0
+    for (search, own, head, before, value, done, _), begin, end in zip(jobs, cuts[:-1].tolist(), cuts[1:].tolist()):
         edges = np.concatenate((head, path[begin:end]))
         chances = np.concatenate((before, before[-1] + np.cumsum(logs[begin:end])))
-        ends = np.concatenate((done, len(head) - begin + steps[at + 1:at + len(own) + 1]))
-        search.note(lattices, k, edges, chances, value, len(head), ends)
+        found.append(((edges, chances, value), np.concatenate((done, len(head) - begin + steps[at + 1:at + len(own) + 1]))))
         at += len(own)
 
+    # The sets beside the new edges of all texts: each edge's others, perturbed below the value of its path.
+    rest = lattices.others[path]
+    beside_them = np.flatnonzero(rest > 0)
+    counts, fresh = np.diff(cuts), np.array([len(job[2]) for job in jobs])
+    which = np.repeat(np.arange(len(jobs)), counts)[beside_them]
+    places = beside_them - cuts[which] + fresh[which]
+    location = np.concatenate([own[1][n:-1] for (own, _), n in zip(found, fresh.tolist())])[beside_them] + np.log(rest[beside_them])
+    keys = np.array([job[0].key for job in jobs], np.uint64) + np.array(
+        [len(job[0].paths) + 1 for job in jobs], np.uint64) * np.uint64(0xD1342543DE82EF95)
+    u = uniform(keys[which] + places.astype(np.uint64) * GOLDEN)
+    values = cut_off(location, np.array([job[4] for job in jobs])[which], u)
+    borders = np.searchsorted(beside_them, cuts).tolist()
+    for job, (own, ends), a, b in zip(jobs, found, borders, borders[1:]):
+        job[0].note(k, own, ends, places[a:b], values[a:b])
+
 
 def encoded(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", k: int = SAMPLES, seed: int = 7,
             sharpness: float = 0.5) -> DataFrame:
@@ -435,28 +506,35 @@ def encoded(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text"
     names = ["key", "sample", "ids", "log_chance", "perturbed", "log_inclusion", "exact"]
     kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
 
+    def shown(out: list[list]) -> pa.RecordBatch:
+        columns = [pa.array(c, t) if t != kinds[2] else None for c, t in zip(out, kinds)]
+        offsets = np.cumsum([0, *map(len, out[2])])
+        flat = np.concatenate([*out[2], np.zeros(0, np.int64)]).astype(np.int32)
+        columns[2] = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
+        return pa.RecordBatch.from_arrays(columns, names)
+
     def run(batches):
         lattices = lattices_of(vocabulary)
         for piece in slices(batches, "text", 2 << 20):
-            texts = piece["text"].to_pylist()
+            units, cuts, wanted = vocabulary.units_of(piece["text"])
             keys = piece["noise"].to_numpy(zero_copy_only=False).view(np.uint64)
-            found = sample(lattices, [vocabulary.units(t) for t in texts], keys, k)
+            found = drawn(lattices, units, cuts, keys, k)
             out: list[list] = [[] for _ in names]
             held = 0
-            for own, value, search in zip(piece["key"].to_pylist(), texts, found):
+            for own, value, search in zip(piece["key"].to_pylist(), wanted, found):
                 bound = -search.closed[0][0] if search.closed else -np.inf
                 for number, (edges, before, perturbed) in enumerate(search.paths, 1):
                     ids = lattices.ids(edges)
                     chance = float(before[-1])
                     inclusion = log_inclusion(chance - bound)
-                    exact = vocabulary.decode(ids.tolist()) == value.replace(SPACE, " ")
+                    exact = vocabulary.joined(ids) == value
                     held += len(ids)
                     for column, cell in zip(out, (own, number, ids, chance, perturbed, inclusion, exact)):
                         column.append(cell)
                 if held > 1 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names)
+                    yield shown(out)
                     out, held = [[] for _ in names], 0
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names)
+            yield shown(out)
 
     chosen = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(text, F.lit("")).alias("text"),
                          F.xxhash64(F.lit(seed), F.col(key)).alias("noise"))
