@@ -30,24 +30,24 @@ def large_cells(df: DataFrame, size: str, k: int = SMALL_CELL) -> DataFrame:
     return df.where(F.col(size) >= k)
 
 
-def k_profile(df: DataFrame, quasi_identifiers: list[Column], k: int = SMALL_CELL) -> DataFrame:
-    """How many persons are unique, below k, or safe on these attributes."""
+def hiding(df: DataFrame, quasi_identifiers: list[Column], k: int = SMALL_CELL) -> DataFrame:
+    """How well persons hide among those who share these attributes, as one row.
+
+    Persons who are alone with theirs, persons in groups of fewer than k, the
+    smallest group, and the share of persons who are in groups of k or more.
+    """
     names = [f"_q{i}" for i in range(len(quasi_identifiers))]
     groups = (
         df.select(*[c.alias(n) for c, n in zip(quasi_identifiers, names)])
         .groupBy(*names)
-        .agg(F.count(F.lit(1)).alias("k"))
-    )
-    size_class = (
-        F.when(F.col("k") == 1, F.lit("k = 1"))
-        .when(F.col("k") < k, F.lit(f"k = 2..{k - 1}"))
-        .otherwise(F.lit(f"k >= {k}"))
-    )
-    classes = groups.groupBy(size_class.alias("classe")).agg(
-        F.count(F.lit(1)).alias("nb_groupes"), F.sum("k").alias("nb_patients")
-    )
-    # Three rows at most: the window total is a sum of three numbers.
-    total = F.sum("nb_patients").over(Window.partitionBy(F.lit(1)))
-    return classes.withColumn(
-        "pct_population", F.round(F.lit(100.0) * F.col("nb_patients") / total, 1)
+        .agg(F.count(F.lit(1)).alias("personnes"))
     )
+    alone, few = F.col("personnes") == 1, F.col("personnes") < k
+    nobody = F.lit(0).cast("bigint")
+    return groups.agg(
+        F.coalesce(F.sum("personnes"), nobody).alias("personnes"),
+        F.count(F.lit(1)).alias("groupes"),
+        F.min("personnes").alias("plus_petit_groupe"),
+        F.count_if(alone).alias("isolees"),
+        F.coalesce(F.sum(F.when(few, F.col("personnes"))), nobody).alias("exposees"),
+    ).withColumn("part_a_l_abri", percentage(F.col("personnes") - F.col("exposees"), F.col("personnes")))

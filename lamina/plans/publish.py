@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lamina.contract import AUDIENCES, DAILY_FEEDS, REFERENCES, STEERING_FORBIDDEN
-from lamina.plans.quality import stacked
+from lamina.plans.quality import identity_inside, stacked, table_texts
 from lamina.sources import drops
 from lamina.sources.warehouse import Warehouse, latest_lines
 
@@ -52,6 +52,27 @@ def audit_audience(tables: dict[str, DataFrame], forbidden: list[str] = STEERING
     return [(name, c) for name, df in tables.items() for c in df.columns if c in forbidden]
 
 
+def ledger_texts(warehouse: Warehouse) -> DataFrame:
+    """The messages of the run ledger, as texts to be scanned."""
+    lines = warehouse.read("ops", "executions").where(F.col("message") != "")
+    return lines.select(
+        F.lit("ops.executions").alias("origine"), F.concat_ws("/", "run_id", "etape").alias("ligne"),
+        F.col("message").alias("texte"))
+
+
+def lake_identity(warehouse: Warehouse, identifiers: DataFrame) -> DataFrame:
+    """Source identifiers that stand anywhere in the lake, in any text column: by table, column and file."""
+    feeds = [feed for feed in DAILY_FEEDS if warehouse.has("lake", feed)]
+    tables = {feed: flat_texts(warehouse.read("lake", feed)) for feed in feeds}
+    return identity_inside(table_texts(tables), identifiers)
+
+
+def flat_texts(df: DataFrame) -> DataFrame:
+    """A table whose nested columns are read as text, so that what stands inside them is seen."""
+    nested = [f.name for f in df.schema if f.dataType.typeName() in ("array", "struct", "map")]
+    return df.withColumns({name: F.to_json(name) for name in nested}) if nested else df
+
+
 def lineage_walk(layers: dict[str, tuple[DataFrame, Column]]) -> DataFrame:
     """From a figure back to its files: per layer the rows behind it, by run and source file.
 
@@ -92,13 +113,12 @@ def table_volumes(warehouse: Warehouse, tables: list[tuple[str, str]] = STATE_TA
     def rows(layer, table):
         return warehouse.silver(table) if layer == "silver" and table != "patients" else warehouse.read(layer, table)
 
-    return stacked(
-        [
-            rows(layer, table).agg(F.count(F.lit(1)).alias("lignes")).select(F.lit(f"{layer}.{table}").alias("table"), "lignes")
-            for layer, table in tables
-            if warehouse.has(layer, table)
-        ]
-    )
+    counts = [
+        rows(layer, table).agg(F.count(F.lit(1)).alias("lignes")).select(F.lit(f"{layer}.{table}").alias("table"), "lignes")
+        for layer, table in tables
+        if warehouse.has(layer, table)
+    ]
+    return stacked(counts) if counts else warehouse.spark.createDataFrame([], "table string, lignes bigint")
 
 
 def days_state(warehouse: Warehouse, files: DataFrame) -> DataFrame:

@@ -563,6 +563,49 @@ def identity_leak(texts: DataFrame, identifiers: DataFrame, longest: int = 1) ->
     )
 
 
+def grams_of(text: Column, q: int) -> Column:
+    """All stretches of `q` characters of a text, each once. The pattern takes none and looks ahead, so it meets every place."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{q}}}))"), F.lit(1)))
+
+
+def identity_inside(texts: DataFrame, identifiers: DataFrame, q: int = 5) -> DataFrame:
+    """Texts (origine, ligne, texte) in which a source identifier stands anywhere, also inside a longer word.
+
+    Each identifier is known by one stretch of `q` characters, the one that fewest
+    texts hold. Texts with that stretch are candidates, and only those are searched
+    for the identifier itself: no text meets all identifiers. An identifier of fewer than
+    `q` characters, which would stand in any text, counts where it is a word.
+    """
+    wanted = identifiers.select("identifiant").where(~is_blank(F.col("identifiant"))).distinct()
+    long = wanted.where(F.length("identifiant") >= q)
+    stretches = long.select("identifiant", F.explode(grams_of(F.col("identifiant"), q)).alias("bout"))
+    own = texts.where(F.col("texte").isNotNull()).select(
+        "origine", "ligne", "texte", F.xxhash64("texte").alias("empreinte"))
+    # Of the stretches of all texts only those that an identifier has go on.
+    held = own.select("origine", "ligne", "empreinte", F.explode(grams_of(F.col("texte"), q)).alias("bout")).join(
+        stretches.select("bout").distinct(), "bout", "left_semi")
+    counted = held.groupBy("bout").agg(F.count(F.lit(1)).alias("nb"))
+    # A stretch that no text holds is the rarest: its identifier stands nowhere.
+    anchors = stretches.join(counted, "bout", "left").groupBy("identifiant").agg(
+        F.min(F.struct(F.coalesce("nb", F.lit(0)).alias("nb"), "bout")).alias("ancre")
+    ).where(F.col("ancre.nb") > 0).select("identifiant", F.col("ancre.bout").alias("bout"))
+    candidates = held.join(anchors, "bout").select("origine", "ligne", "empreinte", "identifiant").distinct()
+    inside = own.dropDuplicates(["origine", "ligne", "empreinte"]).join(candidates, ["origine", "ligne", "empreinte"]).where(
+        F.contains("texte", "identifiant")).select("origine", "ligne", "identifiant")
+    words = own.select("origine", "ligne", F.explode(F.array_distinct(words_of(F.col("texte")))).alias("identifiant")).join(
+        wanted.where(F.length("identifiant") < q), "identifiant", "left_semi").select("origine", "ligne", "identifiant")
+    return inside.unionByName(words).distinct().groupBy("origine", "ligne").agg(F.count(F.lit(1)).alias("nb_identifiants"))
+
+
+def table_texts(tables: Tables, origin: str = "_fichier_source") -> DataFrame:
+    """All text columns of some tables, told by the file a row came from; provenance itself is left out."""
+    parts = [
+        string_cells(df.select(origin, *[c for c in df.columns if not c.startswith("_")]), name, origin)
+        for name, df in tables.items()
+    ]
+    return stacked(parts)
+
+
 def string_cells(df: DataFrame, origin: str, row_id: str) -> DataFrame:
     """Every text column of a table as (origine, ligne, texte), columnar files included."""
     texts = [c for c, kind in df.dtypes if kind == "string" and c != row_id]

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from lamina.contract import DAILY_FEEDS, DIAGNOSTICS_JSON, LAKE_COLUMNS, NESTED_COLUMNS
 from lamina.functions.privacy import generalise_year, pseudonymise
+from lamina.sources.mending import records
 
 # feed, day and file at the end of a path; the day folder may be `name=<day>`.
 _DROP = r"([^/]+)/(?:[^/=]+=)?([0-9]{4}-[0-9]{2}-[0-9]{2})/([^/]+)$"
@@ -90,7 +93,7 @@ def _with_origin(df: DataFrame) -> DataFrame:
     return df.select("*", day_from_path(path).alias("_jour_depot"), provenance(path).alias("_fichier_source"))
 
 
-# A quoted value may hold line breaks, so a file is read by one task: a drop is one file per feed and day.
+# A quoted value may hold line breaks. Read like this a file is held in one task, as one of a single split is anyway.
 CSV = {"header": True, "escape": '"', "multiLine": True}
 
 
@@ -103,11 +106,20 @@ def csv_headers(spark: SparkSession, paths: list[str]) -> dict[str, tuple[str, .
         return dict(zip(paths, pool.map(header, paths)))
 
 
+def by_splits(spark: SparkSession, paths: list[str]) -> tuple[list[str], list[str]]:
+    """Files that one task reads in any case, and those of several splits. Only their lengths are looked at."""
+    number, unit = re.fullmatch(r"(\d+)\s*([a-z]?)b?", spark.conf.get("spark.sql.files.maxPartitionBytes").lower()).groups()
+    limit = int(number) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
+    files = spark.read.format("binaryFile").load(paths).select("path", (F.col("length") > limit).alias("large")).collect()
+    return [f.path for f in files if not f.large], [f.path for f in files if f.large]
+
+
 def read_csv(spark: SparkSession, paths: list[str], headers: dict | None = None) -> DataFrame:
-    """CSV files as text columns, matched by name.
+    """CSV files as text columns, matched by name; a file of more than one split is read by many tasks.
 
     Spark matches an explicit schema by position, so files are grouped by
-    header: a column added or moved upstream cannot slide under another name.
+    header: a column added or moved upstream cannot slide under another name. Lines end
+    alike throughout a file, in a line feed or a carriage return and a line feed.
     Nothing is inferred from the data. Files without any line are left out.
     """
     groups: dict[tuple[str, ...], list[str]] = {}
@@ -119,8 +131,17 @@ def read_csv(spark: SparkSession, paths: list[str], headers: dict | None = None)
     frames = []
     for header, members in groups.items():
         schema = ", ".join(f"`{name}` string" for name in header)
-        scan = spark.read.schema(schema).options(**CSV).csv(members)
-        frames.append(_with_origin(scan))
+        small, large = by_splits(spark, members)
+        if small:
+            frames.append(_with_origin(spark.read.schema(schema).options(**CSV).csv(small)))
+        if large:
+            rows = records(spark, large).where(~F.col("_premier"))
+            row = F.from_csv("_texte", F.lit(schema), {"escape": '"', "multiLine": "true"})
+            parsed = rows.select(row.alias("_ligne"), "_fichier").select("_ligne.*", "_fichier")
+            path = F.col("_fichier")
+            frames.append(parsed.select(
+                *[F.col(f"`{name}`") for name in header], day_from_path(path).alias("_jour_depot"),
+                provenance(path).alias("_fichier_source")))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
@@ -154,6 +175,66 @@ def project_nested(df: DataFrame, column: str, fields: list[str]) -> DataFrame:
     )
 
 
+def key_paths(df: DataFrame, text: str, group: str) -> DataFrame:
+    """(group, chemin, profondeur, type): every key path of the JSON texts of a column, by group.
+
+    One job whatever the number of groups, files say: each gives the merged type of
+    its texts, and only those types come to the driver, a line for each group.
+    `[]` stands for the elements of an array. A text that is no JSON counts as `illisible`.
+    """
+    value = F.try_parse_json(F.col(text))
+    merged = df.where(F.col(text).isNotNull() & (F.trim(text) != "")).groupBy(group).agg(
+        F.schema_of_variant_agg(value).alias("type"), F.count_if(value.isNull()).alias("illisibles"))
+    found = []
+    for row in merged.collect():
+        if row["illisibles"]:
+            found.append((row[group], "", 0, "illisible"))
+        found += [(row[group], *path) for path in paths_of(row["type"])]
+    return df.sparkSession.createDataFrame(found, f"`{group}` string, chemin string, profondeur int, type string")
+
+
+def paths_of(ddl: str) -> list[tuple[str, int, str]]:
+    """(path, depth, type) of all keys of a merged JSON type."""
+    out: list[tuple[str, int, str]] = []
+
+    def walk(kind, path: str, depth: int) -> None:
+        if isinstance(kind, ArrayType):
+            walk(kind.elementType, f"{path}[]", depth)
+        elif isinstance(kind, StructType):
+            for field in kind.fields:
+                name = f"{path}.{field.name}" if path else field.name
+                shown = field.dataType.typeName()
+                out.append((name, depth + 1, {"struct": "object"}.get(shown, shown)))
+                walk(field.dataType, name, depth + 1)
+
+    walk(StructType.fromDDL(f"v {ddl.replace('OBJECT<', 'STRUCT<')}")["v"].dataType, "", 0)
+    return out
+
+
+def nested_drift(spark: SparkSession, paths: list[str], columns: list[str]) -> DataFrame:
+    """One row per key that JSON files have and the declaration lacks, or the reverse, at any depth.
+
+    A file holds one array, or an object a line. It is one text here, as it is for the scan that follows.
+    """
+    declared = set(columns) | {f"{c}[].{key}" for c in columns for key in NESTED_COLUMNS.get(c, [])}
+    files = spark.read.text(paths, wholetext=True).select("value", F.col("_metadata.file_path").alias("fichier"))
+    one_value = F.try_parse_json("value").isNotNull()
+    # A file of objects, one a line, is read line by line.
+    texts = files.select("fichier", F.explode(F.when(one_value, F.array("value")).otherwise(F.split("value", "\n"))).alias("texte"))
+    found: dict[str, set[str]] = {}
+    broken = []
+    for row in key_paths(texts, "texte", "fichier").collect():  # a line for each key of each file
+        if row.type == "illisible":
+            broken.append((row.fichier, "", "illisible"))
+        else:
+            found.setdefault(row.fichier, set()).add(row.chemin.removeprefix("[]."))
+    gaps = [(file, c, "retiree") for file, own in sorted(found.items()) for c in sorted(own - declared)]
+    # A key below another is only missed where the other is there.
+    gaps += [(file, c, "manquante") for file, own in sorted(found.items()) for c in sorted(declared - own)
+             if "[]." not in c or c.split("[].")[0] in own]
+    return spark.createDataFrame(gaps + broken, "fichier string, colonne string, ecart string")
+
+
 def schema_drift(spark: SparkSession, found: dict[str, list[str]], declared: dict[str, list[str]]) -> DataFrame:
     """One row per column that appeared or went missing, per file."""
     gaps = [
@@ -211,8 +292,7 @@ def lake_drift(spark: SparkSession, feed: str, file: str, paths: list[str]) -> D
     if file.endswith(".csv"):
         found = csv_headers(spark, paths)
     elif file.endswith(".json"):
-        reader = spark.read.option("multiLine", True)
-        found = {path: reader.json(path).columns for path in paths}
+        return nested_drift(spark, paths, LAKE_COLUMNS[(feed, file)])
     else:
         found = {path: spark.read.parquet(path).columns for path in paths}
     renamed = {"patient_id": "patient_pseudo", "birth_date": "birth_year"} if feed in ("patients", "sejours") else {}

@@ -3,7 +3,10 @@
 from pyspark.sql import functions as F
 
 from lamina.contract import BRONZE, PROVENANCE, REFERENCES
-from lamina.plans import quality
+from lamina.operators import reconcile, suppression
+from lamina.plans import publish, quality
+from lamina.session import new_folder
+from lamina.sources.warehouse import Warehouse
 from registry import built
 from registry.book import entry, shown
 from registry.oracle_parts import rounded
@@ -396,14 +399,29 @@ _PERSONAL = r"(^|[^0-9A-Za-z_])([0-9a-f]{16}|[0-9]{15})($|[^0-9A-Za-z_])|IPP[0-9
     "pii_scan",
     f"""SELECT 'documents' AS origine, CAST(doc_id AS VARCHAR) AS ligne FROM documents WHERE regexp_matches(text, '{_PERSONAL}')
         UNION ALL
-        SELECT 'conversations', conv_id || '/' || turn FROM conversations WHERE regexp_matches(text, '{_PERSONAL}')""",
+        SELECT 'conversations', conv_id || '/' || turn FROM conversations WHERE regexp_matches(text, '{_PERSONAL}')
+        UNION ALL
+        SELECT 'ops.executions', 'r' || o_orderkey || '/silver' FROM (
+          SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'IPP' || lpad(o_custkey::VARCHAR, 7, '0')
+                                  WHEN 1 THEN 'x' || lpad(o_custkey::VARCHAR, 15, '1') || 'y'
+                                  WHEN 2 THEN '(' || lpad(o_custkey::VARCHAR, 15, '1') || ')' ELSE o_orderpriority END AS message FROM orders)
+        WHERE regexp_matches('échec : ' || message, '{_PERSONAL}')""",
 )
 def pii_scan(f):
+    """Documents, conversations and the messages of a ledger of failed steps, one for each order."""
+    home = Warehouse(f.spark, new_folder(f.spark, "ledger"))
+    home.append("ops", "executions", f.table("orders").selectExpr(
+        "concat('r', o_orderkey) AS run_id", "'silver' AS etape", "to_date(o_orderdate) AS jour", "'echec' AS statut",
+        "0L AS lignes", "0D AS duree_s", """concat('échec : ', CASE o_orderkey % 4
+            WHEN 0 THEN concat('IPP', lpad(o_custkey, 7, '0')) WHEN 1 THEN concat('x', lpad(o_custkey, 15, '1'), 'y')
+            WHEN 2 THEN concat('(', lpad(o_custkey, 15, '1'), ')') ELSE o_orderpriority END) AS message""",
+        "cast(o_orderdate AS timestamp) AS demarre_a", "cast(o_orderdate AS timestamp) AS termine_a"))
     texts = (
         f.table("documents").selectExpr("'documents' AS origine", "cast(doc_id AS string) AS ligne", "text AS texte")
         .unionByName(
             f.table("conversations").selectExpr("'conversations' AS origine", "concat(conv_id, '/', turn) AS ligne", "text AS texte")
         )
+        .unionByName(publish.ledger_texts(home))
     )
     return quality.personal_data(texts).select("origine", "ligne")
 
@@ -433,6 +451,96 @@ def identity_leak(f):
     return quality.identity_leak(documents.unionByName(customers), identifiers)
 
 
+# Every text column of the tables, and what names a row.
+_CELLS = {
+    "region": ("r_regionkey", "r_name"), "nation": ("n_nationkey", "n_name"), "supplier": ("s_suppkey", "s_name"),
+    "customer": ("c_custkey", "c_name", "c_mktsegment"), "part": ("p_partkey", "p_name", "p_brand", "p_type"),
+    "orders": ("o_orderkey", "o_orderstatus", "o_orderpriority"), "events": ("event_id", "event_type", "props"),
+    "documents": ("doc_id", "text", "lang", "source"), "pages": ("page_id", "url", "html"),
+    "conversations": ("conv_id || '/' || turn", "role", "text"),
+    "lineitem": ("l_orderkey || '/' || l_linenumber", "l_returnflag", "l_linestatus"),
+}
+
+
+@entry(
+    "identity_inside",
+    "WITH cells AS (" + " UNION ALL ".join(
+        f"SELECT '{table}.{c}' AS origine, CAST({row} AS VARCHAR) AS ligne, {c} AS texte FROM {table}"
+        for table, (row, *columns) in _CELLS.items() for c in columns
+    ) + f"""), names AS (
+      SELECT DISTINCT identifiant FROM (
+        SELECT unnest(string_split_regex(text, '{_WORD}')) AS identifiant FROM benchmark
+        UNION ALL SELECT lpad(CAST(s_suppkey AS VARCHAR), 9, '0') FROM supplier)
+      WHERE length(identifiant) >= 5
+    ), texts AS (SELECT DISTINCT * FROM cells)
+    SELECT origine, ligne, count(DISTINCT identifiant) AS nb_identifiants
+    FROM texts JOIN names ON contains(texte, identifiant) GROUP BY ALL""",
+)
+def identity_inside(f):
+    """Words of the benchmark texts and numbers of suppliers, wherever they stand in any text column of any table."""
+    identifiers = f.table("benchmark").select(F.explode(quality.words_of(F.col("text"))).alias("identifiant")).unionByName(
+        f.table("supplier").selectExpr("lpad(s_suppkey, 9, '0') AS identifiant")
+    ).where(F.length("identifiant") >= 5)
+    texts = quality.stacked([
+        quality.string_cells(f.table(table).selectExpr(f"cast({row} AS string) AS _ligne", *columns), table, "_ligne")
+        for table, (row, *columns) in _CELLS.items()
+    ])
+    return quality.identity_inside(texts, identifiers)
+
+
+_SIDES = """
+    WITH gauche AS (SELECT o_orderkey, o_orderstatus, CAST(round(o_totalprice * 100) AS BIGINT) AS centimes FROM orders),
+    droite AS (
+      SELECT o_orderkey, o_orderstatus, centimes + CASE WHEN o_orderkey % 1009 = 5 THEN 1 ELSE 0 END AS centimes
+      FROM gauche WHERE o_orderkey % 2003 <> 9
+      UNION ALL SELECT * FROM gauche WHERE o_orderkey % 3001 = 11)"""
+
+
+@entry(
+    "reconcile_rows",
+    _SIDES + """
+    SELECT o_orderkey, o_orderstatus, centimes, CAST(sum(n) AS BIGINT) AS _n
+    FROM (SELECT *, -1 AS n FROM gauche UNION ALL SELECT *, 1 FROM droite) GROUP BY ALL HAVING sum(n) <> 0""",
+)
+def reconcile_rows(f):
+    """Orders against a copy in which some are altered, lost or there twice: which rows differ."""
+    left = f.table("orders").selectExpr("o_orderkey", "o_orderstatus", "cast(round(o_totalprice * 100) AS bigint) AS centimes")
+    altered = left.where("o_orderkey % 2003 <> 9").withColumn(
+        "centimes", F.col("centimes") + F.expr("if(o_orderkey % 1009 = 5, 1, 0)"))
+    right = altered.unionByName(left.where("o_orderkey % 3001 = 11"))
+    return reconcile.differences(left, right, ["o_orderkey"], ["o_orderstatus", "centimes"])
+
+
+_CELL = ["code_cim10", "tranche_age", "sexe"]
+_MARGINS = [["code_cim10", "tranche_age"], ["code_cim10", "sexe"], ["code_cim10"], ["tranche_age", "sexe"]]
+_K = 25
+
+
+def _telling(margin):
+    """SQL of the held-back cells whose line in one margin tells."""
+    keys = ", ".join(margin)
+    return f"""SELECT c.* FROM cells c JOIN (
+        SELECT {keys} FROM cells WHERE nb < {_K} GROUP BY {keys} HAVING count(*) = 1 OR sum(nb) < {_K}) m USING ({keys})
+      WHERE nb < {_K}"""
+
+
+@entry(
+    "cohort_recoverable",
+    """SELECT * FROM (WITH cells AS (
+      SELECT code_cim10, tranche_age, sexe, count(DISTINCT patient_pseudo) AS nb FROM fact_diagnostic
+      WHERE est_principal = 1 AND tranche_age <> 'inconnu' GROUP BY ALL)
+    SELECT code_cim10, tranche_age, sexe, nb, count(*) AS nb_lignes FROM ("""
+    + " UNION ALL ".join(f"SELECT code_cim10, tranche_age, sexe, nb FROM ({_telling(m)})" for m in _MARGINS)
+    + ") GROUP BY ALL)",
+)
+def cohort_recoverable(f):
+    """Cells of fewer than 25 patients that follow by subtraction from totals by pathology, by age and by sex."""
+    persons = f.fact_diagnostic.where((F.col("est_principal") == 1) & (F.col("tranche_age") != "inconnu"))
+    cells = persons.groupBy(*_CELL, "patient_pseudo").agg(F.lit(1).alias("_un")).groupBy(*_CELL).agg(
+        F.count(F.lit(1)).alias("nb"))
+    return suppression.recoverable(suppression.small_cells(cells, "nb", _K), _CELL, _MARGINS, "nb", _K)
+
+
 @entry(
     "pseudo_collisions",
     """SELECT substr(sha256(CAST(c_custkey AS VARCHAR)), 1, 2) AS pseudo, count(*) AS nb_identifiants

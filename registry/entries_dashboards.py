@@ -47,12 +47,20 @@ for name in SQL:
     entry(f"dashboard_{name}", SQL[name])(lambda f, name=name: answer(name, built.published(f)))
 
 
-@entry("dashboard_b01_last_build", "SELECT 1 AS pendant_la_construction FROM region WHERE r_regionkey = 0")
+@entry(
+    "dashboard_b01_last_build",
+    "SELECT 1 AS pendant_la_construction, count(*) AS lignes_de_ce_jour FROM kpi_dms_service",
+)
 def last_build(f):
-    """The date of the last build, which no SQL could give, only as lying within the ledger's times."""
+    """The date of the last build: by the ledger's times, which no SQL could give, and the rows that bear it."""
     ledger = built.warehouse(f).read("ops", "executions").agg(
         F.min("demarre_a").alias("debut"), F.max("termine_a").alias("fin"))
     when = F.col("derniere_construction").cast("timestamp")
     # The clock of the plan is read when it is made, the ledger's when the stage begins and ends.
     inside = when.between(F.col("debut").cast("timestamp") - F.expr("INTERVAL 1 SECOND"), F.col("fin").cast("timestamp"))
-    return answer("b01_last_build", built.published(f)).crossJoin(ledger).select(inside.cast("int").alias("pendant_la_construction"))
+    rows = built.published(f)["kpi_dms_service"]
+    bearing = rows.join(
+        answer("b01_last_build", built.published(f)), rows["_built_at"] == F.col("derniere_construction"), "left_semi")
+    return answer("b01_last_build", built.published(f)).crossJoin(ledger).crossJoin(
+        bearing.agg(F.count(F.lit(1)).alias("lignes_de_ce_jour"))
+    ).select(inside.cast("int").alias("pendant_la_construction"), "lignes_de_ce_jour")

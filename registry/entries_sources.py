@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lamina.contract import BRONZE, DIAGNOSTICS_JSON, DIMENSIONS, KPI_TABLES, REFERENCES
+from lamina.contract import BRONZE, DIAGNOSTICS_JSON, DIMENSIONS, KPI_TABLES, LEDGER, REFERENCES
 from lamina.functions.privacy import pseudonymise
 from lamina.plans import publish, quality
 from lamina.session import new_folder
@@ -403,15 +403,51 @@ def publish_audience(f):
     """SELECT 'kpi' AS couche, NULL::VARCHAR AS fichier_source, count(*) AS lignes FROM kpi_mortalite_service WHERE service_code = 'N7'
        UNION ALL SELECT 'fait', NULL, count(*) FROM fact_sejour WHERE service_code = 'N7' AND est_en_cours = 0
        UNION ALL SELECT 'silver', _fichier_source, count(*) FROM silver_sejours WHERE service_code = 'N7' AND est_en_cours = 0 GROUP BY ALL
-       UNION ALL SELECT 'registre', _fichier_source, count(*) FROM rejets WHERE source = 'sejours' GROUP BY ALL""",
+       UNION ALL SELECT 'registre', _fichier_source, count(*) FROM rejets WHERE source = 'sejours' GROUP BY ALL
+       UNION ALL SELECT 'bronze', _fichier_source, count(*) FROM bronze_sejours WHERE service_code = 'N7' GROUP BY ALL""",
 )
 def lineage_walk(f):
-    """Mortality of one service: the figure, its fact rows, the silver rows and their files, and what was left out."""
+    """Mortality of one service, five layers down: the figure, its fact rows, silver and bronze rows with their files,
+    what was left out; each row by a run that the ledger has."""
     closed_here = (F.col("service_code") == "N7") & (F.col("est_en_cours") == 0)
     layers = {
         "kpi": (built.kpis(f)["kpi_mortalite_service"], F.col("service_code") == "N7"),
         "fait": (built.gold(f)["fact_sejour"], closed_here),
         "silver": (built.silver(f)["sejours"], closed_here),
         "registre": (built.register(f), F.col("source") == "sejours"),
+        "bronze": (built.warehouse(f).read("bronze", "sejours"), F.col("service_code") == "N7"),
     }
-    return publish.lineage_walk(layers).drop("run_id")
+    runs = built.warehouse(f).read("ops", "executions").select("run_id").distinct()
+    # The name of a run is drawn anew each time, so it is shown by being in the ledger: no row may be lost here.
+    return publish.lineage_walk(layers).join(runs, "run_id").drop("run_id")
+
+
+@entry(
+    "state_days",
+    """SELECT CAST(jour AS VARCHAR) AS jour, CASE WHEN jour_du_mois % 3 = 0 THEN 'en attente' ELSE 'ingéré' END AS etat
+       FROM (SELECT DISTINCT CAST(ts AS DATE) AS jour, day(ts) AS jour_du_mois FROM events)""",
+)
+def state_days(f):
+    """Days of the drops in the report of a warehouse that has loaded two of three."""
+    home = Warehouse(f.spark, new_folder(f.spark, "days"))
+    rows = f.bronze_monitoring.where(F.dayofmonth("_jour_depot") % 3 != 0)
+    home.replay("bronze", "monitoring", rows, [r[0] for r in rows.select("_jour_depot").distinct().collect()])
+    home.append("ops", "executions", f.spark.createDataFrame([], LEDGER))
+    days = f.table("events").select(F.to_date("ts").alias("jour")).distinct()
+    files = days.select(
+        F.lit("monitoring").alias("feed"), "jour", F.lit("monitoring.parquet").alias("fichier"),
+        F.concat(F.lit("/drops/"), F.col("jour").cast("string")).alias("chemin"), F.lit(1).cast("bigint").alias("taille"))
+    report = publish.state_report(home, files=files).where("section = 'jours'")
+    return report.select(F.col("cle").alias("jour"), F.col("valeur").alias("etat"))
+
+
+@entry(
+    "key_paths",
+    """SELECT DISTINCT event_type, cle AS chemin, 1 AS profondeur,
+              CASE json_type(props, '$.' || cle) WHEN 'UBIGINT' THEN 'long' WHEN 'BIGINT' THEN 'long'
+                   WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' ELSE json_type(props, '$.' || cle) END AS type
+       FROM (SELECT event_type, props, unnest(json_keys(props)) AS cle FROM events)""",
+)
+def key_paths(f):
+    """Keys of the JSON that events carry, with their depth and type, by kind of event."""
+    return drops.key_paths(f.table("events"), "props", "event_type")

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from lamina.operators.cells import k_profile, share_within
+from lamina.operators.cells import hiding, share_within
 from lamina.operators.rules import Rule, judge, kept, rejects
 from lamina.operators.versions import latest_version, superseded_versions
 from lamina.operators.windows import pairs_within, presence_by_day, returns_within
@@ -138,5 +138,6 @@ def test_shares_sum_to_a_hundred(spark):
 
 def test_k_profile_classes(spark):
     data = [("x",)] * 5 + [("y",)] * 4 + [("z",)]
-    got = k_profile(spark.createDataFrame(data, "q string"), [F.col("q")])
-    assert rows(got) == [("k = 1", 1, 1, 10.0), ("k = 2..4", 1, 4, 40.0), ("k >= 5", 1, 5, 50.0)]
+    got = hiding(spark.createDataFrame(data, "q string"), [F.col("q")])
+    assert rows(got) == [(10, 3, 1, 1, 5, 50.0)]
+    assert rows(hiding(spark.createDataFrame([], "q string"), [F.col("q")])) == [(0, 0, None, 0, 0, 0.0)]
