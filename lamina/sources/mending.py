@@ -106,7 +106,10 @@ def records(spark: SparkSession, paths: list[str]) -> DataFrame:
     known = known.withColumn("_premier", (F.col("_bloc") == 0) & F.col("_nr").eqNullSafe(written)).withColumn(
         "_tete", F.last(head, True).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
 
-    alone = known.where("_etat = 0 AND _apres = 0").select("_fichier", "_premier", F.rtrim("_ligne", F.lit("\r")).alias("_texte"))
+    # How a file's first line ends is how its lines end: one row for each file.
+    ending = lines.where("_bloc = 0").groupBy("_fichier").agg(
+        F.min_by(F.col("_ligne").endswith("\r"), "_nr").alias("_retour"))
+    alone = known.where("_etat = 0 AND _apres = 0").select("_fichier", "_premier", F.col("_ligne").alias("_texte"))
     # A record of several lines is named by its first, which for lines at the start of a block is the last
     # that began one in the blocks before: one row for each block tells.
     heads = known.groupBy("_fichier", "_bloc").agg(F.max(head).alias("_derniere"))
@@ -116,6 +119,9 @@ def records(spark: SparkSession, paths: list[str]) -> DataFrame:
     named = several.withColumn("_nom", F.coalesce("_tete", "_avant"))
     joined = named.groupBy("_fichier", "_nom").agg(
         F.array_sort(F.collect_list(F.struct(*ORDER, "_ligne"))).alias("_lignes"), F.max("_premier").alias("_premier"))
-    mended = joined.select(
-        "_fichier", "_premier", F.rtrim(F.array_join("_lignes._ligne", "\n"), F.lit("\r")).alias("_texte"))
-    return alone.where(F.trim("_texte") != "").unionByName(mended)  # a file that ends inside quotes ends its record
+    # A file that ends inside quotes ends its record.
+    mended = joined.select("_fichier", "_premier", F.array_join("_lignes._ligne", "\n").alias("_texte"))
+    plain = F.regexp_replace("_texte", "\r(\n|$)", "$1")
+    every = alone.unionByName(mended).join(ending, "_fichier").withColumn(
+        "_texte", F.when(F.col("_retour"), plain).otherwise(F.col("_texte")))
+    return every.where(F.trim("_texte") != "").drop("_retour")

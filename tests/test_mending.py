@@ -81,4 +81,4 @@ def test_breaks_of_other_kinds_and_blank_lines(spark, tmp_path, limit):
         got = {r.id: r.x for r in drops.read_csv(spark, [file], {file: ("id", "x")}).collect()}
     finally:
         spark.conf.set(key, before)
-    assert got == {"1": "a\r\nb", "2": "c", "3": "open\r\nto the end"}
+    assert got == {"1": "a\nb", "2": "c", "3": "open\nto the end"}
