@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import SparkSession
 
@@ -40,9 +41,17 @@ def start(master: str, name: str = "lamina", **settings: str) -> SparkSession:
 
 
 def work_root(spark: SparkSession) -> str:
-    """Folder for written tables that all executors see: `spark.checkpoint.dir`, else one in the warehouse."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_work"
-    return shared.rstrip("/")
+    """Folder for written tables that all executors see: `spark.checkpoint.dir`, else one in the warehouse.
+
+    A warehouse on the driver's own disk is no such folder on a cluster, and is refused there.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared.rstrip("/")
+    home = spark.conf.get("spark.sql.warehouse.dir")
+    if urlparse(home).scheme in ("", "file") and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
+    return f"{home.rstrip('/')}/_work"
 
 
 def new_folder(spark: SparkSession, label: str) -> str:

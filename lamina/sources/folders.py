@@ -8,6 +8,7 @@ readers and writers, whose commit also moves a file into place as its last step.
 from __future__ import annotations
 
 import uuid
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession, functions as F
@@ -31,7 +32,8 @@ def names(spark: SparkSession, folder: str) -> list[str]:
             files = spark.read.schema("value string").text(folder).inputFiles()
         except AnalysisException:
             return []
-        return sorted({f.split(folder.rpartition("/")[2] + "/", 1)[1].split("/")[0] for f in files})
+        last = "/" + folder.rpartition("/")[2] + "/"
+        return sorted({unquote(f).rsplit(last, 1)[1].split("/")[0] for f in files})
     path, system = found
     if not system.exists(path):
         return []

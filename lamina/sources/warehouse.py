@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from lamina.contract import DISCARDED, KEPT, LEDGER
-from lamina.session import new_folder
+from lamina.session import new_folder, prepare
 from lamina.sources.folders import get_text, hadoop, names, put_text
 
 LOG = logging.getLogger(__name__)
@@ -79,6 +79,9 @@ class Warehouse:
     # Log lines already read, by their file: a line never changes.
     lines: dict = field(default_factory=dict, compare=False)
 
+    def __post_init__(self):
+        prepare(self.spark)
+
     def path(self, layer: str, table: str) -> str:
         return f"{self.root}/{layer}/{table}"
 

@@ -9,6 +9,7 @@ from lamina.contract import BRONZE, REFERENCES
 from lamina.operators.windows import returns_within, starts_told, time_slot
 from lamina.plans import incremental, run
 from lamina.sources.bronze import conform
+from lamina.sources import folders
 from lamina.sources.warehouse import LOT, Warehouse, changed_rows
 
 from conftest import rows
@@ -232,6 +233,23 @@ def test_a_killed_write_leaves_the_old_table(spark, tmp_path, monkeypatch):
     assert numbers(home) == sorted([(0, days[0]), (1, days[1]), (2, days[2]), (5, days[2]), (8, days[2])])
 
 
+def test_versions_without_a_file_system_at_hand(spark, tmp_path, monkeypatch):
+    """As under Spark Connect: lines are listed and written by Spark itself, and mean the same."""
+    home = Warehouse(spark, str(tmp_path / "catalog log"))
+    df = spark.createDataFrame([(k, date(2026, 1, 1 + k % 2)) for k in range(4)], "v int, _jour_depot date")
+    home.replace("silver", "t", spark.range(2))
+    with monkeypatch.context() as patch:
+        patch.setattr(folders, "hadoop", lambda *a: None)
+        other = Warehouse(spark, home.root)
+        assert other.version("silver", "t") == 1 and other.version("silver", "u") == 0 and not other.has("silver", "u")
+        other.replace("silver", "t", spark.range(5))
+        assert other.read("silver", "t").count() == 5 and other.version("silver", "t") == 2
+        other.replay("bronze", "d", df, [date(2026, 1, 1), date(2026, 1, 2)])
+        other.replay("bronze", "d", df.limit(0), [date(2026, 1, 2)])
+    assert home.read("silver", "t").count() == 5
+    assert rows(home.read("bronze", "d")) == [(0, date(2026, 1, 1)), (2, date(2026, 1, 1))]
+
+
 def test_readers_keep_the_version_they_opened(spark, tmp_path):
     home = Warehouse(spark, str(tmp_path))
     home.replace("silver", "t", spark.range(3))
