@@ -38,7 +38,7 @@ def names(spark: SparkSession, folder: str) -> list[str]:
     if not system.exists(path):
         return []
     shown = (status.getPath().getName() for status in system.listStatus(path))
-    return sorted(name for name in shown if not name.startswith((".", "_")))
+    return sorted(name for name in shown if not name.startswith(".") and ("=" in name or not name.startswith("_")))
 
 
 def put_text(spark: SparkSession, folder: str, text: str) -> str:

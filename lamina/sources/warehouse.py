@@ -27,7 +27,6 @@ import re
 import time
 import uuid
 from dataclasses import dataclass, field
-from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
@@ -199,8 +198,7 @@ class Warehouse:
             parts = [ident]
         else:
             df.write.partitionBy(column).parquet(folder)
-            files = self.spark.read.schema(df.schema).parquet(folder).inputFiles()
-            parts = sorted({ident + "/" + unquote(f).split(f"/{ident}/", 1)[1].rpartition("/")[0] for f in files})
+            parts = [f"{ident}/{name}" for name in names(self.spark, folder) if "=" in name]
         whole, number = [ident] if parts else [], old.number + 1 if old else 1
         if values is not None and old:
             renewed = set(values)
