@@ -110,7 +110,8 @@ def los_by_band(stays: DataFrame, dim_service: DataFrame) -> DataFrame:
 
 def kpi_urgences_jour(stays: DataFrame, emergency: str = EMERGENCY_SERVICE) -> DataFrame:
     """Two readings side by side: the emergency service, and the urgent admission mode."""
-    sums = [column.alias(name) for name, column in stay_sums(emergency).items()]
+    wanted = ("nb_sejours", "nb_urgents", "nb_ici", "nb_ici_presents", "nb_ici_clos", "minutes_ici")
+    sums = [column.alias(name) for name, column in stay_sums(emergency).items() if name in wanted]
     return urgences_from(stays.groupBy(F.col("date_admission").alias("jour")).agg(*sums))
 
 
