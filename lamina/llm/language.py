@@ -11,12 +11,15 @@ Learning uses a bounded sample: `excerpts` texts of each language, those whose
 hash comes first, and of each the `letters` letters around its middle. So the
 automata have at most 2 * excerpts * (letters + 1) states each, and what a task
 holds does not grow with the corpus. Letters are lower-cased, everything else
-is a space and spaces run together. Of each language the `ALPHABET` most
-frequent letters of the sample are known, all others count as unseen.
+is a space and spaces run together. Every letter of the sample is known; the
+most frequent ones have columns in a table of `CELLS` cells, the transitions of
+the others are looked up in a sorted list.
 
-Whole texts are parsed, in blocks of `BLOCK` letters: a phrase ends with its
-block, which costs every language the same. Blocks go on side by side, one
-letter of all of them at a time, through one table of all automata.
+Whole texts are parsed as one sequence each, however long. To go on side by
+side, a text is divided into blocks of `BLOCK` letters; each begins in the state
+in which a parse of the `WARM` letters before it ends, and is parsed again where
+the block before it turns out to end in another. So the phrases are those of
+the parse from left to right, wherever blocks end.
 
 A text that is NULL or without a letter is `und`, with score 0. The score is how
 much the second-best language exceeds the best in phrases, as a share of the
@@ -36,8 +39,9 @@ from lamina.llm.common import all_but, bounded_batches, free_name, held, map_row
 UNDETERMINED = "und"
 EXCERPTS = 100
 LETTERS = 160
-ALPHABET = 255
+CELLS = 1 << 25
 BLOCK = 256
+WARM = 64
 LANES = 1 << 14
 
 
@@ -93,45 +97,60 @@ def automaton(text: list[int]) -> list[dict[int, int]]:
 
 
 class Parser:
-    """All languages' automata in one table.
+    """All languages' automata in one table, with a list for rare letters.
 
     Row state * width + symbol holds four times the row of the next state, plus
     the phrases that this symbol completes: the one before it if it does not go
     on, and the symbol itself if the language does not have it. Symbol 0 is a
     space, `width` - 2 an unseen letter, and `width` - 1 no symbol at all, which
-    leaves the state.
+    leaves the state. Symbols from `width` on are the letters without a column.
     """
 
-    def __init__(self, samples: dict[str, list[str]]):
-        self.samples = samples
+    def __init__(self, samples: dict[str, list[str]], cells: int = CELLS):
+        self.samples, self.cells = samples, cells
         self.names = sorted(samples)
         texts = {name: [letters_of(t) for t in samples[name]] for name in self.names}
-        known = set()
+        everything = [own for name in self.names for own in texts[name]]
+        codes, counts = np.unique(np.concatenate([*everything, np.zeros(0, np.uint32)]), return_counts=True)
+        letters = codes[np.argsort(-counts, kind="stable")]
+        letters = letters[letters > 0]
+        rank = np.zeros(0x110000, np.int64)
+        rank[letters] = np.arange(1, len(letters) + 1)
+        automata = []
         for name in self.names:
-            codes, counts = np.unique(np.concatenate([*texts[name], np.zeros(0, np.uint32)]), return_counts=True)
-            known.update(codes[np.argsort(-counts, kind="stable")][:ALPHABET].tolist())
-        known.discard(0)
-        letters = sorted(known)
-        self.width = len(letters) + 3
+            joined: list[int] = []
+            for own in texts[name]:
+                joined += rank[own].tolist() + [0]
+            automata.append(automaton(joined))
+        dense = min(len(letters), cells // max(1, sum(map(len, automata))))
+        self.width = dense + 3
         self.symbol = np.full(0x110000, self.width - 2, np.int32)
         self.symbol[0] = 0
-        self.symbol[letters] = np.arange(1, len(letters) + 1)
-        self.tables, self.roots = self.build(texts)
+        number = np.arange(1, len(letters) + 1)
+        self.symbol[letters] = np.where(number <= dense, number, number + 2)
+        self.build(automata, dense, len(letters) - dense)
 
     def __reduce__(self):
-        return parser_of, (tuple((n, tuple(self.samples[n])) for n in self.names),)
+        return parser_of, (tuple((n, tuple(self.samples[n])) for n in self.names), self.cells)
 
-    def build(self, texts: dict[str, list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    def build(self, automata: list[list[dict[int, int]]], dense: int, rare: int) -> None:
         parts, roots, base = [], [], 0
-        width, unseen = self.width, self.width - 2
-        for name in self.names:
-            joined: list[int] = []
-            for own in texts[name]:
-                joined += self.symbol[own].tolist() + [0]
-            moves = automaton([s for s in joined if s != unseen])
+        width = self.width
+        keys: list[int] = []
+        values: list[int] = []
+        self.span = width + rare
+        self.fresh = np.full((len(automata), rare), -1, np.int64)
+        for language, moves in enumerate(automata):
             table = np.full((len(moves), width), -1, np.int64)
             for state, out in enumerate(moves):
-                table[state, list(out)] = list(out.values())
+                for symbol, target in out.items():
+                    if symbol <= dense:
+                        table[state, symbol] = target
+                    else:
+                        keys.append((base + state) * self.span + symbol + 2)
+                        values.append((base + target) * width)
+                        if state == 0:
+                            self.fresh[language, symbol - dense - 1] = (base + target) * width
             absent = table[0] < 0
             fresh = np.where(absent, 0, table[0])
             done = (table < 0).astype(np.int64)
@@ -142,17 +161,34 @@ class Parser:
             roots.append(base * width)
             base += len(moves)
         kind = np.int32 if base * width * 4 < 1 << 31 else np.int64
-        return np.concatenate(parts or [np.zeros(0)]).astype(kind), np.array(roots, kind)
-
-    def phrases(self, blocks: np.ndarray) -> np.ndarray:
-        """Phrases (languages x blocks) of blocks given as columns of symbols."""
-        state = np.repeat(self.roots[:, None], blocks.shape[1], axis=1)
+        self.tables, self.roots = np.concatenate(parts or [np.zeros(0)]).astype(kind), np.array(roots, kind)
+        order = np.argsort(np.array(keys, np.int64))
+        self.keys, self.next = np.array(keys, np.int64)[order], np.array(values, np.int64)[order]
+
+    def beyond(self, state: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states (languages x lanes) at letters without a column, and the phrases these complete."""
+        key = state.astype(np.int64) // self.width * self.span + symbols[None, :]
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        goes_on = self.keys[at] == key
+        root = self.roots[:, None]
+        fresh = self.fresh[:, symbols - self.width]
+        done = (~goes_on & (state != root)).astype(np.int32) + (fresh < 0)
+        return np.where(goes_on, self.next[at], np.where(fresh < 0, root, fresh)), done
+
+    def phrases(self, blocks: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases (languages x blocks) that end in blocks given as columns of symbols, and the states after them."""
         count = np.zeros(state.shape, np.int32)
-        for row in blocks:
-            step = self.tables.take(state + row[None, :])
+        far = (blocks >= self.width).any(axis=1)
+        for row, some in zip(blocks, far.tolist()):
+            step = self.tables.take(state + (np.minimum(row, self.width - 1) if some else row)[None, :])
             count += step & 3
-            state = step >> 2
-        return count + (state != self.roots[:, None])
+            after = step >> 2
+            if some:
+                lanes = np.flatnonzero(row >= self.width)
+                after[:, lanes], done = self.beyond(state[:, lanes], row[lanes])
+                count[:, lanes] += done
+            state = after
+        return count, state
 
     def count(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases (languages x texts) and letters of each text."""
@@ -161,17 +197,40 @@ class Parser:
         sizes = np.array([-(-len(s) // BLOCK) for s in symbols], np.int64)
         total = np.zeros((len(self.names), len(texts)), np.int64)
         owner = np.repeat(np.arange(len(texts)), sizes)
+        if not len(owner) or not self.names:
+            return total, letters
         flat = np.full(int(sizes.sum()) * BLOCK, self.width - 1, np.int32)
         at = 0
         for own, size in zip(symbols, sizes.tolist()):
             flat[at:at + len(own)] = own
             at += size * BLOCK
         blocks = flat.reshape(-1, BLOCK)
-        for start in range(0, len(blocks), LANES):
-            piece = blocks[start:start + LANES]
-            found = self.phrases(np.ascontiguousarray(piece.T))
-            for language in range(len(self.names)):
-                np.add.at(total[language], owner[start:start + LANES], found[language])
+
+        def parsed(which, columns, entry):
+            found = [
+                self.phrases(np.ascontiguousarray(blocks[which[k:k + LANES], columns].T), entry[:, k:k + LANES])
+                for k in range(0, len(which), LANES)]
+            return [np.concatenate(side, axis=1) for side in zip(*found)]
+
+        entry = np.repeat(self.roots[:, None], len(blocks), axis=1)
+        later = np.flatnonzero(owner[1:] == owner[:-1]) + 1
+        if len(later):
+            entry[:, later] = parsed(later - 1, slice(BLOCK - WARM, BLOCK), entry[:, later])[1]
+        ended, state = parsed(np.arange(len(blocks)), slice(0, BLOCK), entry)
+        rounds = 0
+        while True:
+            wrong = later[(entry[:, later] != state[:, later - 1]).any(axis=0)]
+            if not len(wrong):
+                break
+            rounds += 1
+            if rounds > 4:  # a parse that does not fall into step: its next block only, as those after it will change
+                wrong = wrong[np.r_[True, owner[wrong][1:] != owner[wrong][:-1]]]
+            entry[:, wrong] = state[:, wrong - 1]
+            ended[:, wrong], state[:, wrong] = parsed(wrong, slice(0, BLOCK), entry[:, wrong])
+        for language in range(len(self.names)):
+            np.add.at(total[language], owner, ended[language])
+        filled = np.flatnonzero(sizes)
+        total[:, filled] += state[:, np.cumsum(sizes)[filled] - 1] != self.roots[:, None]
         return total, letters
 
     def judge(self, texts: list[str]) -> list[tuple[str, float]]:
@@ -192,21 +251,27 @@ class Parser:
         return out
 
 
-def parser_of(samples: tuple) -> Parser:
+def parser_of(samples: tuple, cells: int) -> Parser:
     """The parser of this process, built from the sampled texts."""
-    return held(("parser", samples), lambda: Parser({name: list(texts) for name, texts in samples}))
+    return held(("parser", samples, cells), lambda: Parser({name: list(texts) for name, texts in samples}, cells))
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", excerpts: int = EXCERPTS,
         letters: int = LETTERS) -> Parser:
     """A parser of the languages in `lang`, from at most `excerpts` * `letters` letters for each.
 
-    Spark keeps the first excerpts of each language in each task before it
-    brings them together, so a language with most of the rows is no hot key.
+    A hash below a threshold draws some eight times as many different texts as
+    are kept, whatever the size of the language; only their excerpts are shuffled.
     """
     bounded_batches(docs.sparkSession)
-    wanted = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
+    wanted = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
         F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("place"))
+    sizes = wanted.groupBy("lang").agg(F.approx_count_distinct("place").alias("n")).collect()  # one row for each language
+    bounds = [F.lit(cell) for row in sizes if row["n"] > 8 * excerpts
+              for cell in (row["lang"], int((8 * excerpts / row["n"] - 0.5) * 2.0 ** 64))]
+    if bounds:  # `first` in the order of the hash, so what lies beyond the threshold would not be kept anyway
+        bound = F.create_map(*bounds)[F.col("lang")]
+        wanted = wanted.where(bound.isNull() | (F.col("place") <= bound))
 
     def cut(piece):
         out: list[list] = [[], [], []]

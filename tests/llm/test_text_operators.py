@@ -200,26 +200,50 @@ TRAIN = {
 def brute_phrases(text, sample):
     joined = " ".join(re.sub(r"[^a-zé]+", " ", s.lower()).strip() for s in sample) + " "
     letters = re.sub(r"[^a-zé]+", " ", text.lower()).strip(" ")
-    total = 0
-    for start in range(0, len(letters), language.BLOCK):
-        block, at = letters[start:start + language.BLOCK], 0
-        while at < len(block):
-            size = 1
-            while at + size < len(block) and block[at:at + size + 1] in joined and block[at:at + size] in joined:
-                size += 1
-            at, total = at + size, total + 1
+    at = total = 0
+    while at < len(letters):
+        size = 1
+        while at + size < len(letters) and letters[at:at + size + 1] in joined and letters[at:at + size] in joined:
+            size += 1
+        at, total = at + size, total + 1
     return total
 
 
-def test_phrases_equal_brute_force():
-    parser = language.Parser(TRAIN)
-    texts = ["tumba grelk rolo", "mitakansi strofen qqq mjauk zé", "é", "rolo " * 200, "Tumba, rolo! 77 mita"]
+@pytest.mark.parametrize("cells", [language.CELLS, 0, 1500])
+def test_phrases_equal_brute_force(cells):
+    parser = language.Parser(TRAIN, cells)
+    rng = np.random.default_rng(5)
+    words = ["tumba", "rolo", "mita", "kansi", "strofen", "mjauk", "grelk", "qqq", "zé"]
+    texts = [
+        "tumba grelk rolo", "mitakansi strofen qqq mjauk zé", "é", "rolo " * 200, "Tumba, rolo! 77 mita", "", "7",
+        (TRAIN["xx"][0] + " ") * 40,  # longer than the sample's repeats: borders of phrases that never fall into step
+        *[" ".join(rng.choice(words, n)) for n in (40, 300, 2000)],
+    ]
     total, letters = parser.count(texts)
     for row, name in enumerate(parser.names):
         assert total[row].tolist() == [brute_phrases(t, TRAIN[name]) for t in texts]
     assert letters.tolist() == [sum(map(str.isalpha, t)) for t in texts]
 
 
+def test_every_letter_of_a_large_alphabet_is_known():
+    own = "".join(map(chr, range(0x4E00, 0x4E00 + 900)))
+    full, tight = (language.Parser({"han": [own], "xx": TRAIN["xx"]}, cells) for cells in (language.CELLS, 50_000))
+    texts = [own, own[300:700], own[::-1], own[:3] + "tumba" + own[500:503], "丂" * 700]
+    assert tight.width < full.width
+    for parser in (full, tight):
+        total, _ = parser.count(texts)
+        assert total[0].tolist() == [1, 1, 900, 7, 700]
+        assert total[1].tolist() == [900, 400, 900, 7, 700]
+
+
+def test_excerpts_of_a_large_language_are_the_first_by_hash(spark):
+    rows = spark.range(6000).selectExpr("concat('tumba rolo ', id) AS text", "IF(id % 3 = 0, 'xx', 'yy') AS lang")
+    parser = language.fit(rows, excerpts=20)
+    order = rows.orderBy("lang", F.xxhash64("text")).collect()
+    for name in ("xx", "yy"):
+        assert parser.samples[name] == [r["text"] for r in order if r["lang"] == name][:20]
+
+
 def test_languages(spark, awkward, nothing):
     rows = [(k, (TRAIN[n][0] + f"{k}"), n, None, 0) for k, n in enumerate(["xx", "yy"] * 4)]
     labelled = spark.createDataFrame(rows + [(99, "ignored text", None, None, 0)], DOCS)
