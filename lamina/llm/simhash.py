@@ -33,6 +33,7 @@ TILE = 2048
 PARTS = 4
 SHORT = 64
 LOSS = 1e-6
+FEW = 16
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -74,26 +75,31 @@ def majority(hashes: np.ndarray, lanes: int = 1) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, lanes: int = 1,
-                 distinct: bool = False) -> DataFrame:
+                 distinct: bool = False, few: int | None = None) -> DataFrame:
     """(id, fp: array of `lanes` longs, n: number of shingles) of every row.
 
-    With `distinct` a shingle that repeats counts once.
+    With `distinct` a shingle that repeats counts once. With `few` there is also grams: the shingles themselves
+    where there are no more than that many, else an empty array.
     """
     bounded_batches(docs.sparkSession)
 
     def work(piece):
-        fps, sizes = [], []
+        fps, sizes, grams = [], [], []
         for value in piece["text"].to_pylist():
             hashes = shingle_hashes(value, shingle)
             if distinct:
                 hashes = np.unique(hashes)
             fps.append(majority(hashes, lanes).view(np.int64))
             sizes.append(len(hashes))
-        return pa.RecordBatch.from_arrays(
-            [piece["id"], pa.array(fps, pa.list_(pa.int64())), pa.array(sizes, pa.int32())], ["id", "fp", "n"])
+            grams.append(hashes.view(np.int64) if len(hashes) <= (few or 0) else hashes[:0].view(np.int64))
+        columns = [piece["id"], pa.array(fps, pa.list_(pa.int64())), pa.array(sizes, pa.int32())]
+        if few is None:
+            return pa.RecordBatch.from_arrays(columns, ["id", "fp", "n"])
+        return pa.RecordBatch.from_arrays([*columns, pa.array(grams, pa.list_(pa.int64()))], ["id", "fp", "n", "grams"])
 
     chosen = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return map_rows(chosen, work, "text", "id long, fp array<long>, n int")
+    schema = "id long, fp array<long>, n int" + ("" if few is None else ", grams array<long>")
+    return map_rows(chosen, work, "text", schema)
 
 
 # ------------------------------------------------------------------- tiles
@@ -333,6 +339,28 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return map_rows(docs.select("id", "text"), work, "text", "id long, grams array<long>")
 
 
+def rare_sharing(sets: DataFrame, similarity: float) -> DataFrame:
+    """(left, right) that link any two of the rows (id, grams) whose sets have that similarity, and some more.
+
+    Of n shingles, two sets of similarity s have so many in common that the n - ceil(s * n) + 1 rarest of each
+    hold one that is in both. Rows are linked through the smallest id that has the shingle among its rarest, so
+    a frequent one gives a star, not pairs. Sets that share no rare shingle are never linked, however many, nor
+    are sets so small that only an equal one is similar.
+    """
+    sets = sets.where(F.size("grams") * F.lit(1 - similarity) >= F.lit(similarity - 1e-9))
+    each = written(sets.select("id", F.size("grams").alias("n"), F.explode("grams").alias("gram")), "few-shingles")
+    spread = each.groupBy("gram").agg(F.count(F.lit(1)).alias("rows"))
+    ranked = each.join(spread, "gram").groupBy("id", "n").agg(
+        F.array_sort(F.collect_list(F.struct("rows", "gram"))).alias("order"))
+    # 1e-9: a product such as 0.8 * 5 may come out above the whole number it is.
+    taken = F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - F.lit(1e-9)).cast("int") + 1
+    prefix = written(
+        ranked.select("id", F.explode(F.slice("order", F.lit(1), taken)).alias("rare"))
+        .where("rare.rows > 1").select("id", F.col("rare.gram").alias("gram")), "rare-shingles")
+    first = prefix.groupBy("gram").agg(F.min("id").alias("left"))
+    return prefix.join(first, "gram").where("id != left").select("left", F.col("id").alias("right"))
+
+
 def similar(own: list[np.ndarray], other: list[np.ndarray], similarity: float, step: int = 4096) -> np.ndarray:
     """Which pairs of sets have at least that Jaccard similarity, as a matrix; counted by products of incidence matrices."""
     both = np.intersect1d(np.concatenate(own), np.concatenate(other))
@@ -407,22 +435,32 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, l
     them in a million at most. Texts of up to 64 shingles differ in more and have
     radii wide enough for the same. Sizes prune too: sets of
     similarity 0.8 differ in size by a quarter at most, so only neighbouring
-    size classes meet, as well as only neighbouring classes of bit counts. The
-    groups that near fingerprints make are then split by exact similarity.
+    size classes meet, as well as only neighbouring classes of bit counts. A
+    text of `FEW` distinct shingles or fewer is found by a rare shingle that a
+    similar text must share, which loses nothing: radii for so few would hold
+    unrelated texts near. The groups of candidates are then split by exact
+    similarity.
     """
-    points = written(fingerprints(docs, "id", "text", shingle, lanes, distinct=True), "fingerprints")
-    folded = written(points.groupBy("fp").agg(F.min("id").alias("id"), F.max("n").alias("n")), "distinct-fingerprints")
+    points = written(fingerprints(docs, "id", "text", shingle, lanes, distinct=True, few=int(FEW / similarity + 1e-9)),
+                     "fingerprints")
+    # Equal fingerprints are one row. Of texts of few shingles equal fingerprints do not tell equal sets.
+    folded = written(points.groupBy("fp", "grams").agg(F.min("id").alias("id"), F.max("n").alias("n")),
+                     "distinct-fingerprints")
+    sparse = rare_sharing(folded.where(F.size("grams") > 0).select("id", "grams"), similarity)
     size_class = F.when(F.col("n") > 0, F.floor(F.log(F.col("n").cast("double")) / float(-np.log(similarity))))
     bits = sum((F.bit_count(F.col("fp")[i]) for i in range(1, lanes)), F.bit_count(F.col("fp")[0]))
     wide = radii(radius, 64 * lanes, similarity)
     cell = [F.coalesce(size_class, F.lit(-9)), F.floor(bits / F.lit(int(wide.max()) + 1))]
-    packed = written(tiles(folded, cell, tile), "tiles")
+    packed = written(tiles(folded.where(F.col("n") > FEW).select("id", "fp", "n"), cell, tile), "tiles")
     offsets = [o for o in product((-1, 0, 1), repeat=2) if o >= (0, 0)]
-    near = written(compare(packed, tile_pairs(packed, offsets), lanes, Comparison(radius, ratio=similarity, wide=wide)), "links")
+    near = written(
+        compare(packed, tile_pairs(packed, offsets), lanes, Comparison(radius, ratio=similarity, wide=wide)).union(sparse),
+        "links")
     candidates = written(components(near, "candidates"), "candidate-groups")
     links = written(verified(candidates, docs, shingle, similarity), "verified")
-    named = folded.join(components(links), "id", "left").select("fp", F.coalesce("component", "id").alias("component"))
-    return points.join(named, "fp").select("id", "component")
+    named = folded.join(components(links), "id", "left").select(
+        "fp", "grams", F.coalesce("component", "id").alias("component"))
+    return points.join(named, ["fp", "grams"]).select("id", "component")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:

@@ -141,6 +141,41 @@ def test_near_copies_of_few_shingles_are_found(spark):
     assert {r.doc_id for r in kept} == set(range(0, len(texts), 2))
 
 
+def test_groups_of_short_texts_equal_all_pairs(spark):
+    rng = np.random.default_rng(11)
+    texts = ["", "", "one", "one two", "a b c d e f g h"]
+    for base in range(60):
+        words = [f"b{base}w{i}" for i in range(rng.integers(5, 30))]
+        # A shared ending makes frequent shingles, which similar texts may share and others do too.
+        words += ["this", "page", "was", "last", "seen", "here", "today"] * int(base % 3 == 0)
+        for _ in range(6):
+            copy = list(words)
+            for _ in range(rng.integers(0, 3)):
+                at = rng.integers(0, len(copy) + 1)
+                copy[at:at + rng.integers(0, 2)] = [f"x{rng.integers(0, 3)}"]
+            texts.append(" ".join(copy))
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    label = list(range(len(texts)))
+
+    def similar(a, b):
+        return a == b or len(a & b) >= 0.8 * len(a | b) - 1e-9
+
+    for x in range(len(texts)):
+        for y in range(x):
+            if similar(sets[x], sets[y]) and label[x] != label[y]:
+                low, high = sorted((label[x], label[y]))
+                label = [low if z == high else z for z in label]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r.id: r.component for r in simhash.similar_groups(docs).collect()}
+    assert got == dict(enumerate(label))
+
+
+def test_unrelated_short_texts_are_no_candidates(spark):
+    texts = [" ".join(f"k{k}w{i}" for i in range(8)) for k in range(50_000)] + ["k7w0 k7w1 k7w2 k7w3 k7w4 k7w5 k7w6 k7w7 end"]
+    sets = simhash.shingle_sets(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), 5)
+    assert [tuple(r) for r in simhash.rare_sharing(sets, 0.8).collect()] == [(7, 50_000)]
+
+
 def test_radii_lose_one_similar_pair_in_a_million():
     wide = simhash.radii(60, 256, 0.8)
     assert (wide >= 60).all() and wide[-1] == 60
