@@ -123,11 +123,19 @@ class Template:
 
 
 def closest(hits: list[tuple]) -> list[tuple]:
-    """Hits (template, first word, end, words paired) without those that overlap a closer one of their family."""
-    ranked = sorted(hits, key=lambda h: (-h[3], -h[3] / len(h[0].words)))
+    """Hits (template, first word, end, words paired) without those that overlap a closer one of their family.
+
+    Closer is who pairs more words, then a larger share of the template's; of equal ones the first in the text,
+    then by name.
+    """
+    ranked = sorted(hits, key=lambda h: (-h[3], -h[3] / len(h[0].words), h[1], h[0].name))
+    kept: dict[str, list[tuple[int, int]]] = {}  # by family, in order of the text; none overlaps another
     out: list[tuple] = []
     for hit in ranked:
-        if not any(h[0].family == hit[0].family and h[1] < hit[2] and hit[1] < h[2] for h in out):
+        taken = kept.setdefault(hit[0].family, [])
+        place = bisect_left(taken, (hit[1], hit[2]))
+        if (place == 0 or taken[place - 1][1] <= hit[1]) and (place == len(taken) or hit[2] <= taken[place][0]):
+            taken.insert(place, (hit[1], hit[2]))
             out.append(hit)
     return out
 

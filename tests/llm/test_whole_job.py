@@ -122,6 +122,25 @@ def test_whole_licences_are_found_under_their_own_names(spark):
         assert text.rstrip(".").endswith(ending) and row.end - row.start == len(text.rstrip("."))
 
 
+def test_the_closest_hits_equal_a_search_of_all():
+    rng = np.random.default_rng(8)
+    templates = [licenses.Template(name, text, 0.8) for name, text in licenses.TEMPLATES]
+    for _ in range(50):
+        hits = []
+        for _ in range(rng.integers(0, 40)):
+            template, start = templates[rng.integers(len(templates))], int(rng.integers(0, 300))
+            hits.append((template, start, start + int(rng.integers(1, 40)), int(rng.integers(1, 6))))
+        expected = []
+        for hit in sorted(hits, key=lambda h: (-h[3], -h[3] / len(h[0].words), h[1], h[0].name)):
+            if all(h[0].family != hit[0].family or h[2] <= hit[1] or hit[2] <= h[1] for h in expected):
+                expected.append(hit)
+        assert licenses.closest(hits) == expected
+    notice = dict(licenses.TEMPLATES)["cc-by-4.0-notice"]
+    [template] = [t for t in templates if t.name == "cc-by-4.0-notice"]
+    many = [(template, 100 * k, 100 * k + 50, 9) for k in range(50_000)]
+    assert notice and licenses.closest(many) == many  # not quadratic: this ends
+
+
 # ---------------------------------------------------------------- 2 near copies of short texts
 
 def differing(a, b):
