@@ -328,7 +328,9 @@ class Lattices:
     def grown(array: np.ndarray, size: int) -> np.ndarray:
         if size <= len(array):
             return array
-        return np.concatenate((array, np.zeros(max(size, len(array) * 3 // 2) - len(array), array.dtype)))
+        out = np.empty(max(size, len(array) * 3 // 2), array.dtype)  # what is not used yet takes no memory
+        out[:len(array)] = array
+        return out
 
     def draw(self, nodes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A path from each node to the end of its unit: all edges in order, and how many each path has."""
@@ -515,7 +517,7 @@ def encoded(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text"
 
     def run(batches):
         lattices = lattices_of(vocabulary)
-        for piece in slices(batches, "text", 2 << 20):
+        for piece in slices(batches, "text", 1 << 20):
             units, cuts, wanted = vocabulary.units_of(piece["text"])
             keys = piece["noise"].to_numpy(zero_copy_only=False).view(np.uint64)
             found = drawn(lattices, units, cuts, keys, k)
