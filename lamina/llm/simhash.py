@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lamina.llm.common import all_but, bounded_batches, map_rows, own_id, quoted, release, written
 
-TILE = 2048
+TILE = 8192
 PARTS = 4
 SHORT = 64
 LOSS = 1e-6
@@ -207,8 +207,8 @@ class Comparison:
     are longer; of two rows the wider radius holds.
     """
 
-    def __init__(self, radius: int, ratio: float = 0.0, rows: int = 64, wide: np.ndarray | None = None):
-        self.radius, self.ratio, self.rows, self.wide = radius, ratio, rows, wide
+    def __init__(self, radius: int, ratio: float = 0.0, block: int = 1 << 17, wide: np.ndarray | None = None):
+        self.radius, self.ratio, self.block, self.wide = radius, ratio, block, wide
 
     def reach(self, ns: np.ndarray) -> np.ndarray:
         return self.wide[np.minimum(ns, len(self.wide) - 1)].astype(np.uint16)
@@ -219,8 +219,9 @@ class Comparison:
         label = np.arange(len(ids_a) + len(ids_b))
         names = np.concatenate((ids_a, ids_b))
         limit = self.radius
-        for start in range(0, len(ids_a), self.rows):
-            stop = min(len(ids_a), start + self.rows)
+        rows = max(1, self.block // max(1, len(ids_b)))
+        for start in range(0, len(ids_a), rows):
+            stop = min(len(ids_a), start + rows)
             differ = np.zeros((stop - start, len(ids_b)), np.uint16)
             for lane in range(len(fps_a)):
                 differ += np.bitwise_count(fps_a[lane, start:stop, None] ^ fps_b[lane, None, :])
@@ -256,7 +257,7 @@ def compare(packed: DataFrame, pairs: DataFrame, lanes: int, comparison: Compari
     columns = ["ids", "fps", "ns"]
     first = packed.select(F.col("tile").alias("a"), *[F.col(c).alias(f"{c}_a") for c in columns])
     second = packed.select(F.col("tile").alias("b"), *[F.col(c).alias(f"{c}_b") for c in columns])
-    # The smaller table of names meets the tiles; a tile is at most a few dozen kilobytes.
+    # The smaller table of names meets the tiles; a tile is at most a few hundred kilobytes.
     both = pairs.join(first, "a").join(second, "b")
 
     def values(column, row):
@@ -476,10 +477,13 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **setting
     # Copies collapse in each task; written, as the text compared must be the text kept.
     single = written(docs.groupBy(own.alias("own"), content.alias("content")).agg(
         F.min_by(F.struct(*map(quoted, docs.columns)), others).alias("row")), "different-rows")
-    shared = single.groupBy("own").agg(F.min("content").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Written, so that Spark sees its size: ids of several texts are few as a rule, and then no text is shuffled.
+    shared = written(
+        single.groupBy("own").agg(F.min("content").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        .select("own", "first"), "shared-ids")
     number = F.when(F.col("first").isNull() | (F.col("first") == F.col("content")), F.col("own")).otherwise(
         (1 << 62) + F.xxhash64("own", "content").bitwiseAND((1 << 61) - 1))
-    named = single.join(shared.select("own", "first"), "own", "left").withColumn("id", number)
+    named = single.join(shared, "own", "left").withColumn("id", number)
     groups = similar_groups(
         named.select("id", F.coalesce(F.col("row").getField(text), F.lit("")).alias("text")), **settings)
     kept = written(groups.where("id = component").select("id"), "kept")
