@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lamina.session import new_folder
-from registry.feeds import Feeds
+from registry.feeds import CODE_KIND, Feeds
 
 SALT = b"sel de test"
 DAY_1, DAY_2 = "2001-08-01", "2001-08-02"
@@ -63,16 +63,16 @@ def write(f: Feeds, target: str) -> str:
         writer.csv(f"{target}/patients/{day}")
     stays = f.table("orders").selectExpr(*[f"{sql} AS {name}" for name, sql in STAY.items()])
     stays.write.option("header", True).csv(f"{target}/sejours/{DAY_1}")
-    codes = f.bronze_diagnostics.groupBy("stay_id").agg(
-        F.array_sort(
-            F.collect_list(F.struct("code_cim10", F.col("type_diag").alias("type"), F.lit("Dr X").alias("praticien")))
-        ).alias("diagnostics")
+    # By order, as the codes lie already. A stay named `X...` is that of no order.
+    item = F.struct(F.col("p_brand").alias("code_cim10"), F.expr(CODE_KIND).alias("type"), F.lit("Dr X").alias("praticien"))
+    codes = f.order_codes.where("l_orderkey % 101 <> 0").groupBy("l_orderkey").agg(
+        F.array_sort(F.collect_list(item)).alias("diagnostics")
     )
     # Stays without any code come with an empty array.
-    listed = f.table("orders").selectExpr("cast(o_orderkey AS string) AS stay_id").join(codes, "stay_id", "left")
-    listed.select("stay_id", F.coalesce("diagnostics", F.array()).alias("diagnostics")).write.json(
-        f"{target}/diagnostics/{DAY_1}"
-    )
+    listed = f.table("orders").select("o_orderkey").join(codes, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    listed.select(
+        F.col("o_orderkey").cast("string").alias("stay_id"), F.coalesce("diagnostics", F.array()).alias("diagnostics")
+    ).write.json(f"{target}/diagnostics/{DAY_1}")
     events = f.table("events").withColumn("jour", F.to_date("ts"))
     events.write.partitionBy("jour").parquet(f"{target}/monitoring")
     return target

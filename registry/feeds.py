@@ -19,6 +19,10 @@ from lamina.session import prepare
 
 BRANDS_WITHOUT_LABEL = "Brand#13"
 
+# Of `order_codes`: the stay of a diagnosis, one for each order, and its kind.
+CODED_STAY = "if(l_orderkey % 101 = 0, concat('X', l_orderkey), cast(l_orderkey AS string))"
+CODE_KIND = "if(principal, 'principal', 'associe')"
+
 # Declared, so that no footer is read before a query runs.
 SCHEMAS = {
     "region": "r_regionkey int, r_name string",
@@ -173,20 +177,31 @@ class Feeds:
         return self.order_stays.unionByName(self.carrier_stays)
 
     @cached_property
-    def bronze_diagnostics(self) -> DataFrame:
+    def order_codes(self) -> DataFrame:
+        """(l_orderkey, p_brand, line, principal): the first line of each brand of an order.
+
+        Lines are dealt by order once; the groups and the window above it need no further shuffle, and nothing is
+        sorted before it: hardly any two lines of a task's input are of one order and brand.
+        """
         line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
         codes = (
             self.table("lineitem")
             .join(self.table("part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+            .select("l_orderkey", "p_brand", line.alias("line"))
+            .repartition("l_orderkey")
             .groupBy("l_orderkey", "p_brand")
-            .agg(F.min(line).alias("line"))
+            .agg(F.min("line").alias("line"))
         )
         # One row per brand of an order by now: 25 at most.
         first = F.min("line").over(Window.partitionBy("l_orderkey"))
-        return codes.withColumn("principal", F.col("line") == first).selectExpr(
-            "if(l_orderkey % 101 = 0, concat('X', l_orderkey), cast(l_orderkey AS string)) AS stay_id",
+        return codes.withColumn("principal", F.col("line") == first)
+
+    @cached_property
+    def bronze_diagnostics(self) -> DataFrame:
+        return self.order_codes.selectExpr(
+            f"{CODED_STAY} AS stay_id",
             "p_brand AS code_cim10",
-            "if(principal, 'principal', 'associe') AS type_diag",
+            f"{CODE_KIND} AS type_diag",
             "to_date(line.l_shipdate) AS _jour_depot",
             "concat('lake/diagnostics/', to_date(line.l_shipdate), '/diagnostics.json') AS _fichier_source",
         )
