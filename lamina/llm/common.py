@@ -71,6 +71,24 @@ def own_id(key: str, text: str) -> Column:
     return F.coalesce(F.col(key).cast("long"), -1 - F.xxhash64(text).bitwiseAND((1 << 62) - 1))
 
 
+def repeated(rows: DataFrame, names: list[str]) -> DataFrame:
+    """(mark): 64 bits of the values of these columns that more than one row has, as a table whose size is known.
+
+    Different values may share a mark: it tells which rows need not be compared, never which are alike.
+    """
+    marks = rows.groupBy(F.xxhash64(*map(quoted, names)).alias("mark")).agg(F.count(F.lit(1)).alias("n"))
+    return written(marks.where("n > 1").select("mark"), "repeated")
+
+
+def with_mark(rows: DataFrame, names: list[str], marks: DataFrame, into: str) -> DataFrame:
+    """The rows, with true in `into` where the mark of these columns is among the marks, else NULL.
+
+    A small table of marks is sent to all tasks, and then no row is shuffled.
+    """
+    told = marks.select(F.col("mark").alias(f"{into}_mark"), F.lit(True).alias(into))
+    return rows.join(told, F.xxhash64(*map(quoted, names)) == F.col(f"{into}_mark"), "left").drop(f"{into}_mark")
+
+
 def open_folder(uri: str):
     """The Arrow file system of a folder, and the folder's path in it."""
     from pyarrow import fs

@@ -23,7 +23,9 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lamina.llm.common import all_but, bounded_batches, free_name, quoted, release, slices, written
+from lamina.llm.common import (
+    all_but, bounded_batches, free_name, quoted, release, repeated, slices, with_mark, written,
+)
 
 SPANS = "array<struct<start:int,end:int>>"
 LEDGER = f"blob string, rule string, version int, spans {SPANS}"
@@ -69,24 +71,6 @@ def address(text: str = "text") -> Column:
     return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
 
 
-def repeated(rows: DataFrame, blob: str) -> DataFrame:
-    """(mark): 64 bits of the addresses that more than one row has, as a table whose size is known.
-
-    Two addresses may share a mark: it tells which rows need not be compared, never which are alike.
-    """
-    marks = rows.groupBy(F.xxhash64(blob).alias("mark")).agg(F.count(F.lit(1)).alias("n"))
-    return written(marks.where("n > 1").select("mark"), "repeated")
-
-
-def with_mark(rows: DataFrame, blob: str, marks: DataFrame, into: str) -> DataFrame:
-    """The rows, with true in `into` where the mark of their address is among the marks, else NULL.
-
-    A small table of marks is sent to all tasks, and then no row is shuffled.
-    """
-    told = marks.select(F.col("mark").alias(f"{into}_mark"), F.lit(True).alias(into))
-    return rows.join(told, F.xxhash64(quoted(blob)) == F.col(f"{into}_mark"), "left").drop(f"{into}_mark")
-
-
 def pending(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...], text: str = "text") -> DataFrame:
     """One row for each blob that some rule has not seen: blob, text, and the numbers of those rules.
 
@@ -98,9 +82,9 @@ def pending(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ..
     def one_each(rows):
         # Only texts whose address comes again are shuffled; they collapse in each task before, so a blob with a
         # third of all rows is no hot key.
-        again = repeated(rows, "blob")
-        copies = with_mark(rows, "blob", again, "again").where("again").groupBy("blob").agg(F.first("text").alias("text"))
-        return with_mark(rows, "blob", again, "again").where("again IS NULL").select("blob", "text").unionByName(copies)
+        told = with_mark(rows, ["blob"], repeated(rows, ["blob"]), "again")
+        copies = told.where("again").groupBy("blob").agg(F.first("text").alias("text"))
+        return told.where("again IS NULL").select("blob", "text").unionByName(copies)
 
     if ledger is None:
         return one_each(addressed).withColumn("todo", F.array(*map(F.lit, everything)))
@@ -177,7 +161,7 @@ def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = R
     hits = written(hits.select(F.col("blob").alias(blob), F.col("found").alias(spans)), "hits")
     marks = written(hits.select(F.xxhash64(quoted(blob)).alias("mark")).distinct(), "marks")
     told = free_name(versions, "told")
-    marked = with_mark(versions.withColumn(blob, address(text)), blob, marks, told)
+    marked = with_mark(versions.withColumn(blob, address(text)), [blob], marks, told)
     none = F.array().cast(hits.schema[spans].dataType)
     kept = all_but(versions, into)
     joined = marked.where(quoted(told)).join(hits, blob, "left").select(*kept, F.coalesce(F.col(spans), none).alias(into))

@@ -27,7 +27,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from lamina.llm.common import all_but, bounded_batches, map_rows, own_id, quoted, release, written
+from lamina.llm.common import (
+    all_but, bounded_batches, map_rows, own_id, quoted, release, repeated, with_mark, written,
+)
 
 TILE = 8192
 PARTS = 4
@@ -464,6 +466,19 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, l
     return points.join(named, ["fp", "grams"]).select("id", "component")
 
 
+def different_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(own id, content: address of the text, row), one row of each id and text: of copies the first as JSON.
+
+    Only rows whose id and text come again are shuffled, and they collapse in each task before.
+    """
+    rows = docs.select(
+        own_id(key, text).alias("own"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("content"),
+        F.struct(*map(quoted, docs.columns)).alias("row"), F.to_json(F.struct(*all_but(docs, text))).alias("others"))
+    told = with_mark(rows, ["own", "content"], repeated(rows, ["own", "content"]), "again")
+    copies = told.where("again").groupBy("own", "content").agg(F.min_by("row", "others").alias("row"))
+    return told.where("again IS NULL").select("own", "content", "row").unionByName(copies)
+
+
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """The rows that remain when one row of each group of similar texts stays: the one of the smallest id.
 
@@ -472,11 +487,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **setting
     that their texts give. Rows without an id are told apart by their texts. Other columns may have any name.
     """
     bounded_batches(docs.sparkSession)
-    own, content = own_id(key, text), F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
-    others = F.to_json(F.struct(*all_but(docs, text)))
-    # Copies collapse in each task; written, as the text compared must be the text kept.
-    single = written(docs.groupBy(own.alias("own"), content.alias("content")).agg(
-        F.min_by(F.struct(*map(quoted, docs.columns)), others).alias("row")), "different-rows")
+    single = written(different_rows(docs, key, text), "different-rows")  # the text compared must be the text kept
     # Written, so that Spark sees its size: ids of several texts are few as a rule, and then no text is shuffled.
     shared = written(
         single.groupBy("own").agg(F.min("content").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -2,7 +2,7 @@
 
 from collections import Counter
 
-from lamina.llm import secrets
+from lamina.llm import secrets, simhash
 from lamina.llm.common import shared_folder
 
 SECRET = "password: abcdef123"
@@ -32,3 +32,13 @@ def test_only_texts_with_secrets_are_joined(spark):
     got = Counter((r.doc_id, r.told, tuple((s.start, s.kind) for s in r.found)) for r in found.collect())
     assert got == Counter({(1, "a", ((0, "assign"),)): 2, (2, None, ()): 1, (3, "b", ()): 1, (None, "c", ((2, "assign"),)): 1})
     assert "SortMergeJoin" not in plan(found)
+
+
+def test_only_repeated_rows_are_shuffled_to_be_told_apart(spark):
+    rows = [(1, "a", "fr"), (1, "a", "en"), (1, "b", "fr"), (2, "a", None), (None, "c", "x"), (None, "c", "x"), (3, None, "y"), (3, "", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    single = simhash.different_rows(docs, "doc_id", "text")
+    got = Counter((r.row.doc_id, r.row.text or "", r.row.lang) for r in single.collect())
+    assert got == Counter({(1, "a", "en"): 1, (1, "b", "fr"): 1, (2, "a", None): 1, (None, "c", "x"): 1, (3, "", "y"): 1})
+    alone = plan(single).split("Union")[1].split("SortAggregate")[0]
+    assert "BroadcastHashJoin" in alone and "hashpartitioning" not in alone
