@@ -23,13 +23,20 @@ def latest_version(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
     )
 
 
-def superseded_versions(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys of more than one row."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).drop("_n")
+
+
+def superseded_versions(df: DataFrame, keys: list[str], order: list[str], repeated: DataFrame | None = None) -> DataFrame:
     """The rows `latest_version` leaves out, exact copies counted in `nb_lignes`.
 
     Keys delivered once, nearly all of them, stop at a count of the key column.
     No window sees a whole key, and a key with most of the rows is split in both joins.
+    `repeated` holds the keys of several rows where they are at hand: a small table of
+    them is sent to all tasks, and rows of other keys are not shuffled.
     """
-    repeated = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).drop("_n")
+    repeated = repeated_keys(df, keys) if repeated is None else repeated
     versions = (
         df.join(repeated, keys, "left_semi").groupBy(*df.columns).agg(F.count(F.lit(1)).alias("nb_lignes"))
     )

@@ -292,7 +292,10 @@ def update_fact(warehouse: Warehouse, name: str, run_id: str, limits: AlertThres
         fact = star.fact_diagnostic(rows, patients)
     else:
         fact = star.fact_releve(rows, limits) if name == "fact_releve" else star.fact_acte(rows)
-    return warehouse.renew("gold_pilotage", name, run.in_months(name, fact, run_id), "_mois", months, known)
+    fact = run.in_months(name, fact, run_id)
+    if name in run.AGED:  # a join has dealt the rows out anew: the hint sizes files per month at run time
+        fact = fact.hint("rebalance", "_mois")
+    return warehouse.renew("gold_pilotage", name, fact, "_mois", months, known)
 
 
 def update_state(warehouse: Warehouse, fact: str) -> int | None:

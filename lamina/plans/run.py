@@ -184,13 +184,14 @@ def build_silver(warehouse: Warehouse, bronze: dict[str, DataFrame], run_id: str
         return warehouse.replace_judged(feed, built(silver.with_lot(feed, judged)), known[feed] | carrier)
 
     counts |= at_once({feed: lambda feed=feed: child(feed) for feed in CHILDREN})
+    repeated = warehouse.scratch(silver.repeated_stays(deliveries(bronze["sejours"])), "repeated-stays")
     parts = at_once({
         "patients": lambda: silver.register_of_patients(deliveries(bronze["patients"]), patients),
-        "versions": lambda: silver.register_of_versions(deliveries(bronze["sejours"])),
+        "versions": lambda: silver.register_of_versions(deliveries(bronze["sejours"]), repeated),
         **{feed: lambda feed=feed: silver.register_of_feed(feed, warehouse.judged(feed)) for feed in ("sejours", *CHILDREN)},
     })
     register = reduce(DataFrame.unionByName, parts.values())
-    register = built(register, "_rejected_at").hint("rebalance", LOT)
+    register = built(register, "_rejected_at")
     warehouse.replace("quarantaine", "rejets", register, LOT, register_sources(warehouse))
     return counts
 
@@ -217,13 +218,8 @@ def fact_sources(warehouse: Warehouse, name: str, limits: AlertThresholds) -> di
 
 
 def in_months(name: str, df: DataFrame, run_id: str) -> DataFrame:
-    """A fact with its month, stamped.
-
-    Where a join has dealt the rows out anew, the hint sizes files per month at run time and splits a month that is
-    too large. Other facts keep the files of their silver lots, which are the same months.
-    """
-    frame = stamped(df, run_id, "_built_at").withColumn("_mois", partition_month(F.col(FACT_MONTH[name])))
-    return frame.hint("rebalance", "_mois") if name in AGED else frame
+    """A fact with its month, stamped. Each task writes a file for each month it has: no fact is shuffled for its files."""
+    return stamped(df, run_id, "_built_at").withColumn("_mois", partition_month(F.col(FACT_MONTH[name])))
 
 
 DIMENSION_SOURCES = {

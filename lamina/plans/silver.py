@@ -13,7 +13,7 @@ from lamina.contract import CORRECTED, KEPT, PLAUSIBLE, SEX_DOMAIN, UNKNOWN
 from lamina.functions.measures import clock_text, default_label, duration_days, normalise_sex, partition_month
 from lamina.functions.parsing import is_blank
 from lamina.operators.rules import Rule, judge, rejects
-from lamina.operators.versions import latest_version, superseded_versions, version_order
+from lamina.operators.versions import latest_version, repeated_keys, superseded_versions, version_order
 from lamina.operators.windows import after_window, before_window, outside_window
 from lamina.sources.warehouse import LOT
 
@@ -122,9 +122,14 @@ def retained_stays(bronze: DataFrame) -> DataFrame:
     return latest_version(bronze, ["stay_id"], version_order(bronze, ["stay_id"], DELIVERY_ORDER))
 
 
-def replaced_stays(bronze: DataFrame) -> DataFrame:
+def repeated_stays(bronze: DataFrame) -> DataFrame:
+    """Ids of the stays delivered more than once."""
+    return repeated_keys(bronze, ["stay_id"])
+
+
+def replaced_stays(bronze: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
     """Earlier deliveries of a stay, for the register."""
-    older = superseded_versions(bronze, ["stay_id"], version_order(bronze, ["stay_id"], DELIVERY_ORDER))
+    older = superseded_versions(bronze, ["stay_id"], version_order(bronze, ["stay_id"], DELIVERY_ORDER), repeated)
     judged = older.withColumn("_motif", F.lit("version_remplacee")).withColumn("_detail", F.lit(REPLACED))
     return rejects(judged, "sejours", F.col("stay_id"))
 
@@ -239,14 +244,15 @@ def labelled(df: DataFrame, reference: DataFrame, code: str) -> DataFrame:
     return named.withColumn("libelle", F.coalesce("libelle", F.lit(UNKNOWN)))
 
 
-def carry_diagnostics(bronze: DataFrame, lookup: DataFrame) -> DataFrame:
-    return judge(with_stay(bronze, lookup), carrier_rules()).select("stay_id", "code_cim10", "type_diag", *CARRIED)
+# Labels are joined before the stays: where the codes are too many to be sent to all tasks, the rows are still narrow.
+
+
+def carry_diagnostics(bronze: DataFrame, lookup: DataFrame, *labels: str) -> DataFrame:
+    return judge(with_stay(bronze, lookup), carrier_rules()).select("stay_id", "code_cim10", "type_diag", *labels, *CARRIED)
 
 
 def judge_diagnostics(bronze: DataFrame, lookup: DataFrame, ref_cim10: DataFrame) -> DataFrame:
-    return labelled(carry_diagnostics(bronze, lookup), ref_cim10, "code_cim10").select(
-        "stay_id", "code_cim10", "type_diag", "libelle", *CARRIED
-    )
+    return carry_diagnostics(labelled(bronze, ref_cim10, "code_cim10"), lookup, "libelle")
 
 
 def judge_readings(bronze: DataFrame, lookup: DataFrame) -> DataFrame:
@@ -256,15 +262,13 @@ def judge_readings(bronze: DataFrame, lookup: DataFrame) -> DataFrame:
     )
 
 
-def carry_acts(bronze: DataFrame, lookup: DataFrame) -> DataFrame:
+def carry_acts(bronze: DataFrame, lookup: DataFrame, *labels: str) -> DataFrame:
     rules = [*carrier_rules(), window_rule("acte_hors_sejour", "acte_ts")]
-    return judge(with_stay(bronze, lookup), rules).select("stay_id", "code_ccam", "acte_ts", *CARRIED)
+    return judge(with_stay(bronze, lookup), rules).select("stay_id", "code_ccam", "acte_ts", *labels, *CARRIED)
 
 
 def judge_acts(bronze: DataFrame, lookup: DataFrame, ref_ccam: DataFrame) -> DataFrame:
-    return labelled(carry_acts(bronze, lookup), ref_ccam, "code_ccam").select(
-        "stay_id", "code_ccam", "acte_ts", "libelle", *CARRIED
-    )
+    return carry_acts(labelled(bronze, ref_ccam, "code_ccam"), lookup, "libelle")
 
 
 # ---- register keys ---------------------------------------------------------
@@ -294,10 +298,10 @@ def register_of_feed(feed: str, judged: DataFrame) -> DataFrame:
     return rejects(with_lot(feed, judged).withColumn(LOT, lot), feed, reject_key(feed), carry=[LOT])
 
 
-def register_of_versions(bronze: DataFrame) -> DataFrame:
+def register_of_versions(bronze: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
     """Earlier deliveries of stays, by the month they were delivered in."""
     lot = F.concat(F.lit(f"{VERSION_LOT}-"), partition_month(F.col("_jour_depot")))
-    return replaced_stays(bronze).withColumn(LOT, lot)
+    return replaced_stays(bronze, repeated).withColumn(LOT, lot)
 
 
 def register_of_patients(bronze: DataFrame, retained: DataFrame) -> DataFrame:

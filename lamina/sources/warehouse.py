@@ -193,11 +193,12 @@ class Warehouse:
         ident = f"{VERSION}={uuid.uuid4().hex[:12]}"
         folder = f"{self.path(layer, table)}/data/{ident}"
         old = self.snapshot(layer, table)
+        writer = df.write.option("compression", "zstd")
         if column is None:
-            df.write.parquet(folder)
+            writer.parquet(folder)
             parts = [ident]
         else:
-            df.write.partitionBy(column).parquet(folder)
+            writer.partitionBy(column).parquet(folder)
             parts = [f"{ident}/{name}" for name in names(self.spark, folder) if "=" in name]
         whole, number = [ident] if parts else [], old.number + 1 if old else 1
         if values is not None and old:
@@ -355,8 +356,11 @@ class Warehouse:
 
 
 def in_lots(df: DataFrame) -> DataFrame:
-    """Dealt out by lot, motifs together. The hint sizes files at run time and splits a lot that is too large."""
-    return df.hint("rebalance", LOT).sortWithinPartitions(LOT, "_motif")
+    """By lot within each task, motifs together: a whole feed is not shuffled for its files.
+
+    Each task writes a file for each lot it has, so files grow in number with the tasks, as the rows do.
+    """
+    return df.sortWithinPartitions(LOT, "_motif")
 
 
 def changed_rows(gone: DataFrame, come: DataFrame, columns: list[str]) -> DataFrame:

@@ -6,6 +6,8 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from lamina.plans import run, silver
+from lamina.sources.warehouse import in_lots
 from registry import dropped
 from registry.feeds import SCHEMAS, Feeds
 
@@ -57,3 +59,23 @@ def test_dropped_codes_are_those_of_the_feed(spark, tmp_path):
              {"code_cim10": "Brand#12", "type": "principal", "praticien": "Dr X"}]
     assert [(r.get("stay_id"), r["diagnostics"]) for r in listed] == [
         ("101", []), ("5", codes), ("5", codes), ("6", []), (None, [])]
+
+
+def test_no_feed_or_fact_is_shuffled_for_its_files(spark):
+    rows = spark.range(20).selectExpr(
+        "cast(id AS string) AS stay_id", "concat('2001', lpad(id % 12 + 1, 2, '0')) AS _lot",
+        "if(id % 3 = 0, 'retenu', 'x') AS _motif", "date_add(DATE'2001-01-01', cast(id * 20 AS int)) AS date_admission")
+    for made in (in_lots(rows), run.in_months("fact_sejour", rows, "r"), run.in_months("fact_diagnostic", rows, "r")):
+        assert made.count() == 20
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_replaced_deliveries_are_the_same_when_repeated_stays_are_at_hand(spark):
+    bronze = spark.createDataFrame(
+        [(k, p, DAY.date(), f) for k, p, f in (
+            ("a", "1", "f1"), ("a", "1", "f1"), ("a", "2", "f2"), ("b", "1", "f1"), (None, "1", "f1"), (None, "2", "f2"), ("c", "1", "f1"),
+            ("c", "1", "f1"))],
+        "stay_id string, patient_pseudo string, _jour_depot date, _fichier_source string")
+    plain, told = silver.register_of_versions(bronze), silver.register_of_versions(bronze, silver.repeated_stays(bronze))
+    assert sorted(map(str, plain.collect())) == sorted(map(str, told.collect()))
+    assert sorted((r.cle, r.nb_lignes) for r in told.collect()) == [("a", 2), ("c", 1)]
