@@ -581,16 +581,24 @@ def identity_inside(texts: DataFrame, identifiers: DataFrame, q: int = 5) -> Dat
     stretches = long.select("identifiant", F.explode(grams_of(F.col("identifiant"), q)).alias("bout"))
     own = texts.where(F.col("texte").isNotNull()).select(
         "origine", "ligne", "texte", F.xxhash64("texte").alias("empreinte"))
-    # Of the stretches of all texts only those that an identifier has go on.
-    held = own.select("origine", "ligne", "empreinte", F.explode(grams_of(F.col("texte"), q)).alias("bout")).join(
-        stretches.select("bout").distinct(), "bout", "left_semi")
+    # A text of fewer than `q` characters has no stretch, and holds no identifier that has one.
+    roomy = own.where(F.length("texte") >= q)
+    # Of the stretches of all texts only those that an identifier has go on, dealt out by text: they are cut and
+    # dealt once, for the counts and for the candidates, which are then where their text goes.
+    # Rows without a name, which no join would keep, are left out here, so that both uses read the same shuffle.
+    place = ["origine", "ligne", "empreinte"]
+    named = roomy.where(F.col("origine").isNotNull() & F.col("ligne").isNotNull())
+    held = named.select(*place, F.explode(grams_of(F.col("texte"), q)).alias("bout")).join(
+        stretches.select("bout").distinct(), "bout", "left_semi").where(F.col("bout").isNotNull()).select(
+        *place, "bout").repartition(*place)
     counted = held.groupBy("bout").agg(F.count(F.lit(1)).alias("nb"))
     # A stretch that no text holds is the rarest: its identifier stands nowhere.
     anchors = stretches.join(counted, "bout", "left").groupBy("identifiant").agg(
         F.min(F.struct(F.coalesce("nb", F.lit(0)).alias("nb"), "bout")).alias("ancre")
     ).where(F.col("ancre.nb") > 0).select("identifiant", F.col("ancre.bout").alias("bout"))
-    candidates = held.join(anchors, "bout").select("origine", "ligne", "empreinte", "identifiant").distinct()
-    inside = own.dropDuplicates(["origine", "ligne", "empreinte"]).join(candidates, ["origine", "ligne", "empreinte"]).where(
+    candidates = held.join(anchors, "bout").select(*place, "identifiant").distinct()
+    # Copies of a row meet the same candidates, and what is found is told apart at the end.
+    inside = roomy.join(candidates, place).where(
         F.contains("texte", "identifiant")).select("origine", "ligne", "identifiant")
     words = own.select("origine", "ligne", F.explode(F.array_distinct(words_of(F.col("texte")))).alias("identifiant")).join(
         wanted.where(F.length("identifiant") < q), "identifiant", "left_semi").select("origine", "ligne", "identifiant")

@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from lamina.plans import run, silver
+from lamina.plans import quality, run, silver
 from lamina.sources.warehouse import in_lots
 from registry import dropped
 from registry.feeds import SCHEMAS, Feeds
@@ -79,3 +79,13 @@ def test_replaced_deliveries_are_the_same_when_repeated_stays_are_at_hand(spark)
     plain, told = silver.register_of_versions(bronze), silver.register_of_versions(bronze, silver.repeated_stays(bronze))
     assert sorted(map(str, plain.collect())) == sorted(map(str, told.collect()))
     assert sorted((r.cle, r.nb_lignes) for r in told.collect()) == [("a", 2), ("c", 1)]
+
+
+def test_texts_are_cut_into_stretches_once(spark):
+    texts = spark.createDataFrame(
+        [("t", "1", "xLeroyx"), ("t", "1", "xLeroyx"), ("t", "2", "N"), ("t", None, "Leroy"), ("t", "3", "Lerox Leroyal")],
+        "origine string, ligne string, texte string")
+    names = spark.createDataFrame([("Leroy",), ("Leroyal",)], "identifiant string")
+    found = quality.identity_inside(texts, names)
+    assert sorted(map(tuple, found.collect())) == [("t", "1", 1), ("t", "3", 2)]
+    assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
