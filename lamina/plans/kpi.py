@@ -293,7 +293,7 @@ def actes_from(treated: DataFrame, stay_sums: DataFrame, dim_service: DataFrame)
 def kpi_actes_type(acts: DataFrame, dim_ccam: DataFrame) -> DataFrame:
     """By code, resolved or not, with its share of all acts.
 
-    The grand total is summed over the codes, whose shuffle it can share.
+    The grand total is summed over the pairs of code and stay, whose shuffle it can share.
     """
     return types_from(distinct_members(acts, ["code_ccam"], "stay_id"), dim_ccam)
 
@@ -302,7 +302,7 @@ def types_from(treated: DataFrame, dim_ccam: DataFrame) -> DataFrame:
     """One row per code_ccam and stay_id, with nb_lignes."""
     by_code = treated.groupBy("code_ccam").agg(
         F.sum("nb_lignes").alias("nb_actes"), rows().alias("nb_sejours_concernes"))
-    total = by_code.agg(F.sum("nb_actes")).scalar()
+    total = treated.agg(F.sum("nb_lignes")).scalar()
     return by_code.join(dim_ccam, "code_ccam", "left").select(
         "code_ccam",
         F.coalesce("acte", F.lit(UNKNOWN)).alias("acte"),
