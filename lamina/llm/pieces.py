@@ -210,7 +210,7 @@ class Lattices:
     vocabulary are characters spelt in bytes (`spelt`). End node -1 ends a unit.
     """
 
-    def __init__(self, vocabulary: Vocabulary, room: int = 6_000_000):
+    def __init__(self, vocabulary: Vocabulary, room: int = 4_000_000):
         self.vocabulary, self.room = vocabulary, room
         self.clear()
 
@@ -517,7 +517,7 @@ def encoded(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text"
 
     def run(batches):
         lattices = lattices_of(vocabulary)
-        for piece in slices(batches, "text", 1 << 20):
+        for piece in slices(batches, "text", 1 << 19):
             units, cuts, wanted = vocabulary.units_of(piece["text"])
             keys = piece["noise"].to_numpy(zero_copy_only=False).view(np.uint64)
             found = drawn(lattices, units, cuts, keys, k)
@@ -533,7 +533,7 @@ def encoded(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text"
                     held += len(ids)
                     for column, cell in zip(out, (own, number, ids, chance, perturbed, inclusion, exact)):
                         column.append(cell)
-                if held > 1 << 20:
+                if held > 1 << 19:
                     yield shown(out)
                     out, held = [[] for _ in names], 0
             yield shown(out)

@@ -548,3 +548,10 @@ def test_no_span_is_the_hash_of_nothing(spark):
     _, found = scan(spark, docs, shared_folder(spark, "t"), first=True)
     text = found.select(F.sha2(secrets.as_text(F.col("found")), 256).alias("h")).first().h
     assert text == hashlib.sha256(b"").hexdigest()
+
+
+def test_lattices_keep_little_of_a_worker():
+    """The edges kept from task to task, with room to grow by half, stay under 180 MB in a Python worker."""
+    lattices = pieces.Lattices(pieces.vocabulary_of(public_tokenizers.path("piece_bpe_32k.model"), 0.5))
+    own = (lattices.chance, lattices.up_to, lattices.others, lattices.end, lattices.piece)
+    assert lattices.room * sum(a.itemsize for a in own) * 3 // 2 <= 180 << 20
