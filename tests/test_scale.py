@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from lamina.plans import quality, run, silver
+from lamina.plans import kpi, quality, run, silver
 from lamina.sources.warehouse import in_lots
 from registry import dropped
 from registry.feeds import SCHEMAS, Feeds
@@ -89,3 +89,12 @@ def test_texts_are_cut_into_stretches_once(spark):
     found = quality.identity_inside(texts, names)
     assert sorted(map(tuple, found.collect())) == [("t", "1", 1), ("t", "3", 2)]
     assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_total_of_acts_takes_no_shuffle_by_code_of_its_own(spark):
+    acts = spark.createDataFrame([("s1", "C1"), ("s1", "C2"), ("s2", "C1"), (None, None)], "stay_id string, code_ccam string")
+    codes = spark.createDataFrame([("C1", "x", 1.0)], "code_ccam string, acte string, tarif_euros double")
+    found = kpi.kpi_actes_type(acts, codes)
+    assert {(r.code_ccam, r.nb_actes, r.part_pct) for r in found.collect()} == {("C1", 2, 50.0), ("C2", 1, 25.0), (None, 1, 25.0)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert len(set(re.findall(r"Exchange hashpartitioning\((code_ccam#\d+), \d+\)", plan))) == 2
