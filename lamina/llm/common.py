@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 from urllib.parse import urlparse
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -89,6 +91,37 @@ def with_mark(rows: DataFrame, names: list[str], marks: DataFrame, into: str) ->
     return rows.join(told, F.xxhash64(*map(quoted, names)) == F.col(f"{into}_mark"), "left").drop(f"{into}_mark")
 
 
+def bit_table(hashes: DataFrame, bits: int) -> np.ndarray:
+    """A table of 2**bits bits with the bit of each hash set. What reaches the driver are its words that are not 0."""
+    spot = F.shiftrightunsigned("hash", 64 - bits)
+    words = hashes.groupBy(F.shiftright(spot, 6).alias("word")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(hash, {64 - bits}) & 63 AS INT))")).alias("bits"))
+    got = words.toArrow()
+    table = np.zeros(1 << (bits - 6), np.int64)
+    table[got["word"].to_numpy()] = got["bits"].to_numpy()
+    return table.view(np.uint64)
+
+
+def known(table: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:
+    spot = hashes >> np.uint64(64 - bits)
+    return (table[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63))) & np.uint64(1) == 1
+
+
+def perhaps(ids: DataFrame, bits: int = 26) -> Callable[[Column], Column]:
+    """A test of a column: false only for values that are not among the longs `id`, true for all that are.
+
+    The bits are sent to all tasks, 8 MB however many ids there are. Of n ids a share of n / 2**bits of all other
+    values passes as well, so what passes is to be compared exactly.
+    """
+    table = ids.sparkSession.sparkContext.broadcast(bit_table(ids.select(F.xxhash64("id").alias("hash")), bits))
+
+    @F.pandas_udf("boolean")
+    def seen(values: pd.Series) -> pd.Series:
+        return pd.Series(known(table.value, bits, values.to_numpy().view(np.uint64)))
+
+    return lambda column: seen(F.xxhash64(column))
+
+
 def open_folder(uri: str):
     """The Arrow file system of a folder, and the folder's path in it."""
     from pyarrow import fs

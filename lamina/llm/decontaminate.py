@@ -36,7 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from lamina.llm.common import bounded_batches, map_rows, release, written
+from lamina.llm.common import bit_table, bounded_batches, known, map_rows, release, written
 
 # Fixed masks, of 5 looked-at words each. In any run of 10 words or more of which a quarter at most is replaced, one of
 # them fits somewhere: tests enumerate runs of 10 to 26 words, and a longer run has a part of those lengths that holds.
@@ -102,22 +102,6 @@ def item_windows(items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
     return items.select("item", "words").mapInArrow(run, "item long, hash long, place int")
 
 
-def bit_table(hashes: DataFrame, bits: int) -> np.ndarray:
-    """A table of 2**bits bits with the bit of each hash set. What reaches the driver are its words that are not 0."""
-    spot = F.shiftrightunsigned("hash", 64 - bits)
-    words = hashes.groupBy(F.shiftright(spot, 6).alias("word")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(hash, {64 - bits}) & 63 AS INT))")).alias("bits"))
-    got = words.toArrow()
-    table = np.zeros(1 << (bits - 6), np.int64)
-    table[got["word"].to_numpy()] = got["bits"].to_numpy()
-    return table.view(np.uint64)
-
-
-def known(table: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:
-    spot = hashes >> np.uint64(64 - bits)
-    return (table[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63))) & np.uint64(1) == 1
-
-
 def regions(docs: DataFrame, table, masks: tuple[str, ...], bits: int, margin: int) -> DataFrame:
     """(doc, start, words, hits: (hash, place in the text)) of the parts of each text around windows the table knows.
 

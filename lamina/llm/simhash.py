@@ -28,10 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from lamina.llm.common import (
-    all_but, bounded_batches, map_rows, own_id, quoted, release, repeated, with_mark, written,
+    all_but, bounded_batches, map_rows, own_id, perhaps, quoted, release, repeated, with_mark, written,
 )
 
 TILE = 8192
+SLOTS = 16
+MOST = 1 << 17
 PARTS = 4
 SHORT = 64
 LOSS = 1e-6
@@ -119,14 +121,17 @@ def near_cells(parts: int, radius: int) -> list[tuple[int, ...]]:
     return [o for o in offsets if o >= (0,) * parts]
 
 
-def tiles(points: DataFrame, cell: list, size: int = TILE) -> DataFrame:
+def tiles(points: DataFrame, cell: list, size: int = TILE, slots: int = SLOTS, most: int = MOST) -> DataFrame:
     """(tile, cell, nr, ids, fps, ns): the rows (id, fp, n) of each cell, dealt to tiles of about `size` rows.
 
-    The cells' sizes are broadcast: there are no more cells than combinations
-    of bit counts or size classes, whatever the number of rows.
+    A cell has no more than `slots` tiles as long as they hold `most` rows at most: what is shipped for pairs of
+    tiles then grows with the rows, not with their square. The cells' sizes are broadcast: there are no more cells
+    than combinations of bit counts or size classes, whatever the number of rows.
     """
     keyed = points.withColumn("cell", F.array(*[c.cast("int") for c in cell]))
-    counts = keyed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("long").alias("slots"))
+    rows = F.count(F.lit(1))
+    many = F.least(F.ceil(rows / F.lit(size)), F.greatest(F.lit(slots), F.ceil(rows / F.lit(most))))
+    counts = keyed.groupBy("cell").agg(many.cast("long").alias("slots"))
     dealt = keyed.join(F.broadcast(counts), "cell").withColumn("nr", F.pmod(F.xxhash64("id"), "slots"))
     return (
         dealt.groupBy("cell", "nr")
@@ -342,6 +347,23 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return map_rows(docs.select("id", "text"), work, "text", "id long, grams array<long>")
 
 
+def tile_sets(packed: DataFrame, shingle: int) -> DataFrame:
+    """Rows with an array `texts`, with sets in its place: the sorted distinct shingle hashes of each text."""
+    others = [c for c in packed.columns if c != "texts"]
+
+    def run(batches):
+        release()
+        for batch in batches:
+            texts = batch["texts"]
+            grams = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in texts.flatten().to_pylist()]
+            cuts = np.concatenate(([0], np.cumsum(texts.value_lengths().to_numpy(zero_copy_only=False))))
+            sets = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(grams, pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in others), sets], [*others, "sets"])
+
+    schema = ", ".join(f"{c} {packed.schema[c].dataType.simpleString()}" for c in others)
+    return packed.select(*others, "texts").mapInArrow(run, f"{schema}, sets array<array<bigint>>")
+
+
 def rare_sharing(sets: DataFrame, similarity: float) -> DataFrame:
     """(left, right) that link any two of the rows (id, grams) whose sets have that similarity, and some more.
 
@@ -394,39 +416,46 @@ def verified(groups: DataFrame, docs: DataFrame, shingle: int, similarity: float
     """(left, right): a spanning forest of the pairs in each group (id, component) whose shingle sets are similar.
 
     A group is cut into tiles, and tile is held against tile: no task meets a
-    whole group, and a pair of tiles gives fewer links than it has rows.
+    whole group, and a pair of tiles gives fewer links than it has rows. Texts are
+    shuffled rather than their shingles, which are more bytes, and only those that
+    may be in a group; a tile is held against itself where it lies.
     """
     counts = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias("slots"))
     placed = groups.join(counts, "component").withColumn("nr", F.pmod(F.xxhash64("id"), "slots").cast("int"))
-    sets = shingle_sets(docs.join(groups.select("id"), "id", "left_semi"), shingle)
-    packed = written(
-        sets.join(placed, "id").groupBy("component", "nr", "slots")
-        .agg(F.collect_list(F.struct("id", "grams")).alias("rows"))
+    grouped = perhaps(groups.select("id"))
+    together = (
+        docs.select("id", "text").where(grouped(F.col("id"))).join(placed, "id").groupBy("component", "nr", "slots")
+        .agg(F.collect_list(F.struct("id", "text")).alias("rows"))
         .select(F.xxhash64("component", "nr").alias("tile"), "component", "nr", "slots", F.col("rows.id").alias("ids"),
-                F.col("rows.grams").alias("sets")), "group-tiles")
-    pairs = packed.select(
-        F.col("tile").alias("a"), F.explode(F.sequence("nr", F.col("slots") - 1)).alias("nr_b"), "component",
+                F.col("rows.text").alias("texts")))
+    packed = written(tile_sets(together, shingle), "group-tiles")
+    large = packed.where("slots > 1")
+    pairs = large.where("nr < slots - 1").select(
+        F.col("tile").alias("a"), F.explode(F.sequence(F.col("nr") + 1, F.col("slots") - 1)).alias("nr_b"), "component",
     ).select("a", F.xxhash64("component", "nr_b").alias("b"))
-    first = packed.select(F.col("tile").alias("a"), F.col("ids").alias("ids_a"), F.col("sets").alias("sets_a"))
-    second = packed.select(F.col("tile").alias("b"), F.col("ids").alias("ids_b"), F.col("sets").alias("sets_b"))
+    first = large.select(F.col("tile").alias("a"), F.col("ids").alias("ids_a"), F.col("sets").alias("sets_a"))
+    second = large.select(F.col("tile").alias("b"), F.col("ids").alias("ids_b"), F.col("sets").alias("sets_b"))
 
-    def run(batches):
+    def run(batches, sides):
         release()
         for batch in batches:
             for row in range(batch.num_rows):
                 ids, sets = [], []
-                for side in "ab":
-                    ids.append(batch[f"ids_{side}"][row].values.to_numpy(zero_copy_only=False))
-                    sets.append([x.values.to_numpy(zero_copy_only=False) for x in batch[f"sets_{side}"][row]])
-                same = batch["a"][row].as_py() == batch["b"][row].as_py()
-                near = similar(*sets, similarity)
+                for side in sides:
+                    ids.append(batch[f"ids{side}"][row].values.to_numpy(zero_copy_only=False))
+                    sets.append([x.values.to_numpy(zero_copy_only=False) for x in batch[f"sets{side}"][row]])
+                same = len(sides) == 1
+                near = similar(sets[0], sets[-1], similarity)
                 x, y = np.nonzero(np.triu(near, 1) if same else near)
-                names = ids[0] if same else np.concatenate(ids)
+                names = np.concatenate(ids)
                 left, right = joined(np.arange(len(names)), x, y if same else y + len(ids[0]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(names[left], pa.int64()), pa.array(names[right], pa.int64())], ["left", "right"])
 
-    return pairs.join(first, "a").join(second, "b").mapInArrow(run, "left long, right long")
+    inside = packed.select("ids", "sets").mapInArrow(lambda batches: run(batches, [""]), "left long, right long")
+    across = pairs.join(first, "a").join(second, "b").mapInArrow(
+        lambda batches: run(batches, ["_a", "_b"]), "left long, right long")
+    return inside.union(across)
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lanes: int = 4, radius: int = 70,
@@ -497,5 +526,9 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **setting
     named = single.join(shared, "own", "left").withColumn("id", number)
     groups = similar_groups(
         named.select("id", F.coalesce(F.col("row").getField(text), F.lit("")).alias("text")), **settings)
-    kept = written(groups.where("id = component").select("id"), "kept")
-    return named.join(kept, "id", "left_semi").select("row.*")
+    groups = written(groups.select("id", (F.col("id") == F.col("component")).alias("stays")), "kept")
+    # No text is shuffled to be kept, nor to be dropped while the spared ids are few enough to be sent to all tasks.
+    gone = perhaps(groups.where("NOT stays").select("id"))
+    spared = written(groups.where("stays").where(gone(F.col("id"))).select("id"), "spared")
+    clear = named.where(~gone(F.col("id")))
+    return clear.unionAll(named.where(gone(F.col("id"))).join(spared, "id", "left_semi").select(*clear.columns)).select("row.*")
