@@ -46,12 +46,17 @@ from lamina.llm.common import bounded_batches, held, slices
 SPACE = "▁"
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 SAMPLES = 2
+SPREAD = 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    y = x >> np.uint64(30)
+    y ^= x
+    y *= np.uint64(0xBF58476D1CE4E5B9)
+    y ^= y >> np.uint64(27)
+    y *= np.uint64(0x94D049BB133111EB)
+    y ^= y >> np.uint64(31)
+    return y
 
 
 def uniform(x: np.ndarray) -> np.ndarray:
@@ -94,6 +99,7 @@ class Vocabulary:
         self.weight = weights ** sharpness
         self.least = float(self.weight[plain].min())
         self.branch, self.child, self.whole = self.tree()
+        self.place, self.crowded = self.hashed()
         self.cut, self.stop, self.kinds = self.borders()
         self.byte_id = {int(model.id_to_piece(i)[1:-1], 16): i for i in range(size) if model.is_byte(i)}
         self.shown = np.full(size, b"", object)
@@ -118,6 +124,28 @@ class Vocabulary:
         keys, states = zip(*pairs)
         return np.array(keys, np.int64), np.array(states, np.int64), np.array(whole, np.int64)
 
+    def hashed(self) -> tuple[np.ndarray, np.ndarray]:
+        """A place in `branch` for each hash of a key, and whether several keys have that hash."""
+        spots = self.spread(self.branch)
+        place = np.zeros(1 << SPREAD, np.int32)
+        place[spots] = np.arange(len(spots))
+        return place, np.bincount(spots, minlength=1 << SPREAD) > 1
+
+    @staticmethod
+    def spread(keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * GOLDEN >> np.uint64(64 - SPREAD)).view(np.int64)
+
+    def following(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For (state, next character) the place in `branch`, and whether it is there."""
+        spread = self.spread(keys)
+        spot = self.place[spread].astype(np.int64)
+        there = self.branch[spot] == keys
+        unsure = np.flatnonzero(~there & self.crowded[spread])
+        if len(unsure):
+            spot[unsure] = np.minimum(np.searchsorted(self.branch, keys[unsure]), len(self.branch) - 1)
+            there[unsure] = self.branch[spot[unsure]] == keys[unsure]
+        return spot, there
+
     def units(self, text: str) -> list[str]:
         """The units of a text; a text without characters has none."""
         if not text:
@@ -203,6 +231,15 @@ def beside(chance: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     return out
 
 
+def falling(chance: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """The order in which the edges of each node fall in chance, equal ones as they stand. Nodes of as many edges go together."""
+    order, counts = np.arange(len(chance)), np.diff(firsts)
+    for many in np.unique(counts[counts > 1]).tolist():
+        own = firsts[:-1][counts == many][:, None] + np.arange(many)
+        order[own] = np.take_along_axis(own, np.argsort(-chance[own], axis=1, kind="stable"), axis=1)
+    return order
+
+
 class Lattices:
     """The lattices of units, as arrays: nodes with edges, edges with chance, end node and piece.
 
@@ -213,16 +250,17 @@ class Lattices:
     def __init__(self, vocabulary: Vocabulary, room: int = 4_000_000):
         self.vocabulary, self.room = vocabulary, room
         self.clear()
+        self.first = np.zeros(1 << 12, np.int64)
+        self.chance, self.up_to = np.zeros(1 << 14), np.zeros(1 << 14, np.float32)
+        self.others = np.zeros(1 << 14)  # the chance of all other edges of the node
+        self.end, self.piece = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
 
     def clear(self) -> None:
+        """Forget all units; the arrays are filled anew from their start."""
         self.node_of: dict[str, int] = {}
         self.spelt: list[tuple[int, ...]] = []
         self.spelling: dict[str, int] = {}
         self.nodes = self.edges = 0
-        self.first = np.zeros(1 << 12, np.int64)
-        self.chance, self.up_to = np.zeros(1 << 14), np.zeros(1 << 14, np.float32)
-        self.others = np.zeros(1 << 14)  # the chance of all other edges of the node
-        self.end, self.piece = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
 
     def spell(self, char: str) -> int:
         """The piece of a character that is no piece: its byte, or a spelling in several bytes."""
@@ -235,85 +273,98 @@ class Lattices:
         return self.spelling[char]
 
     def steps(self, codes: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, ...]:
-        """All edges (from, to, piece, log weight) between characters of units that end at `stop`."""
+        """All edges (to, piece, log weight) between characters of units that end at `stop`, and each character's first.
+
+        They stand by character; those of one character as they are found, by length.
+        """
         own = self.vocabulary
         logs = np.log(own.weight)
         start, state, at = np.arange(len(codes)), np.zeros(len(codes), np.int64), np.arange(len(codes))
-        out = []
+        out, counts = [], np.zeros(len(codes), np.int64)  # of a round there is one edge at most for each character
+
+        def note(start, to, piece, log):
+            out.append((start, counts[start], to, piece, log))
+            counts[start] += 1
+
         while len(start):
-            key = state << 21 | codes[at]
-            spot = np.minimum(np.searchsorted(own.branch, key), len(own.branch) - 1)
-            going = own.branch[spot] == key
+            spot, going = own.following(state << 21 | codes[at])
             start, at, state = start[going], at[going] + 1, own.child[spot[going]]
             piece = own.whole[state]
-            full = piece >= 0
-            out.append((start[full], at[full], piece[full], logs[piece[full]]))
-            inside = at < stop[start]
+            full = np.flatnonzero(piece >= 0)
+            note(start[full], at[full], piece[full], logs[piece[full]])
+            if len(out) == 1:
+                lone = np.flatnonzero(counts == 0)
+            inside = np.flatnonzero(at < stop[start])
             start, at, state = start[inside], at[inside], state[inside]
-        single = np.zeros(len(codes), bool)
-        if out:
-            single[out[0][0]] = True
-        lone = np.flatnonzero(~single)
         chars, which = np.unique(codes[lone], return_inverse=True)
         spelt = np.array([self.spell(chr(c)) for c in chars.tolist()], np.int64)
         sizes = np.array([len(chr(c).encode()) for c in chars.tolist()], np.int64)
-        out.append((lone, lone + 1, spelt[which], sizes[which] * np.log(own.least)))
-        return tuple(np.concatenate(columns) for columns in zip(*out))
+        note(lone, lone + 1, spelt[which], sizes[which] * np.log(own.least))
+
+        firsts = np.concatenate(([0], np.cumsum(counts)))
+        to, piece, log = np.empty(firsts[-1], np.int64), np.empty(firsts[-1], np.int64), np.empty(firsts[-1])
+        for start, rank, *values in out:
+            place = firsts[start] + rank
+            for column, value in zip((to, piece, log), values):
+                column[place] = value
+        return to, piece, log, firsts
 
     def nodes_of(self, units: pa.Array) -> np.ndarray:
         """The first node of each unit. Arrow finds the different units; only they are looked up."""
         coded = units.dictionary_encode()
-        different = coded.dictionary.to_pylist()
-        self.add(different)
-        firsts = np.fromiter(map(self.node_of.__getitem__, different), np.int64, len(different))
+        firsts = self.add(coded.dictionary.to_pylist())
         return firsts[coded.indices.to_numpy(zero_copy_only=False)]
 
-    def add(self, units: list[str]) -> None:
-        """Build those of the different units that are not known yet. All are forgotten first if there is no room."""
-        fresh = [u for u in units if u not in self.node_of]
-        if not fresh:
-            return
+    def add(self, units: list[str]) -> np.ndarray:
+        """The first nodes of different units. Those not known yet are built; all are forgotten first if there is no room."""
+        known = self.node_of.get
+        out = np.array([known(u, -1) for u in units], np.int64)
+        missing = np.flatnonzero(out < 0)
+        if not len(missing):
+            return out
         if self.edges > self.room:
             self.clear()
-            fresh = units
+            missing = np.arange(len(units))
+        fresh = [units[i] for i in missing.tolist()]
         # Units begin with a plain space, which the pieces have as their own sign.
         joined = "".join(fresh).replace(" ", SPACE)
         codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         sizes = np.fromiter(map(len, fresh), np.int64, len(fresh))
         stops = np.cumsum(sizes)
         stop = np.repeat(stops, sizes)
-        start, to, piece, log = self.steps(codes, stop)
+        to, piece, log, firsts = self.steps(codes, stop)
+        counts = np.diff(firsts)
+        last = to == np.repeat(stop, counts)
 
         # The log mass of a node is the sum over its edges; nodes go from the ends of units backwards.
-        far = stop[start] - start
-        order = np.lexsort((start, far))
-        start, to, piece, log, far = start[order], to[order], piece[order], log[order], far[order]
-        last = to == stop[start]
+        far = stop - np.arange(len(codes))
+        nodes = np.argsort(far.astype(np.uint16) if far.max() < 1 << 16 else far, kind="stable")
+        heads = np.concatenate(([0], np.cumsum(counts[nodes])))
+        order = np.repeat(firsts[nodes] - heads[:-1], counts[nodes]) + np.arange(len(to))
+        onward = np.where(last, len(codes), to)  # the mass beyond a unit's end is 0
+        log_of, onward_of = log[order], onward[order]
         mass = np.zeros(len(codes) + 1)
-        heads = np.flatnonzero(np.concatenate(([True], np.diff(start) != 0)))
-        cuts = np.searchsorted(far, np.arange(1, int(far[-1]) + 2))
-        head_cuts = np.searchsorted(heads, cuts)
-        for d in range(len(cuts) - 1):
-            low, high = cuts[d], cuts[d + 1]
+        cuts = np.searchsorted(far[nodes], np.arange(1, int(far.max()) + 2))
+        for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             if low == high:
                 continue
-            value = log[low:high] + np.where(last[low:high], 0.0, mass[to[low:high]])
-            groups = heads[head_cuts[d]:head_cuts[d + 1]] - low
+            begin, end = heads[low], heads[high]
+            value = log_of[begin:end] + mass[onward_of[begin:end]]
+            groups = heads[low:high] - begin
             top = np.maximum.reduceat(value, groups)
-            total = np.add.reduceat(np.exp(value - np.repeat(top, np.diff(np.append(groups, high - low)))), groups)
-            mass[start[low + groups]] = top + np.log(total)
-        chance = np.exp(log + np.where(last, 0.0, mass[to]) - mass[start])
+            total = np.add.reduceat(np.exp(value - np.repeat(top, counts[nodes[low:high]])), groups)
+            mass[nodes[low:high]] = top + np.log(total)
+        chance = np.exp(log + mass[onward] - np.repeat(mass[:-1], counts))
 
-        order = np.lexsort((-chance, start))
-        start, to, piece, chance, last = start[order], to[order], piece[order], chance[order], last[order]
-        counts = np.bincount(start, minlength=len(codes))
-        firsts = np.concatenate(([0], np.cumsum(counts)))
+        order = falling(chance, firsts)
+        to, piece, chance, last = to[order], piece[order], chance[order], last[order]
         run = np.concatenate(([0.0], np.cumsum(chance)))
         up_to = run[1:] - np.repeat(run[firsts[:-1]], counts)
         up_to[firsts[1:] - 1] = 1.0
         others = beside(chance, firsts)
 
-        self.node_of.update(zip(fresh, (self.nodes + stops - sizes).tolist()))
+        out[missing] = self.nodes + stops - sizes
+        self.node_of.update(zip(fresh, out[missing].tolist()))
         node, total = self.nodes + len(codes), self.edges + len(chance)
         self.first = self.grown(self.first, node + 1)
         self.first[self.nodes:node + 1] = self.edges + firsts
@@ -323,6 +374,7 @@ class Lattices:
             array[self.edges:total] = values
             setattr(self, name, array)
         self.nodes, self.edges = node, total
+        return out
 
     @staticmethod
     def grown(array: np.ndarray, size: int) -> np.ndarray:
