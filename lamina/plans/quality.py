@@ -568,41 +568,48 @@ def grams_of(text: Column, q: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{q}}}))"), F.lit(1)))
 
 
-def identity_inside(texts: DataFrame, identifiers: DataFrame, q: int = 5) -> DataFrame:
+# Identifiers or stretches that a task holds at once: some 50 MB in memory.
+_SENT = 500_000
+
+
+def identity_inside(texts: DataFrame, identifiers: DataFrame, q: int = 5, sent: int = _SENT) -> DataFrame:
     """Texts (origine, ligne, texte) in which a source identifier stands anywhere, also inside a longer word.
 
     Each identifier is known by one stretch of `q` characters, the one that fewest
     texts hold. Texts with that stretch are candidates, and only those are searched
     for the identifier itself: no text meets all identifiers. An identifier of fewer than
     `q` characters, which would stand in any text, counts where it is a word.
+
+    The stretches and then the identifiers are sent to the texts, at most about `sent` at a time, so that a
+    candidate is searched where its text lies: neither texts nor candidates are shuffled, only what is found.
     """
     wanted = identifiers.select("identifiant").where(~is_blank(F.col("identifiant"))).distinct()
     long = wanted.where(F.length("identifiant") >= q)
     stretches = long.select("identifiant", F.explode(grams_of(F.col("identifiant"), q)).alias("bout"))
-    own = texts.where(F.col("texte").isNotNull()).select(
-        "origine", "ligne", "texte", F.xxhash64("texte").alias("empreinte"))
+    most = max(long.count(), stretches.select("bout").distinct().count())
+    parts = max(1, -(-most // sent))
+    own = texts.where(F.col("texte").isNotNull()).select("origine", "ligne", "texte")
     # A text of fewer than `q` characters has no stretch, and holds no identifier that has one.
-    roomy = own.where(F.length("texte") >= q)
-    # Of the stretches of all texts only those that an identifier has go on, dealt out by text: they are cut and
-    # dealt once, for the counts and for the candidates, which are then where their text goes.
-    # Rows without a name, which no join would keep, are left out here, so that both uses read the same shuffle.
-    place = ["origine", "ligne", "empreinte"]
-    named = roomy.where(F.col("origine").isNotNull() & F.col("ligne").isNotNull())
-    held = named.select(*place, F.explode(grams_of(F.col("texte"), q)).alias("bout")).join(
-        stretches.select("bout").distinct(), "bout", "left_semi").where(F.col("bout").isNotNull()).select(
-        *place, "bout").repartition(*place)
-    counted = held.groupBy("bout").agg(F.count(F.lit(1)).alias("nb"))
-    # A stretch that no text holds is the rarest: its identifier stands nowhere.
-    anchors = stretches.join(counted, "bout", "left").groupBy("identifiant").agg(
-        F.min(F.struct(F.coalesce("nb", F.lit(0)).alias("nb"), "bout")).alias("ancre")
-    ).where(F.col("ancre.nb") > 0).select("identifiant", F.col("ancre.bout").alias("bout"))
-    candidates = held.join(anchors, "bout").select(*place, "identifiant").distinct()
-    # Copies of a row meet the same candidates, and what is found is told apart at the end.
-    inside = roomy.join(candidates, place).where(
-        F.contains("texte", "identifiant")).select("origine", "ligne", "identifiant")
-    words = own.select("origine", "ligne", F.explode(F.array_distinct(words_of(F.col("texte")))).alias("identifiant")).join(
+    roomy = own.where((F.length("texte") >= q) & F.col("origine").isNotNull() & F.col("ligne").isNotNull())
+    cut = roomy.select("origine", "ligne", "texte", F.explode(grams_of(F.col("texte"), q)).alias("bout"))
+
+    def inside(looked_for: DataFrame) -> DataFrame:
+        counted = cut.select("bout").join(F.broadcast(looked_for.select("bout").distinct()), "bout", "left_semi").groupBy(
+            "bout").agg(F.count(F.lit(1)).alias("nb"))
+        # A stretch that no text holds is the rarest: its identifier stands nowhere.
+        anchors = looked_for.join(counted, "bout", "left").groupBy("identifiant").agg(
+            F.min(F.struct(F.coalesce("nb", F.lit(0)).alias("nb"), "bout")).alias("ancre")
+        ).where(F.col("ancre.nb") > 0).select("identifiant", F.col("ancre.bout").alias("bout"))
+        return cut.join(F.broadcast(anchors), "bout").where(F.contains("texte", "identifiant")).select(
+            "origine", "ligne", "identifiant")
+
+    part = F.pmod(F.xxhash64("identifiant"), F.lit(parts))
+    found = [inside(stretches if parts == 1 else stretches.where(part == n)) for n in range(parts)]
+    short = F.filter(words_of(F.col("texte")), lambda word: F.length(word) < q)
+    words = own.select("origine", "ligne", F.explode(F.array_distinct(short)).alias("identifiant")).join(
         wanted.where(F.length("identifiant") < q), "identifiant", "left_semi").select("origine", "ligne", "identifiant")
-    return inside.unionByName(words).distinct().groupBy("origine", "ligne").agg(F.count(F.lit(1)).alias("nb_identifiants"))
+    # Copies of a row hold the same identifiers, and what is found is told apart at the end.
+    return stacked([*found, words]).distinct().groupBy("origine", "ligne").agg(F.count(F.lit(1)).alias("nb_identifiants"))
 
 
 def table_texts(tables: Tables, origin: str = "_fichier_source") -> DataFrame:

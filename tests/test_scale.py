@@ -4,6 +4,7 @@ import json
 import re
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from lamina.plans import kpi, quality, run, silver
@@ -91,6 +92,40 @@ def test_texts_are_cut_into_stretches_once(spark):
     assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
 
 
+def rows_shuffled(plan):
+    """Rows that the exchanges of an executed plan wrote, each exchange once."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return rows_shuffled(plan.executedPlan())
+    if name.endswith("QueryStage"):
+        return rows_shuffled(plan.plan())
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if name == "Exchange" else 0
+    children = plan.children()
+    return own + sum(rows_shuffled(children.apply(i)) for i in range(children.size()))
+
+
+def test_candidates_are_searched_where_their_text_lies(spark):
+    names = spark.createDataFrame([(f"Leroy{c}",) for c in "abcdefghijklmnopqrst"], "identifiant string")
+    alike = "Leroy. " + " ".join(f"xeroy{c}" for c in "abcdefghijklmnopqrst")
+    texts = spark.createDataFrame(
+        [("t", str(k), alike) for k in range(50)] + [("t", "50", f"{alike} Leroyb Leroyc"), ("t", None, "Leroya")],
+        "origine string, ligne string, texte string").repartition(2)
+    found = quality.identity_inside(texts, names)
+    assert sorted(map(tuple, found.collect())) == [("t", "50", 2)]
+    # 52 texts are dealt out by the test itself; each of 50 texts is a candidate for each of 20 names.
+    assert rows_shuffled(found._jdf.queryExecution().executedPlan()) < 500
+
+
+@pytest.mark.parametrize("sent", [1, 2, 3])
+def test_identifiers_are_sent_to_the_texts_in_parts(spark, sent):
+    names = spark.createDataFrame([(n,) for n in ("Leroy", "Leroyal", "12345678", "12345", "Roy", " ", None)], "identifiant string")
+    texts = spark.createDataFrame(
+        [("t", "1", "xLeroyalx 912345678"), ("t", "1", "Leroy"), ("t", "2", "Roy Leroy"), ("t", "3", "Royal 1234"), ("t", None, "Leroy"),
+         (None, "4", "Leroy"), (None, "4", "un Roy"), ("u", "1", "a12345b")], "origine string, ligne string, texte string")
+    found = quality.identity_inside(texts, names, sent=sent)
+    assert sorted(map(tuple, found.collect()), key=str) == [("t", "1", 4), ("t", "2", 2), ("u", "1", 1), (None, "4", 1)]
+
+
 def test_the_total_of_acts_takes_no_shuffle_by_code_of_its_own(spark):
     acts = spark.createDataFrame([("s1", "C1"), ("s1", "C2"), ("s2", "C1"), (None, None)], "stay_id string, code_ccam string")
     codes = spark.createDataFrame([("C1", "x", 1.0)], "code_ccam string, acte string, tarif_euros double")
